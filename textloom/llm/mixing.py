@@ -6,8 +6,10 @@ in the order of most * size / weight. There is one row per source here.
 
 Curriculum. In a source's schedule the weight at time t of [0, 1] is proportional to 1 + slope * (2t - 1), whose integral is the share of its target
 demanded by t; slopes repeat -0.5, 0, 0.5 along the sources. The source's documents, in the order of md5(doc_id), stand one after
-another on its line of words, once for each of `most` rounds. A copy whose middle lies before the target is taken. Its training position is the
-time at which the cumulative demand reaches its middle: the inverse of the integral. Results are sorted by range of the position.
+another on a line of words, once for each of `most` rounds. A copy whose middle lies before the target is taken. A source has two lines: long documents,
+of over 1/`fine` of its target each, whose target is their part of the source's words, and the others, who get what the long ones leave of the
+source's target; so a source ends within 1/`fine` of its target if it has such others. A copy's training position is the time at which the cumulative demand
+on its line reaches its middle: the inverse of the integral. Results are sorted by range of the position.
 
 Scale. Running sums within a source use two levels: sums of (source, bucket), buckets being leading digits of the md5, then sums inside a
 bucket; the number of buckets grows with the rows, so that no task holds a source.
@@ -45,25 +47,33 @@ def shares(sizes: DataFrame, most: int = 3, weights: int = 3) -> DataFrame:
     return s.select("source", "source_size", target.alias("target"), (((F.col("k") - 1) % 3 - 1) * 0.5).alias("slope"))
 
 
-def placed(docs: DataFrame, most: int = 3, rows_per_bucket: int = 20_000) -> DataFrame:
-    """docs: doc_id, source, text -> doc_id, source, size, source_size, target, slope, copies, before (words of the source ahead of it)."""
+def placed(docs: DataFrame, most: int = 3, rows_per_bucket: int = 20_000, fine: int = 40) -> DataFrame:
+    """docs: doc_id, source, text -> doc_id, source, size, source_size, target, slope, copies, line_size, line_target, before (words of its line ahead of it)."""
     base = written(docs.select("doc_id", "source", size_of("text").alias("size"), F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")).alias("h")), "mix-sizes")
     rows = base.count()
-    digits = 1
+    digits = 2
     while 16**digits * rows_per_bucket < rows:
         digits += 1
-    digits = max(digits, 2)
-    base = base.withColumn("bucket", F.substring("h", 1, digits))
-    sums = written(base.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-sums")
-    target = shares(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), most)
-    ahead = W.Window.partitionBy("source").orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, -1)
-    sums = sums.withColumn("ahead", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0))).drop("bucket_size").withColumnRenamed("source", "s1").withColumnRenamed("bucket", "b1")
-    sums = sums.join(target.withColumnRenamed("source", "s2"), F.col("s1").eqNullSafe(F.col("s2"))).drop("s2")
-    inside = W.Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.Window.unboundedPreceding, -1)
-    out = base.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    out = out.join(sums, F.col("source").eqNullSafe(F.col("s1")) & (F.col("bucket") == F.col("b1"))).withColumn("before", F.col("ahead") + F.col("inside"))
-    taken = [F.when((F.col("size") > 0) & (2 * (p * F.col("source_size") + F.col("before")) + F.col("size") < 2 * F.col("target")), 1).otherwise(0) for p in range(most)]
-    return out.withColumn("copies", sum(taken[1:], taken[0])).select("doc_id", "source", "size", "source_size", "target", "slope", "copies", "before")
+    target = written(shares(base.groupBy("source").agg(F.sum("size").alias("source_size")), most), "mix-targets").withColumnRenamed("source", "s0")
+    lines = base.join(target, F.col("source").eqNullSafe(F.col("s0"))).drop("s0").withColumn("long", F.col("size") * fine > F.col("target")).withColumn("bucket", F.substring("h", 1, digits))
+    sums = written(lines.groupBy("source", "long", "bucket").agg(F.sum("size").alias("n")), "mix-sums")
+    line = W.Window.partitionBy("source", "long")
+    ahead = F.coalesce(F.sum("n").over(line.orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(F.col("source").alias("s1"), F.col("long").alias("l1"), F.col("bucket").alias("b1"), ahead.alias("ahead"), F.sum("n").over(line).alias("line_size"))
+    inside = F.sum("size").over(W.Window.partitionBy("source", "long", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.Window.unboundedPreceding, -1))
+    out = lines.withColumn("inside", F.coalesce(inside, F.lit(0)))
+    out = out.join(sums, F.col("source").eqNullSafe(F.col("s1")) & (F.col("long") == F.col("l1")) & (F.col("bucket") == F.col("b1"))).withColumn("before", F.col("ahead") + F.col("inside"))
+    out = written(out.select("doc_id", "source", "size", "source_size", "target", "slope", "long", "line_size", "before"), "mix-lines")
+
+    def copies(df: DataFrame) -> DataFrame:
+        taken = [F.when((F.col("size") > 0) & (2 * (p * F.col("line_size") + F.col("before")) + F.col("size") < 2 * F.col("line_target")), 1).otherwise(0) for p in range(most)]
+        return df.withColumn("copies", sum(taken[1:], taken[0]))
+
+    first = copies(out.where("long").withColumn("line_target", F.col("target") * F.col("line_size") / F.col("source_size")))
+    used = first.groupBy(F.col("source").alias("s1")).agg(F.sum(F.col("copies") * F.col("size")).alias("used"))
+    rest = out.where("not long").join(used, F.col("source").eqNullSafe(F.col("s1")), "left")
+    rest = copies(rest.withColumn("line_target", F.greatest(F.col("target") - F.coalesce("used", F.lit(0)), F.lit(0.0)))).drop("s1", "used")
+    return first.unionByName(rest).drop("long")
 
 
 def position(at, target, slope) -> F.Column:
@@ -77,17 +87,17 @@ def mix(docs: DataFrame, most: int = 3) -> DataFrame:
     """A row per document with taken, and the positions of its first and last copy, sorted by the first."""
     p = placed(docs, most=most)
     mid = F.col("before") + F.col("size") / 2
-    first = F.when(F.col("copies") > 0, position(mid, F.col("target"), F.col("slope")))
-    last = F.when(F.col("copies") > 0, position(mid + (F.col("copies") - 1) * F.col("source_size"), F.col("target"), F.col("slope")))
+    first = F.when(F.col("copies") > 0, position(mid, F.col("line_target"), F.col("slope")))
+    last = F.when(F.col("copies") > 0, position(mid + (F.col("copies") - 1) * F.col("line_size"), F.col("line_target"), F.col("slope")))
     out = p.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", first.alias("first_position"), last.alias("last_position"))
     return out.orderBy(F.col("first_position").asc_nulls_last())
 
 
 def mixed_documents(docs: DataFrame, most: int = 3) -> DataFrame:
     """The mix itself: docs' columns, each document as often as it is taken, and mix_position, sorted by it. doc_id tells documents apart."""
-    p = placed(docs, most=most).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies", "before", "source_size", "target", "slope")
+    p = placed(docs, most=most).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies", "before", "line_size", "line_target", "slope")
     p = p.dropDuplicates(["_id", "_source", "_size"]).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    p = p.select("_id", "_source", "_size", position(F.col("before") + F.col("_size") / 2 + F.col("_copy") * F.col("source_size"), F.col("target"), F.col("slope")).alias("mix_position"))
+    p = p.select("_id", "_source", "_size", position(F.col("before") + F.col("_size") / 2 + F.col("_copy") * F.col("line_size"), F.col("line_target"), F.col("slope")).alias("mix_position"))
     d = docs.drop("mix_position").withColumn("_n", size_of("text"))
     out = d.join(p, d["doc_id"].eqNullSafe(p["_id"]) & d["source"].eqNullSafe(p["_source"]) & (d["_n"] == p["_size"])).drop("_id", "_source", "_size", "_n")
     return out.orderBy("mix_position")
@@ -110,9 +120,14 @@ w AS (SELECT *, ((k - 1) % 3 + 1)::DOUBLE AS w, (3 * source_size)::DOUBLE AS top
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(top) OVER (ORDER BY top / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY top / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM w),
 m AS (SELECT *, max(CASE WHEN level <= top / w THEN level END) OVER () AS water FROM l),
 t AS (SELECT source, source_size, least(top, coalesce(water * w, top)) AS target, ((k - 1) % 3 - 1) * 0.5::DOUBLE AS slope FROM m),
-p AS (SELECT d.*, source_size, target, slope, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-c AS (SELECT *, CASE WHEN size > 0 THEN (2 * before + size < 2 * target)::INT + (2 * (source_size + before) + size < 2 * target)::INT + (2 * (2 * source_size + before) + size < 2 * target)::INT ELSE 0 END AS copies FROM p),
-y AS (SELECT *, (before + size / 2.0::DOUBLE) / nullif(target, 0) AS a, (before + size / 2.0::DOUBLE + (copies - 1) * source_size) / nullif(target, 0) AS b FROM c)
+p AS (SELECT d.*, source_size, target, slope, size * 40 > target AS long FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+n AS (SELECT *, sum(size) OVER (PARTITION BY source, long)::BIGINT AS line_size, coalesce(sum(size) OVER (PARTITION BY source, long ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM p),
+f AS (SELECT *, target * line_size / source_size AS line_target FROM n WHERE long),
+f2 AS (SELECT *, CASE WHEN size > 0 THEN (2 * before + size < 2 * line_target)::INT + (2 * (line_size + before) + size < 2 * line_target)::INT + (2 * (2 * line_size + before) + size < 2 * line_target)::INT ELSE 0 END AS copies FROM f),
+u AS (SELECT source, sum(copies * size)::BIGINT AS used FROM f2 GROUP BY source),
+g AS (SELECT n.*, greatest(target - coalesce(used, 0), 0) AS line_target FROM n LEFT JOIN u ON n.source IS NOT DISTINCT FROM u.source WHERE NOT long),
+c AS (SELECT * FROM f2 UNION ALL SELECT *, CASE WHEN size > 0 THEN (2 * before + size < 2 * line_target)::INT + (2 * (line_size + before) + size < 2 * line_target)::INT + (2 * (2 * line_size + before) + size < 2 * line_target)::INT ELSE 0 END AS copies FROM g),
+y AS (SELECT *, (before + size / 2.0::DOUBLE) / nullif(line_target, 0) AS a, (before + size / 2.0::DOUBLE + (copies - 1) * line_size) / nullif(line_target, 0) AS b FROM c)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies,
   CASE WHEN copies > 0 THEN CASE WHEN slope = 0 THEN a ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * a) - (1 - slope)) / (2 * slope) END END AS first_position,
   CASE WHEN copies > 0 THEN CASE WHEN slope = 0 THEN b ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * b) - (1 - slope)) / (2 * slope) END END AS last_position
