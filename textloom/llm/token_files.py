@@ -17,6 +17,7 @@ An empty table gives no shard and no row. Special tokens' strings in a text are
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -42,35 +43,55 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Texts of these characters alone are split here as the tokenizer would: neither NFC nor lower-casing joins or splits any of them.
+PLAIN = re.compile("[\\x00-\\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]*")
+LETTER = "a-z\u00df-\u00f6\u00f8-\u017e"
+#: The tokenizer's own split pattern, for lower-case PLAIN texts.
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^ \\t\\n\\v\\f\\r0-9{LETTER}]+")
+
+
 class Encoder:
-    """Ids of texts, by way of a table of pieces between blanks. The tokenizer drops white space and no normalisation, added token or word crosses a
-    blank, so that a text's ids are those of its pieces, one after another. The table is emptied when it holds `most` pieces."""
+    """Ids of texts, by way of a table of pieces. The tokenizer encodes each piece of its split pattern by itself and drops white space, so that a text's ids are those of
+    its pieces, one after another; new pieces go to the tokenizer together. Texts with other characters than PLAIN, or that may hold the string of a special token,
+    are encoded whole. The table is emptied when it holds `most` pieces."""
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 500_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok, self.most, self.longest = Tokenizer.from_file(path), most, longest
-        self.wide = self.tok.get_vocab_size() > 1 << 16
-        self.dtype = np.dtype("<u4" if self.wide else "<u2")
-        self.known: dict[str, bytes] = {"": b""}
+        self.dtype = np.dtype("<u4" if self.tok.get_vocab_size() > 1 << 16 else "<u2")
+        self.known: dict[str, bytes] = {}
+
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        e = self.tok.encode(" ".join(new), add_special_tokens=False)
+        of = np.array(e.word_ids, np.int64)
+        if not len(of) or of[-1] != len(new) - 1:
+            raise ValueError("the pieces aren't those of the tokenizer")
+        cuts, ids = np.searchsorted(of, np.arange(len(new) + 1)).tolist(), np.array(e.ids, self.dtype)
+        raw, w = ids.tobytes(), self.dtype.itemsize
+        return {p: raw[w * cuts[k] : w * cuts[k + 1]] for k, p in enumerate(new)}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known, split = self.known, [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        if len(new) + len(known) > self.most:
-            known.clear()
-            known[""] = b""
-            new = list({w for words in split for w in words if w})
-        get = known
-        if new:
-            pieces = self.tok.encode_batch_fast(new, add_special_tokens=False)
-            get = {}
-            for w, e in zip(new, pieces, strict=True):
-                (known if len(w) <= self.longest else get)[w] = np.array(e.ids, self.dtype).tobytes()
-            get = known | get if get else known
-        find = get.__getitem__
-        return [b"".join(map(find, words)) for words in split]
+        out: list[bytes] = []
+        for text in texts:
+            if "<|" in text or not PLAIN.fullmatch(text):
+                out.append(np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes())
+                continue
+            pieces = PIECES.findall(text.lower())
+            try:
+                out.append(b"".join(map(self.known.__getitem__, pieces)))
+            except KeyError:
+                new = self.learn(list({p for p in pieces if p not in self.known}))
+                if len(self.known) + len(new) > self.most:
+                    self.known = {}
+                    new = self.learn(list(set(pieces)))
+                long = [p for p in new if len(p) > self.longest]
+                self.known |= new
+                out.append(b"".join(map(self.known.__getitem__, pieces)))
+                for p in long:
+                    del self.known[p]
+        return out
 
 
 @cache
