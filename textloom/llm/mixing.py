@@ -90,7 +90,7 @@ def mix(docs: DataFrame, most: int = 3) -> DataFrame:
     first = F.when(F.col("copies") > 0, position(mid, F.col("line_target"), F.col("slope")))
     last = F.when(F.col("copies") > 0, position(mid + (F.col("copies") - 1) * F.col("line_size"), F.col("line_target"), F.col("slope")))
     out = p.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", first.alias("first_position"), last.alias("last_position"))
-    return out.orderBy(F.col("first_position").asc_nulls_last())
+    return out.orderBy(F.col("first_position").asc_nulls_last(), "size", "doc_id")
 
 
 def mixed_documents(docs: DataFrame, most: int = 3) -> DataFrame:
