@@ -1,4 +1,334 @@
-"""Queries over the shared tables, each with the SQL that gives the same rows."""
+"""Queries over the shared tables, each with the SQL that gives the same rows.
+
+Words come from the English documents; queries are their deterministic misspellings. Whole tables are used throughout."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.functions import text as X
+from textloom.operators import arith, bits, dictionary, filters, hashing, matching, segment, sequences, tables
 
 QUERIES = {}
 ORACLES = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.from_corpus(load(spark, sf_dir, "documents").where("lang = 'en'"))
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.materialised(dictionary.usable(corpus(spark, sf_dir)), "words")
+
+
+def queries_of(d: DataFrame) -> DataFrame:
+    return dictionary.misspelled(d).select("query").distinct()
+
+
+# SQL pieces
+CORPUS = "corpus AS (SELECT word, count(*)::BIGINT AS count FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang = 'en') GROUP BY word)"
+DICT = CORPUS + ", dict AS (SELECT * FROM corpus WHERE count >= 5 AND length(word) BETWEEN 3 AND 12)"
+MISSPELL = "miss AS (SELECT word AS truth, CASE length(word) % 4 WHEN 0 THEN l || a || r WHEN 1 THEN l || h || h || a || r WHEN 2 THEN l || a || h || r ELSE l || 'x' || a || r END AS query FROM (SELECT word, substr(word, 1, p - 1) AS l, substr(word, p, 1) AS h, substr(word, p + 1, 1) AS a, substr(word, p + 2) AS r FROM (SELECT word, length(word) // 2 AS p FROM dict))), q AS (SELECT DISTINCT query FROM miss)"
+
+
+def variants_sql(source: str, column: str, k: int) -> str:
+    """(w, edit, d, mask) of the deletions of at most k positions, as plain SQL."""
+    base = f"SELECT {column} AS w, length({column}) AS n FROM {source}"
+    one = "SELECT w, substr(w, 1, p - 1) || substr(w, p + 1) AS edit, 1 AS d, (1::BIGINT << (n - p)) AS mask, p = 1 AS a, n FROM (SELECT w, n, unnest(range(1, n + 1)) AS p FROM b)"
+    two = "SELECT w, substr(w, 1, p - 1) || substr(w, p + 1, r - p - 1) || substr(w, r + 1) AS edit, 2 AS d, (1::BIGINT << (n - p)) + (1::BIGINT << (n - r)) AS mask, p = 1 AND r = 2 AS a, n FROM (SELECT w, n, p, unnest(range(p + 1, n + 1)) AS r FROM (SELECT w, n, unnest(range(1, n + 1)) AS p FROM b))"
+    parts = ["SELECT w, w AS edit, 0 AS d, 0::BIGINT AS mask, false AS a, n FROM b", one, two][: k + 1]
+    return f"(WITH b AS ({base}) SELECT w, edit, d, mask FROM ({' UNION ALL '.join(parts)}) WHERE edit <> '' AND NOT (a AND d = {k}))"
+
+
+def index_sql(k: int) -> str:
+    return f"idx AS (SELECT DISTINCT v.edit, w AS word, dict.count FROM {variants_sql('dict', 'word', k)} v JOIN dict ON dict.word = v.w)"
+
+
+def candidates_sql(k: int) -> str:
+    return f"{index_sql(k)}, met AS (SELECT v.w AS query, word, count, length(word) - length(v.edit) AS ed, d, mask FROM {variants_sql('q', 'query', k)} v JOIN idx USING (edit) WHERE abs(length(word) - length(v.w)) <= {k} AND length(word) - length(v.edit) <= {k}), cand AS (SELECT query, word, count, ed, d, mask FROM (SELECT *, row_number() OVER (PARTITION BY query, word ORDER BY d, mask, ed) AS rn FROM met) WHERE rn = 1)"
+
+
+ORDERS = {"first": "d, mask, ed, count DESC, word", "layer": "d, ed, count DESC, mask, word", "full": "ed, CASE WHEN ed = 0 THEN 0 ELSE -count END, d, mask, word"}
+
+
+def top_sql(k: int, mode: str = "first", top: int = 1, rank: str = "") -> str:
+    return f"WITH {DICT}, {MISSPELL}, {candidates_sql(k)} SELECT query, {rank}word, ed AS edit_distance, d AS delete_distance, count FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY {ORDERS[mode]}) AS rank FROM cand) WHERE rank <= {top}"
+
+
+# dictionary and edits
+@query(f"WITH {CORPUS} SELECT word, count FROM corpus")
+def dict_build(spark, sf_dir):
+    return corpus(spark, sf_dir)
+
+
+@query(f"WITH {DICT}, n AS (SELECT count, length(word) AS n FROM dict) SELECT max(n)::BIGINT AS word_max_bytes, max(n)::BIGINT AS word_max_len, 2::BIGINT AS max_distance, sum(count)::BIGINT AS count_sum, max(n * (n - 1) // 2)::BIGINT AS edits_layer_num_max, max(1 + n + n * (n - 1) // 2)::BIGINT AS edits_num_max, min(count) = max(count) AS count_uniform FROM n")
+def dict_stats(spark, sf_dir):
+    return dictionary.stats(words(spark, sf_dir), 2)
+
+
+@query(f"WITH {DICT} SELECT DISTINCT w AS word, edit FROM {variants_sql('dict', 'word', 1)}")
+def edits_explode_k1(spark, sf_dir):
+    return words(spark, sf_dir).select("word", F.explode(X.delete_edits("word", 1)).alias("edit"))
+
+
+@query(f"WITH {DICT} SELECT DISTINCT w AS word, edit FROM {variants_sql('dict', 'word', 2)}")
+def edits_explode_k2(spark, sf_dir):
+    return words(spark, sf_dir).select("word", F.explode(X.delete_edits("word", 2)).alias("edit"))
+
+
+@query(f"WITH {DICT} SELECT word, (length(word) * (length(word) - 1) // 2)::BIGINT AS two FROM dict")
+def edit_counts_binomial(spark, sf_dir):
+    return words(spark, sf_dir).select("word", X.binomial(F.char_length("word"), 2).alias("two"))
+
+
+@query(f"WITH {DICT} SELECT word, (1 + length(word) + length(word) * (length(word) - 1) // 2)::BIGINT AS deletes FROM dict")
+def max_deletes(spark, sf_dir):
+    return words(spark, sf_dir).select("word", X.max_deletes(F.char_length("word"), 2).alias("deletes"))
+
+
+@query(f"WITH {DICT}, {index_sql(2)} SELECT edit, count(*)::BIGINT AS words FROM idx GROUP BY edit")
+def index_postings(spark, sf_dir):
+    return matching.build_index(words(spark, sf_dir), 2).groupBy("edit").agg(F.count("*").alias("words"))
+
+
+@query(f"WITH {DICT}, {index_sql(2)} SELECT edit, count(*)::BIGINT AS words FROM idx GROUP BY edit ORDER BY words DESC, edit LIMIT 20")
+def index_top_postings(spark, sf_dir):
+    return index_postings(spark, sf_dir).orderBy(F.col("words").desc(), "edit").limit(20)
+
+
+# lookups
+def looked_up(spark, sf_dir, k, f, **options):
+    d = words(spark, sf_dir)
+    return f(queries_of(d), matching.build_index(d, k), k, **options)
+
+
+@query(top_sql(1))
+def lookup_top_k1(spark, sf_dir):
+    return looked_up(spark, sf_dir, 1, matching.lookup_top)
+
+
+@query(top_sql(2))
+def lookup_top_k2(spark, sf_dir):
+    return looked_up(spark, sf_dir, 2, matching.lookup_top)
+
+
+@query(top_sql(2, "layer"))
+def lookup_top_layer(spark, sf_dir):
+    return looked_up(spark, sf_dir, 2, matching.lookup_top, mode=matching.LAYER)
+
+
+@query(top_sql(2, "full"))
+def lookup_top_full(spark, sf_dir):
+    return looked_up(spark, sf_dir, 2, matching.lookup_top, mode=matching.FULL)
+
+
+@query(top_sql(2, top=3, rank="rank, "))
+def lookup_topk(spark, sf_dir):
+    return looked_up(spark, sf_dir, 2, matching.lookup_topk, top=3)
+
+
+@query(f"WITH {DICT}, {MISSPELL}, {candidates_sql(1)} SELECT query, word, ed AS edit_distance, d AS delete_distance, count FROM cand")
+def lookup_all(spark, sf_dir):
+    return looked_up(spark, sf_dir, 1, matching.lookup_all)
+
+
+@query(f"WITH {DICT}, {MISSPELL}, {candidates_sql(1)} SELECT query FROM q WHERE query NOT IN (SELECT query FROM cand)")
+def lookup_miss(spark, sf_dir):
+    return looked_up(spark, sf_dir, 1, matching.lookup_miss)
+
+
+@query(f"WITH {DICT}, f AS (SELECT word FROM dict WHERE count >= 200) SELECT a.word AS word, b.word AS word_r, levenshtein(a.word, b.word)::INT AS distance FROM f a JOIN f b ON abs(length(a.word) - length(b.word)) <= 2 AND levenshtein(a.word, b.word) <= 2")
+def fuzzy_join_lev(spark, sf_dir):
+    d = words(spark, sf_dir).where("count >= 200")
+    return matching.fuzzy_join(d, d, "word", "word", 2)
+
+
+@query(f"WITH {DICT}, {MISSPELL} SELECT query, truth, regexp_matches(query, array_to_string(string_split(truth, ''), '.*')) AS longer, regexp_matches(truth, array_to_string(string_split(query, ''), '.*')) AS shorter FROM miss")
+def subsequence_check(spark, sf_dir):
+    return dictionary.misspelled(words(spark, sf_dir)).select("query", "truth", X.is_subsequence("query", "truth").alias("longer"), X.is_subsequence("truth", "query").alias("shorter"))
+
+
+@query(f"WITH {DICT}, {MISSPELL} SELECT query, truth, levenshtein(query, truth)::INT AS distance FROM miss")
+def levenshtein_distance(spark, sf_dir):
+    return dictionary.misspelled(words(spark, sf_dir)).select("query", "truth", X.levenshtein("query", "truth").cast("int").alias("distance"))
+
+
+@query(f"WITH {DICT}, {MISSPELL} SELECT query, truth, damerau_levenshtein(query, truth)::INT AS distance FROM miss")
+def osa_distance(spark, sf_dir):
+    """One edit or swap in the middle of a word, where restricted and unrestricted distances agree."""
+    return dictionary.misspelled(words(spark, sf_dir)).select("query", "truth", X.osa("query", "truth").alias("distance"))
+
+
+@query()
+def segment_phrases(spark, sf_dir):
+    """Part names without their blanks, split again by the dictionary of their own words."""
+    parts = load(spark, sf_dir, "part")
+    d = tables.materialised(dictionary.from_corpus(parts, "p_name"), "part-words")
+    s = dictionary.stats(d).first()
+    phrases = parts.select(F.replace("p_name", F.lit(" "), F.lit("")).alias("phrase")).distinct()
+    return segment.segment(phrases, matching.build_index(d, 1), 1, s["word_max_len"], s["count_sum"])
+
+
+# sequences
+SEQ = "s AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS ord, o_orderkey AS value FROM orders)"
+
+
+def seq(spark, sf_dir):
+    return tables.materialised(sequences.build(load(spark, sf_dir, "orders"), "o_orderkey", "o_orderkey"), "sequence")
+
+
+@query(f"WITH {SEQ} SELECT p.ord, s.value FROM (SELECT DISTINCT l_orderkey * 3 AS ord FROM lineitem) p LEFT JOIN s USING (ord)")
+def ef_get(spark, sf_dir):
+    return sequences.get(seq(spark, sf_dir), load(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 3).alias("ord")).distinct())
+
+
+@query(f"WITH {SEQ} SELECT ord, d AS diff FROM (SELECT ord, lead(value) OVER (ORDER BY ord) - value AS d FROM s) WHERE d IS NOT NULL")
+def ef_diff(spark, sf_dir):
+    return sequences.diff(seq(spark, sf_dir))
+
+
+@query(f"WITH {SEQ} SELECT ord, (sum(value) OVER (ORDER BY ord))::BIGINT AS total FROM s")
+def ef_prefix_sum(spark, sf_dir):
+    return sequences.prefix_sum(seq(spark, sf_dir))
+
+
+@query(f"WITH {SEQ}, x AS (SELECT DISTINCT l_partkey * 7 AS x FROM lineitem) SELECT x, (SELECT min(value) FROM s WHERE value >= x) AS value FROM x")
+def ef_next_geq(spark, sf_dir):
+    return sequences.next_geq(seq(spark, sf_dir), load(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 7).alias("x")))
+
+
+# bits
+BITS = "b AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, (event_type = 'click')::INT AS bit FROM events)"
+
+
+def vector(spark, sf_dir):
+    return tables.materialised(bits.vector(load(spark, sf_dir, "events"), F.col("event_type") == "click", "event_id"), "bits")
+
+
+@query(f"WITH {BITS} SELECT pos + 1 AS i, (sum(bit) OVER (ORDER BY pos))::BIGINT AS rank FROM b")
+def rank1(spark, sf_dir):
+    return bits.rank(vector(spark, sf_dir), 1)
+
+
+@query(f"WITH {BITS} SELECT pos + 1 AS i, (sum(1 - bit) OVER (ORDER BY pos))::BIGINT AS rank FROM b")
+def rank0(spark, sf_dir):
+    return bits.rank(vector(spark, sf_dir), 0)
+
+
+@query(f"WITH {BITS} SELECT row_number() OVER (ORDER BY pos) AS i, pos FROM b WHERE bit = 1")
+def select1(spark, sf_dir):
+    return bits.select(vector(spark, sf_dir), 1)
+
+
+@query(f"WITH {BITS} SELECT row_number() OVER (ORDER BY pos) AS i, pos FROM b WHERE bit = 0")
+def select0(spark, sf_dir):
+    return bits.select(vector(spark, sf_dir), 0)
+
+
+@query(f"WITH {BITS} SELECT b.pos AS start, min(CASE WHEN bit = 1 THEN pos END) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS pos FROM b")
+def next_set_bit(spark, sf_dir):
+    v = vector(spark, sf_dir)
+    return bits.next_bit(v, v.select(F.col("pos").alias("start")), 1)
+
+
+@query("SELECT event_id, (SELECT p FROM (SELECT p, row_number() OVER (ORDER BY p) AS rn FROM (SELECT unnest(range(0, 64)) AS p) WHERE ((event_id >> (63 - p)) & 1) = 1) WHERE rn = 2) AS second FROM events")
+def nth_set_bit(spark, sf_dir):
+    return load(spark, sf_dir, "events").select("event_id", bits.nth_set_bit("event_id", 2).cast("long").alias("second"))
+
+
+@query("SELECT o_custkey, string_agg(lpad(bin(o_orderkey), 20, '0'), '' ORDER BY o_orderkey) AS bits FROM orders GROUP BY o_custkey")
+def bit_pack(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    packed = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("l"))
+    return packed.select("o_custkey", F.array_join(F.transform("l", lambda x: bits.bit_text(x, 20)), "").alias("bits"))
+
+
+@query("SELECT o_orderkey, (o_orderkey >> 4) & 255 AS middle FROM orders")
+def bit_unpack(spark, sf_dir):
+    return load(spark, sf_dir, "orders").select("o_orderkey", bits.unpack(bits.bit_text("o_orderkey", 40), 28, 8).alias("middle"))
+
+
+# hashing
+@query(f"WITH {DICT} SELECT word AS key, row_number() OVER (ORDER BY word) - 1 AS slot FROM dict")
+def phf_assign(spark, sf_dir):
+    return hashing.assign(words(spark, sf_dir).select(F.col("word").alias("key")))
+
+
+@query(f"WITH {DICT}, {MISSPELL}, t AS (SELECT word AS key, row_number() OVER (ORDER BY word) - 1 AS slot FROM dict) SELECT query AS key, slot FROM q LEFT JOIN t ON query = key")
+def phf_lookup_miss(spark, sf_dir):
+    d = words(spark, sf_dir)
+    return hashing.get(hashing.assign(d.select(F.col("word").alias("key"))), queries_of(d).select(F.col("query").alias("key")))
+
+
+UNIT = "(l_linenumber - 1) / 8.0::DOUBLE"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, floor(({UNIT} + (1 - {UNIT}) * ln(1 - {UNIT})) * 1000)::BIGINT AS optimal, CASE WHEN {UNIT} < 0.6::DOUBLE THEN floor({UNIT} / 0.6::DOUBLE * 300) ELSE 300 + floor(({UNIT} - 0.6::DOUBLE) / (1 - 0.6::DOUBLE) * 700) END::BIGINT AS skewed FROM lineitem")
+def bucket_mappers(spark, sf_dir):
+    u = (F.col("l_linenumber") - 1) / 8.0
+    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", hashing.optimal_bucket(u, 1000).alias("optimal"), hashing.skewed_bucket(u, 1000).alias("skewed"))
+
+
+# filters
+@query("SELECT n, greatest(1, floor(-n * ln(0.01::DOUBLE) / (ln(2) * ln(2))))::BIGINT AS bits, ceil(greatest(1, floor(-n * ln(0.01::DOUBLE) / (ln(2) * ln(2)))) / 8)::BIGINT AS bytes, greatest(1, floor(greatest(1, floor(-n * ln(0.01::DOUBLE) / (ln(2) * ln(2)))) / n * ln(2)))::BIGINT AS hashes FROM (VALUES (7), (100), (10000)) t(n)")
+def bloom_formulas(spark, sf_dir):
+    rows = [(n, filters.bloom_bits(n, 0.01), filters.bloom_bytes(n, 0.01), filters.bloom_hashes(n, 0.01)) for n in (7, 100, 10000)]
+    return spark.createDataFrame(rows, "n int, bits long, bytes long, hashes long")
+
+
+@query(f"WITH {DICT} SELECT word AS key, true AS maybe FROM dict")
+def bloom_probe(spark, sf_dir):
+    """Every member is found."""
+    d = words(spark, sf_dir).select(F.col("word").alias("key"))
+    n = d.count()
+    return filters.bloom_contains(filters.bloom_build(d, "key", n), d, "key", n)
+
+
+@query("WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events), p AS (SELECT *, max(rn) OVER (PARTITION BY user_id, event_type ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM e) SELECT user_id, event_id, event_type, last IS NOT NULL AND (SELECT count(DISTINCT x.event_type) FROM e x WHERE x.user_id = p.user_id AND x.rn > p.last AND x.rn < p.rn) < 2 AS hit FROM p")
+def lru_hits(spark, sf_dir):
+    return filters.lru_hits(load(spark, sf_dir, "events"), "user_id", "event_id", "event_type", 2)
+
+
+# arithmetic and formats
+@query("SELECT o_orderkey, o_orderkey // 37 AS q37, o_orderkey // 1 AS q1 FROM orders")
+def fast_div(spark, sf_dir):
+    return load(spark, sf_dir, "orders").select("o_orderkey", arith.fast_div(F.col("o_orderkey"), 37).alias("q37"), arith.fast_div(F.col("o_orderkey"), 1).alias("q1"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 37 AS r37 FROM orders")
+def fast_mod(spark, sf_dir):
+    return load(spark, sf_dir, "orders").select("o_orderkey", arith.fast_mod(F.col("o_orderkey"), 37).alias("r37"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 7 = 0 AS by7 FROM orders")
+def is_divisible(spark, sf_dir):
+    return load(spark, sf_dir, "orders").select("o_orderkey", arith.is_divisible(F.col("o_orderkey"), 7).alias("by7"))
+
+
+@query("SELECT doc_id, n_chars, CASE WHEN n_chars < 1024 THEN printf('%.2fb', n_chars::DOUBLE) ELSE printf('%.2fKb', n_chars / 1024.0::DOUBLE) END AS size, CASE WHEN n_chars <= 1 THEN 0 ELSE length(bin(n_chars - 1)) END::INT AS log2 FROM documents")
+def human_bytes(spark, sf_dir):
+    n = F.col("n_chars")
+    return load(spark, sf_dir, "documents").select("doc_id", "n_chars", arith.human_bytes(n).alias("size"), arith.log2_ceil(n).cast("int").alias("log2"))
+
+
+@query("SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def schema_roundtrip(spark, sf_dir):
+    events = load(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    path = tables.work_path(spark, "roundtrip")
+    tables.write_table(events, path)
+    return tables.read_table(spark, path, tables.schema_of_json(tables.schema_json(events.schema)))
