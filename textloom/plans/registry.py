@@ -60,14 +60,14 @@ def index_sql(k: int) -> str:
 
 
 def candidates_sql(k: int) -> str:
-    return f"{index_sql(k)}, met AS (SELECT v.w AS query, word, count, length(word) - length(v.edit) AS ed, d, mask FROM {variants_sql('q', 'query', k)} v JOIN idx USING (edit) WHERE abs(length(word) - length(v.w)) <= {k} AND length(word) - length(v.edit) <= {k}), cand AS (SELECT query, word, count, ed, d, mask FROM (SELECT *, row_number() OVER (PARTITION BY query, word ORDER BY d, mask, ed) AS rn FROM met) WHERE rn = 1)"
+    return f"{index_sql(k)}, met AS (SELECT v.w AS query, word, count, (length(word) - length(v.edit))::INT AS ed, d, mask FROM {variants_sql('q', 'query', k)} v JOIN idx USING (edit) WHERE abs(length(word) - length(v.w)) <= {k} AND length(word) - length(v.edit) <= {k}), cand AS (SELECT query, word, count, ed, d, mask FROM (SELECT *, row_number() OVER (PARTITION BY query, word ORDER BY d, mask, ed) AS rn FROM met) WHERE rn = 1)"
 
 
 ORDERS = {"first": "d, mask, ed, count DESC, word", "layer": "d, ed, count DESC, mask, word", "full": "ed, CASE WHEN ed = 0 THEN 0 ELSE -count END, d, mask, word"}
 
 
 def top_sql(k: int, mode: str = "first", top: int = 1, rank: str = "") -> str:
-    return f"WITH {DICT}, {MISSPELL}, {candidates_sql(k)} SELECT query, {rank}word, ed AS edit_distance, d AS delete_distance, count FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY {ORDERS[mode]}) AS rank FROM cand) WHERE rank <= {top}"
+    return f"WITH {DICT}, {MISSPELL}, {candidates_sql(k)} SELECT query, {rank}word, ed AS edit_distance, d AS delete_distance, count FROM (SELECT *, (row_number() OVER (PARTITION BY query ORDER BY {ORDERS[mode]}))::INT AS rank FROM cand) WHERE rank <= {top}"
 
 
 # dictionary and edits
