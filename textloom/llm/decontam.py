@@ -23,11 +23,11 @@ from pyspark.sql import window as W
 from .common import load, written
 
 #: A-Z are letters of the words and become a-z.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 200_000
-#: Stands behind a document's words; no word can equal it.
-END = " end"
+#: Stands before and behind a text's words; no word is empty.
+END = ""
 
 
 def lowered(text: Column) -> Column:
@@ -35,8 +35,13 @@ def lowered(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def framed(text: Column) -> Column:
+    """The words of a text between an END before and an END behind: its k-th word (from 0) is element k + 1."""
+    return F.split(F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" ")), BREAK)
+
+
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(0))
+    return F.filter(framed(text), lambda w: w != END)
 
 
 def item_words(items: DataFrame) -> DataFrame:
@@ -52,7 +57,7 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Occurrences of each of terms (term) in all docs (text)."""
-    found = docs.select(F.explode(words_of(F.col("text"))).alias("w")).select(lowered(F.col("w")).alias("term"))
+    found = docs.select(F.explode(framed(F.col("text"))).alias("w")).select(lowered(F.col("w")).alias("term"))
     counted = found.join(small(terms)[0], "term").groupBy("term").agg(F.count("*").alias("uses"))
     return terms.join(counted, "term", "left").select("term", F.coalesce("uses", F.lit(0)).alias("uses"))
 
@@ -75,12 +80,12 @@ def anchors_of(items: DataFrame, counts: DataFrame, n: int) -> DataFrame:
 def postings(docs: DataFrame, terms: DataFrame, n: int, keys: list[str]) -> DataFrame:
     """The positional index of terms (term): keys, term, pos, and the n-1 words before (nearest first) and behind, for every occurrence in docs (keys, text); and for
     each document a row with the term END, whose pos is the number of its words."""
-    words = docs.select(*keys, F.concat(words_of(F.col("text")), F.array(F.lit(END))).alias("words"))
-    at = words.select(*keys, "words", F.posexplode("words").alias("pos", "w"))
+    words = docs.select(*keys, framed(F.col("text")).alias("words"))
+    at = words.select(*keys, "words", F.posexplode("words").alias("place", "w")).where("place > 0").withColumn("pos", F.col("place") - 1)
     ends = terms.select("term").union(docs.sparkSession.createDataFrame([(END,)], "term string"))
     known, few = small(ends)
-    before = F.reverse(F.slice("words", F.greatest(F.col("pos") - n + 2, F.lit(1)), F.least(F.col("pos"), F.lit(n - 1))))
-    behind = F.slice("words", F.col("pos") + 2, n - 1)
+    before = F.reverse(F.slice("words", F.greatest(F.col("place") - n + 2, F.lit(2)), F.least(F.col("pos"), F.lit(n - 1))))
+    behind = F.slice("words", F.col("place") + 2, n - 1)
     if few:
         return at.withColumn("term", lowered(F.col("w"))).join(known, "term").select(*keys, "term", "pos", F.transform(before, lowered).alias("before"), F.transform(behind, lowered).alias("behind"))
     return at.select(*keys, lowered(F.col("w")).alias("term"), "pos", F.transform(before, lowered).alias("before"), F.transform(behind, lowered).alias("behind")).join(known, "term")
