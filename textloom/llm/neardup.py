@@ -7,9 +7,10 @@ allowed errors of a chunk are enumerated by leaving out each of its symbols in t
 0.8 differ in 10 symbols on average; the chance that none of the 50 keys is shared is 0.263^10, under 2 in a million, and falls fast above.
 
 Links. Equal sets are one class from the start. A bucket (the classes of a key) is never paired off as a whole: first each class meets the bucket's least
-one, candidates are confirmed on full sets, and components are formed. Only buckets that still hold several components are joined with themselves, between
-different components alone and with the distance (at most FAR symbols) as a join condition; again confirmed on full sets. No link between components
-is lost by this: pairs inside one component cannot change it. All joins are equi-joins that adaptive execution splits when a key is hot.
+and most central ones, candidates within FAR symbols are confirmed on full sets, and components are formed. What is left are buckets of several components. Their classes
+are sifted by a bound that holds for every link: with 5 * intersection >= 4 * union two sets share one of their rarest fifth of shingles. So each open class lists that
+fifth by how many open classes have them, and classes of different components that share one are confirmed on full sets. No link between components is lost by this, and
+pairs inside one component cannot change it. All joins are equi-joins that adaptive execution splits when a key is hot.
 
 Cases. Null, empty and wordless texts have no shingle, no link, and are components of their own. Repeated rows get a row each. A null doc_id cannot name a
 component: such a row has component_id null and kept true and takes no part in links. Rows of one doc_id with different texts are judged each on its own text.
@@ -24,12 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from .common import LOWER, NOT_SPACE, chunks, load, mix, word_hashes, word_spans, written
 
 SYMBOLS, CHUNK, SHINGLE = 50, 5, 4
 CHUNKS = SYMBOLS // CHUNK
 LONGS = -(-SYMBOLS // 4)
+#: Symbols that may differ in a candidate: five deviations beyond similarity 0.8.
 FAR = 24
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
@@ -80,7 +83,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 hi = [np.bitwise_xor.reduce(mix(h)) ^ np.uint64(len(h)) if len(h) else 0 for h in sets]
                 lo = [np.add.reduce(mix(h * _MUL[1])) + np.uint64(len(h)) if len(h) else 0 for h in sets]
                 number = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[rows].cast(pa.int64()), pa.array([len(h) for h in sets], pa.int64()), number(hi), number(lo), *(pa.array(sig[:, k]) for k in range(LONGS))], ["doc_id", "n_shingles", "hi", "lo", *SIG])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[rows].cast(pa.int64()), pa.array([len(h) for h in sets], pa.int64()), number(hi), number(lo), *(pa.array(sig[:, k]) for k in range(sig.shape[1]))], ["doc_id", "n_shingles", "hi", "lo", *SIG])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, " + ", ".join(f"{s} long" for s in SIG))
 
@@ -92,28 +95,50 @@ def keys_of() -> F.Column:
 
 
 def distance(a: str, b: str) -> F.Column:
-    """Differing symbols of two signatures: 16-bit lanes of the xor that aren't 0."""
+    """Differing symbols of two signatures: 16-bit lanes of the xor that aren't 0. Adding 7FFF to a lane's low bits carries into its high bit unless they are 0; the
+    upper two lanes are shifted down first, so that no sum overflows."""
     total = F.lit(0)
     for s in SIG:
-        x = F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))
-        for k in (8, 4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, k))
-        total = total + F.bit_count(x.bitwiseAND(0x0001000100010001))
+        for part in (F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}")).bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}")), 32)):
+            total = total + F.bit_count((part.bitwiseAND(0x7FFF7FFF) + 0x7FFF7FFF).bitwiseOR(part).bitwiseAND(0x80008000))
     return total
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, least: int = 80) -> DataFrame:
-    """Of pairs (a, b) those whose full sets satisfy 100 * intersection >= least * union."""
-    pairs = written(pairs, "dup-candidates")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, set) of the wanted (id), the set as little-endian 64-bit hashes."""
 
     def sets(batches):
         for batch in batches:
             for rows, data, offsets in chunks(batch, "text"):
                 yield pa.RecordBatch.from_arrays([batch.column("id")[rows], pa.array([h.tobytes() for h in shingle_sets(data, offsets)], pa.binary())], ["id", "set"])
 
-    known = written(texts.mapInArrow(sets, "id long, set binary"), "dup-sets")
+    return docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi").mapInArrow(sets, "id long, set binary")
+
+
+def sharing_rare(docs: DataFrame, open_: DataFrame) -> DataFrame:
+    """Pairs (a, b) of open_ (id, component) of different components that share one of their rarest fifth of shingles."""
+
+    def listed(batches):
+        for batch in batches:
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("set")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
+
+    rows = written(sets_of(docs, open_.select("id")).mapInArrow(listed, "id long, set array<long>").select("id", F.size("set").alias("n"), F.explode("set").alias("g")), "dup-shingles")
+    common = rows.groupBy("g").agg(F.count("*").alias("f")).where("f > 1")
+    ranked = rows.join(common, "g", "left").withColumn("r", F.row_number().over(W.Window.partitionBy("id").orderBy(F.coalesce("f", F.lit(1)), "g")))
+    rare = written(ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1) & F.col("f").isNotNull()).select("id", "n", "g", "r").join(open_, "id"), "dup-rare")
+    side = lambda x: rare.select("g", F.col("id").alias(x), F.col("n").alias(x + "n"), F.col("r").alias(x + "r"), F.col("component").alias(x + "c"))
+    # at the first shingle that a pair shares, in this order, no more than what stands behind it on either side can be shared besides; a link needs 9 * intersection >= 4 * (sum of sizes)
+    enough = 9 * (F.least(F.col("an") - F.col("ar"), F.col("bn") - F.col("br")) + 1) >= 4 * (F.col("an") + F.col("bn"))
+    both = side("a").join(side("b"), "g").where((F.col("a") > F.col("b")) & (F.col("ac") != F.col("bc")) & (5 * F.least("an", "bn") >= 4 * F.greatest("an", "bn")) & enough)
+    return both.select("a", "b").distinct()
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, least: int = 80) -> DataFrame:
+    """Of pairs (a, b) those whose full sets satisfy 100 * intersection >= least * union."""
+    pairs = written(pairs, "dup-candidates")
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    known = written(sets_of(docs, wanted), "dup-sets")
 
     def judge(batches):
         for batch in batches:
@@ -145,27 +170,27 @@ def components(links: DataFrame) -> DataFrame:
         label = written(step.drop("moved").join(jump, "component").select("id", F.col("c").alias("component")), "dup-labels")
 
 
-def near_duplicates(docs: DataFrame, least: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs: doc_id (bigint), text -> doc_id, n_shingles, component_id, kept; a row per row of docs."""
     rows = written(signed(docs), "dup-signatures")
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), *[F.first(s).alias(s) for s in SIG])
     classes = written(classes, "dup-classes")
     keyed = classes.select("id", F.explode(keys_of()).alias("key"))
-    buckets = written(keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first"), "dup-buckets")
-    stars = keyed.join(buckets, "key").where("id > first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    buckets = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    members = written(keyed.join(written(buckets, "dup-buckets"), "key"), "dup-members")  # the classes of buckets with more than one
+    # a bucket has two stars: its least class, and of the others the most central one, whose own buckets hold the most classes (of copies of one text the text itself)
+    central = members.groupBy("id").agg(F.sum("n").alias("weight"))
+    heads = members.where("id > first").select("key", "id").join(central, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("m"))).alias("h")).select("key", (-F.col("h.m")).alias("head"))
+    stars = members.join(written(heads, "dup-heads"), "key").select("id", F.explode(F.array("first", "head")).alias("b")).where("id <> b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
     sig = lambda side: classes.select(F.col("id").alias(side), *[F.col(s).alias(side + s) for s in SIG])
     stars = stars.join(sig("b"), "b").join(sig("a"), "a").where(distance("a", "b") <= FAR).select("a", "b")
-    links = confirmed(stars, docs, least)
+    links = confirmed(stars, docs)
     label = components(links)
-    # what the stars leave: buckets of several components
-    named = classes.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    named = written(named.drop("hi", "lo"), "dup-named")
-    keyed = named.select("id", "component", *SIG, F.explode(keys_of()).alias("key"))
-    mixed = buckets.select("key").join(keyed.select("key", "component"), "key").groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    open_ = written(keyed.join(mixed, "key", "left_semi"), "dup-open")
-    side = lambda x: open_.select("key", F.col("id").alias(x), F.col("component").alias("c" + x), *[F.col(s).alias(x + s) for s in SIG])
-    rest = side("a").join(side("b"), "key").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (distance("a", "b") <= FAR)).select("a", "b").distinct()
-    more = confirmed(rest.join(links, ["a", "b"], "left_anti"), docs, least)
+    # what the stars leave: buckets of several components; up to three classes have all met each other as stars
+    placed = members.where("n > 3").select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    open_ = written(placed.join(mixed, "key").select("id", "component").distinct(), "dup-open")
+    more = confirmed(sharing_rare(docs, open_), docs)
     if more.limit(1).count():
         label = components(links.union(more))
     named = classes.join(label, "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("component"))
