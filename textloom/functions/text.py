@@ -77,7 +77,7 @@ def is_subsequence(text: Column | str, part: Column | str) -> Column:
 
 def code_points(text: Column | str) -> Column:
     """array<int> of a text's code points; null where it isn't UTF-8."""
-    return F.transform(F.filter(F.split(F.try_validate_utf8(col(text)), ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10).cast("int"))
+    return F.transform(F.filter(F.split(F.try_validate_utf8(col(text)), ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("int"))
 
 
 def levenshtein(a: Column | str, b: Column | str) -> Column:
