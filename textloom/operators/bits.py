@@ -59,12 +59,12 @@ def unpack(bits: Column | str, at: Column | int, width: Column | int) -> Column:
 
 def is_set(word: Column | str, i: Column | int) -> Column:
     """Bit i of a 64-bit word, the most significant being 0."""
-    w = F.col(word) if isinstance(word, str) else word
+    w = (F.col(word) if isinstance(word, str) else word).cast("long")
     return F.getbit(w, F.lit(63) - i) == 1
 
 
 def with_bit(word: Column | str, i: int, on: bool) -> Column:
-    w = F.col(word) if isinstance(word, str) else word
+    w = (F.col(word) if isinstance(word, str) else word).cast("long")
     mask = 1 << (63 - i)
     mask -= (mask >> 63) << 64
     return w.bitwiseOR(F.lit(mask)) if on else w.bitwiseAND(F.lit(~mask))
@@ -72,7 +72,7 @@ def with_bit(word: Column | str, i: int, on: bool) -> Column:
 
 def nth_set_bit(word: Column | str, n: Column | int, lsb: bool = False) -> Column:
     """Position of the n-th set bit (from 1) of a 64-bit word, counted from the most, or least, significant; null if there is none."""
-    w = F.col(word) if isinstance(word, str) else word
+    w = (F.col(word) if isinstance(word, str) else word).cast("long")
     n = F.lit(n) if isinstance(n, int) else n
     places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(w, i if lsb else F.lit(63) - i) == 1)
     return F.when(n >= 1, F.get(places, n - 1))
