@@ -105,25 +105,26 @@ def distance(a: str, b: str) -> F.Column:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, set) of the wanted (id), the set as little-endian 64-bit hashes."""
+    """(id, set) of the wanted (id), the set as little-endian 64-bit hashes. The ids grow with the data, so they are met by a shuffle at every size; repeated rows come once."""
 
     def sets(batches):
         for batch in batches:
             for rows, data, offsets in chunks(batch, "text"):
                 yield pa.RecordBatch.from_arrays([batch.column("id")[rows], pa.array([h.tobytes() for h in shingle_sets(data, offsets)], pa.binary())], ["id", "set"])
 
-    return docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi").mapInArrow(sets, "id long, set binary")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted.hint("merge"), "id", "left_semi")
+    return texts.dropDuplicates(["id", "text"]).mapInArrow(sets, "id long, set binary")
 
 
-def sharing_rare(docs: DataFrame, open_: DataFrame) -> DataFrame:
-    """Pairs (a, b) of open_ (id, component) of different components that share one of their rarest fifth of shingles."""
+def sharing_rare(sets: DataFrame, open_: DataFrame) -> DataFrame:
+    """Pairs (a, b) of open_ (id, component) of different components that share one of their rarest fifth of shingles; sets: (id, set)."""
 
     def listed(batches):
         for batch in batches:
-            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("set")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
+            found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("set")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "set"])
 
-    rows = written(sets_of(docs, open_.select("id")).mapInArrow(listed, "id long, set array<long>").select("id", F.size("set").alias("n"), F.explode("set").alias("g")), "dup-shingles")
+    rows = written(sets.join(open_.select("id").hint("merge"), "id", "left_semi").mapInArrow(listed, "id long, set array<long>").select("id", F.size("set").alias("n"), F.explode("set").alias("g")), "dup-shingles")
     common = rows.groupBy("g").agg(F.count("*").alias("f")).where("f > 1")
     ranked = rows.join(common, "g", "left").withColumn("r", F.row_number().over(W.Window.partitionBy("id").orderBy(F.coalesce("f", F.lit(1)), "g")))
     rare = written(ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1) & F.col("f").isNotNull()).select("id", "n", "g", "r").join(open_, "id"), "dup-rare")
@@ -134,11 +135,9 @@ def sharing_rare(docs: DataFrame, open_: DataFrame) -> DataFrame:
     return both.select("a", "b").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, least: int = 80) -> DataFrame:
-    """Of pairs (a, b) those whose full sets satisfy 100 * intersection >= least * union."""
+def confirmed(pairs: DataFrame, sets: DataFrame, least: int = 80) -> DataFrame:
+    """Of pairs (a, b) those whose full sets satisfy 100 * intersection >= least * union; sets: (id, set) of all ids in pairs."""
     pairs = written(pairs, "dup-candidates")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    known = written(sets_of(docs, wanted), "dup-sets")
 
     def judge(batches):
         for batch in batches:
@@ -152,7 +151,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, least: int = 80) -> DataFrame:
             found = batch.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([found.column("a"), found.column("b")], ["a", "b"])
 
-    full = pairs.join(known.withColumnsRenamed({"id": "b", "set": "y"}), "b").join(known.withColumnsRenamed({"id": "a", "set": "x"}), "a").select("a", "b", "x", "y")
+    x, y = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    full = pairs.hint("merge").join(x, "a").hint("merge").join(y, "b").select("a", "b", "x", "y")
     return written(full.mapInArrow(judge, "a long, b long").distinct(), "dup-links")
 
 
@@ -173,24 +173,25 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs: doc_id (bigint), text -> doc_id, n_shingles, component_id, kept; a row per row of docs."""
     rows = written(signed(docs), "dup-signatures")
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), *[F.first(s).alias(s) for s in SIG])
+    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), *[F.first(s).alias(s) for s in SIG])
     classes = written(classes, "dup-classes")
     keyed = classes.select("id", F.explode(keys_of()).alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     members = written(keyed.join(written(buckets, "dup-buckets"), "key"), "dup-members")  # the classes of buckets with more than one
+    sets = written(sets_of(docs, members.select("id").distinct()), "dup-sets")  # every later step needs sets of members alone: texts are shuffled once
     # a bucket has two stars: its least class, and of the others the most central one, whose own buckets hold the most classes (of copies of one text the text itself)
     central = members.groupBy("id").agg(F.sum("n").alias("weight"))
     heads = members.where("id > first").select("key", "id").join(central, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("m"))).alias("h")).select("key", (-F.col("h.m")).alias("head"))
     stars = members.join(written(heads, "dup-heads"), "key").select("id", F.explode(F.array("first", "head")).alias("b")).where("id <> b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-    sig = lambda side: classes.select(F.col("id").alias(side), *[F.col(s).alias(side + s) for s in SIG])
-    stars = stars.join(sig("b"), "b").join(sig("a"), "a").where(distance("a", "b") <= FAR).select("a", "b")
-    links = confirmed(stars, docs)
+    sig = lambda side: classes.select(F.col("id").alias(side), F.col("n").alias(side + "n"), *[F.col(s).alias(side + s) for s in SIG])
+    stars = stars.join(sig("b"), "b").join(sig("a"), "a").where((5 * F.least("an", "bn") >= 4 * F.greatest("an", "bn")) & (distance("a", "b") <= FAR)).select("a", "b")
+    links = confirmed(stars, sets)
     label = components(links)
     # what the stars leave: buckets of several components; up to three classes have all met each other as stars
     placed = members.where("n > 3").select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     open_ = written(placed.join(mixed, "key").select("id", "component").distinct(), "dup-open")
-    more = confirmed(sharing_rare(docs, open_), docs)
+    more = confirmed(sharing_rare(sets, open_), sets)
     if more.limit(1).count():
         label = components(links.union(more))
     named = classes.join(label, "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("component"))
