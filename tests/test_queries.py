@@ -5,10 +5,11 @@ import os
 import duckdb
 import pytest
 
-from textloom.plans import registry
+from textloom.plans import inventory, registry
 
 DIR = "/root/testdata/sf0.001"
 NAMES = ["dict_build", "dict_stats", "edits_explode_k2", "lookup_top_k1", "lookup_top_k2", "lookup_topk", "lookup_miss", "fuzzy_join_lev", "ef_next_geq", "rank1", "select0", "next_set_bit", "phf_assign", "lru_hits", "schema_roundtrip"]
+NAMES += sorted(n for n, f in registry.QUERIES.items() if f.__module__ == inventory.__name__)
 
 
 def same(df, sql, folder):

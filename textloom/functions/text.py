@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: How variants are freed of repetitions: not at all, or within each number of deletions. Approximate filters would lose variants or keep some twice; here they are exact too.
+DEDUPS = ("none", "hash", "bloom", "lru")
 #: The longest word whose deletions fit the mask of 62 bits.
 LONGEST = 62
 
@@ -54,6 +56,48 @@ def delete_edits(word: Column | str, k: int, complete: bool = False) -> Column:
     return F.array_distinct(F.transform(delete_variants(word, k, complete), lambda e: e["edit"]))
 
 
+def layered_edits(word: Column | str, k: int, dedup: str = "hash") -> Column:
+    """array<struct<d, edit>>: the strings of delete_variants by number of deletions."""
+    pairs = F.transform(delete_variants(word, k), lambda e: F.struct(e["d"].alias("d"), e["edit"].alias("edit")))
+    if dedup not in DEDUPS:
+        raise ValueError(f"{dedup}: not one of {DEDUPS}")
+    return pairs if dedup == "none" else F.array_distinct(pairs)
+
+
+def next_permutation(items: Column | str) -> Column:
+    """The next larger arrangement of an array's items; null for the last one, and for arrays of fewer than two."""
+    a = col(items)
+    n = F.size(a)
+    rises = F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.element_at(a, i) < F.element_at(a, i + 1))
+    i = F.when(n >= 2, F.array_max(rises))
+    pivot = F.element_at(a, i)
+    j = F.array_max(F.filter(F.sequence(i + 1, n), lambda x: F.element_at(a, x) > pivot))
+    tail = F.transform(F.slice(a, i + 1, n), lambda x, at: F.when(at + i + 1 == j, pivot).otherwise(x))
+    return F.when(i.isNotNull(), F.concat(F.slice(a, F.lit(1), i - 1), F.array(F.element_at(a, j)), F.reverse(tail)))
+
+
+def deep_bytes(df_schema: T.StructType) -> Column:
+    """Bytes of a row's values: texts and binaries by their length, other types by their width; nulls none. Nested values are measured in their JSON form."""
+    widths = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4, T.LongType: 8, T.DoubleType: 8, T.TimestampType: 8}
+    parts = []
+    for f in df_schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = F.octet_length(c)
+        elif type(f.dataType) in widths:
+            size = F.lit(widths[type(f.dataType)])
+        else:
+            size = F.octet_length(F.to_json(F.struct(c)))
+        parts.append(F.when(c.isNull(), 0).otherwise(size).cast("long"))
+    return reduce(lambda a, b: a + b, parts, F.lit(0).cast("long"))
+
+
+def random_text(key: Column | str, length: int, seed: int = 0) -> Column:
+    """A text of letters and digits that depends on key and seed alone."""
+    letters = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)]))
+    return F.concat(*[F.substr(F.lit(letters), F.pmod(F.xxhash64(F.lit(seed), F.lit(i), col(key)), F.lit(62)).cast("int") + 1, F.lit(1)) for i in range(length)])
+
+
 def binomial(n: Column | str, k: int) -> Column:
     """C(n, k), 0 where k is larger."""
     n = col(n).cast("long")

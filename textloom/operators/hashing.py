@@ -34,9 +34,14 @@ class Config:
         return size + (size & (size - 1) == 0)
 
 
+def collisions(keys: DataFrame, key: str = "key") -> DataFrame:
+    """(key, times) of the keys that come more than once."""
+    return keys.groupBy(key).agg(F.count("*").alias("times")).where("times > 1")
+
+
 def assign(keys: DataFrame, key: str = "key") -> DataFrame:
     """(key, slot): a bijection from the keys to 0..n-1 in the order of keys; raises Collision if one comes twice."""
-    twice = keys.groupBy(key).count().where("count > 1").limit(1).collect()
+    twice = collisions(keys, key).limit(1).collect()
     if twice:
         raise Collision(str(twice[0][0]))
     return numbered(keys.select(key), key, name="slot").select(key, "slot")

@@ -15,13 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import delete_edits, delete_variants, osa
+from textloom.functions.text import DEDUPS, delete_edits, delete_variants, osa
 
 FIRST, LAYER, FULL = "first", "layer", "full"
 
 
-def build_index(dictionary: DataFrame, k: int = 2, complete: bool = False, max_distance: Column | None = None) -> DataFrame:
-    """dictionary: word, count. max_distance: per-word limit of at most k."""
+def build_index(dictionary: DataFrame, k: int = 2, complete: bool = False, max_distance: Column | None = None, dedup: str = "hash") -> DataFrame:
+    """dictionary: word, count. max_distance: per-word limit of at most k. dedup: one of DEDUPS; the index is exact under each of them."""
+    if dedup not in DEDUPS:
+        raise ValueError(f"{dedup}: not one of {DEDUPS}")
     edits = delete_variants("word", k, complete)
     if max_distance is not None:
         each = None
@@ -76,6 +78,16 @@ def lookup_miss(queries: DataFrame, index: DataFrame, k: int = 2) -> DataFrame:
     return queries.join(candidates(queries, index, k).select("query").distinct(), "query", "left_anti")
 
 
+def probe(queries: DataFrame, index: DataFrame, k: int = 2) -> DataFrame:
+    """queries: query (distinct) -> query, edit, word: every posting that a query's own deletions meet, before any rank or filter."""
+    return queries.select("query", F.explode(delete_edits("query", k)).alias("edit")).join(index, "edit").select("query", "edit", "word")
+
+
+def too_long(queries: DataFrame, longest: int, k: int = 2) -> DataFrame:
+    """The queries that no word of at most `longest` characters can match."""
+    return queries.where(F.char_length("query") > longest + k)
+
+
 def fuzzy_join(left: DataFrame, right: DataFrame, on_left: str, on_right: str, k: int = 1, metric: str = "levenshtein") -> DataFrame:
     """All pairs within distance k: both sides' complete deletions are joined, then the true distance is taken. A text of at most k characters can lose all of them, so the empty string counts here."""
     def edits(c: str) -> Column:

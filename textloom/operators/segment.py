@@ -5,11 +5,10 @@ its distance is smaller, or as large (with or without the separator's 1) and mor
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .matching import lookup_top
@@ -42,23 +41,37 @@ def fold(n: int, parts: dict[tuple[int, int], tuple[str, str, int, int, float]])
     return best[n] if n else None
 
 
+def clean_part(raw: Column, options: Options | None = None) -> tuple[Column, Column, Column]:
+    """(the part without separators and punctuation, bytes removed besides a leading separator, whether a separator leads)."""
+    o = options or Options()
+    led, body = F.lit(False), raw
+    for s in o.separators:
+        led = led | raw.startswith(s)
+        body = F.when(raw.startswith(s), F.substr(raw, F.lit(len(s) + 1))).otherwise(body)
+    clean = body
+    for mark in (*o.separators, *o.punctuation):
+        clean = F.replace(clean, F.lit(mark), F.lit(""))
+    return clean, F.octet_length(body) - F.octet_length(clean), led
+
+
+def hit_score(count: Column, count_sum: int) -> Column:
+    return F.log10(count / F.lit(float(count_sum)))
+
+
+def miss_score(length: Column, count_sum: int) -> Column:
+    return F.log10(F.lit(10.0) / (F.lit(float(count_sum)) * F.pow(length.cast("double"), F.lit(10.0))))
+
+
 def segment(phrases: DataFrame, index: DataFrame, k: int = 2, word_max: int = 12, count_sum: int = 1, options: Options | None = None, mode: str = "first") -> DataFrame:
     """phrases: phrase (distinct) -> phrase and the best split; null for an empty phrase. count_sum: of the dictionary; word_max: its longest word."""
     o = options or Options()
     n = F.char_length("phrase")
     spans = F.flatten(F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda j: F.transform(F.sequence(F.lit(1), F.least(F.lit(word_max + k), n - j)), lambda i: F.struct(j.alias("j"), i.alias("i")))))
     parts = phrases.select("phrase", F.explode(spans).alias("s")).select("phrase", "s.j", "s.i", F.substr("phrase", F.col("s.j") + 1, F.col("s.i")).alias("raw"))
-    led, body = F.lit(False), F.col("raw")
-    for s in o.separators:
-        led = led | F.col("raw").startswith(s)
-    for s in o.separators:
-        body = F.when(F.col("raw").startswith(s), F.substr("raw", F.lit(len(s) + 1))).otherwise(body)
-    clean = body
-    for mark in (*o.separators, *o.punctuation):
-        clean = F.replace(clean, F.lit(mark), F.lit(""))
-    parts = parts.select("phrase", "j", "i", clean.alias("query"), (F.octet_length(body) - F.octet_length(clean)).alias("removed"), F.when(led, 0).otherwise(1).alias("gap"))
+    clean, removed, led = clean_part(F.col("raw"), o)
+    parts = parts.select("phrase", "j", "i", clean.alias("query"), removed.alias("removed"), F.when(led, 0).otherwise(1).alias("gap"))
     hits = lookup_top(parts.select("query").distinct(), index, k, mode)
-    known = parts.join(hits, "query", "left").select("phrase", F.struct("j", "i", F.col("query").alias("part"), F.coalesce("word", "query").alias("word"), (F.col("removed") + F.coalesce("edit_distance", F.char_length("query"))).alias("cost"), "gap", F.col("count").alias("count")).alias("p"))
+    known = parts.join(hits, "query", "left").select("phrase", F.struct("j", "i", F.col("query").alias("part"), F.coalesce("word", "query").alias("word"), (F.col("removed") + F.coalesce("edit_distance", F.char_length("query"))).alias("cost"), "gap", F.coalesce(hit_score(F.col("count"), count_sum), miss_score(F.greatest(F.char_length("query"), F.lit(1)), count_sum)).alias("log")).alias("p"))
     grouped = phrases.join(known.groupBy("phrase").agg(F.collect_list("p").alias("parts")), "phrase", "left")
 
     def chosen(batches):
@@ -67,10 +80,7 @@ def segment(phrases: DataFrame, index: DataFrame, k: int = 2, word_max: int = 12
             for phrase, found in zip(pdf["phrase"], pdf["parts"], strict=True):
                 table = {}
                 for p in found if found is not None else ():
-                    length = max(len(p["part"]), 1)
-                    c = p["count"]
-                    log = math.log10(10 / (count_sum * float(length) ** 10)) if c is None or c != c else math.log10(c / count_sum)
-                    table[p["j"], p["i"]] = (p["part"], p["word"], int(p["cost"]), int(p["gap"]), log)
+                    table[p["j"], p["i"]] = (p["part"], p["word"], int(p["cost"]), int(p["gap"]), p["log"])
                 best = fold(len(phrase or ""), table)
                 rows.append((phrase, None, None, None, None) if best is None else (phrase, o.token.join(best[0]), o.token.join(best[1]), best[2], best[3]))
             yield pd.DataFrame(rows, columns=["phrase", "segmented", "corrected", "distance_sum", "probability_log_sum"]).astype({"distance_sum": "Int64"})

@@ -46,13 +46,13 @@ DICT = CORPUS + ", dict AS (SELECT * FROM corpus WHERE count >= 5 AND length(wor
 MISSPELL = "miss AS (SELECT word AS truth, CASE length(word) % 4 WHEN 0 THEN l || a || r WHEN 1 THEN l || h || h || a || r WHEN 2 THEN l || a || h || r ELSE l || 'x' || a || r END AS query FROM (SELECT word, substr(word, 1, p - 1) AS l, substr(word, p, 1) AS h, substr(word, p + 1, 1) AS a, substr(word, p + 2) AS r FROM (SELECT word, length(word) // 2 AS p FROM dict))), q AS (SELECT DISTINCT query FROM miss)"
 
 
-def variants_sql(source: str, column: str, k: int) -> str:
-    """(w, edit, d, mask) of the deletions of at most k positions, as plain SQL."""
+def variants_sql(source: str, column: str, k: int, complete: bool = False) -> str:
+    """(w, edit, d, mask) of the deletions of at most k positions, as plain SQL; the first k positions' deletion only if complete."""
     base = f"SELECT {column} AS w, length({column}) AS n FROM {source}"
     one = "SELECT w, substr(w, 1, p - 1) || substr(w, p + 1) AS edit, 1 AS d, (1::BIGINT << (n - p)) AS mask, p = 1 AS a, n FROM (SELECT w, n, unnest(range(1, n + 1)) AS p FROM b)"
     two = "SELECT w, substr(w, 1, p - 1) || substr(w, p + 1, r - p - 1) || substr(w, r + 1) AS edit, 2 AS d, (1::BIGINT << (n - p)) + (1::BIGINT << (n - r)) AS mask, p = 1 AND r = 2 AS a, n FROM (SELECT w, n, p, unnest(range(p + 1, n + 1)) AS r FROM (SELECT w, n, unnest(range(1, n + 1)) AS p FROM b))"
     parts = ["SELECT w, w AS edit, 0 AS d, 0::BIGINT AS mask, false AS a, n FROM b", one, two][: k + 1]
-    return f"(WITH b AS ({base}) SELECT w, edit, d, mask FROM ({' UNION ALL '.join(parts)}) WHERE edit <> '' AND NOT (a AND d = {k}))"
+    return f"(WITH b AS ({base}) SELECT w, edit, d, mask FROM ({' UNION ALL '.join(parts)}) WHERE edit <> ''{'' if complete else f' AND NOT (a AND d = {k})'})"
 
 
 def index_sql(k: int) -> str:
@@ -320,7 +320,7 @@ def is_divisible(spark, sf_dir):
     return load(spark, sf_dir, "orders").select("o_orderkey", arith.is_divisible(F.col("o_orderkey"), 7).alias("by7"))
 
 
-@query("SELECT doc_id, n_chars, CASE WHEN n_chars < 1024 THEN printf('%.2fb', n_chars::DOUBLE) ELSE printf('%.2fKb', n_chars / 1024.0::DOUBLE) END AS size, CASE WHEN n_chars <= 1 THEN 0 ELSE length(bin(n_chars - 1)) END::INT AS log2 FROM documents")
+@query("SELECT doc_id, n_chars, CASE WHEN n_chars < 1024 THEN printf('%.2fb', n_chars::DOUBLE) ELSE printf('%.2fKb', round(n_chars / 1024.0::DOUBLE, 2)) END AS size, CASE WHEN n_chars <= 1 THEN 0 ELSE length(bin(n_chars - 1)) END::INT AS log2 FROM documents")
 def human_bytes(spark, sf_dir):
     n = F.col("n_chars")
     return load(spark, sf_dir, "documents").select("doc_id", "n_chars", arith.human_bytes(n).alias("size"), arith.log2_ceil(n).cast("int").alias("log2"))
