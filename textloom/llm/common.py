@@ -33,6 +33,23 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that df has no column of; Spark doesn't tell upper from lower case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered_columns(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with columns c0, c1 and so on, and their types: mapInArrow can't take names with dots."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), [f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema.fields)]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import load, written
+from .common import fresh, load, written
 
 #: A-Z are letters of the words and become a-z.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -144,8 +144,9 @@ def proximity(docs: DataFrame, items: DataFrame, slop: int = 20, k: int = 3) ->
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents without a hit, with the columns of docs."""
-    dirty = contamination(docs, load(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct()
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    d, h = fresh(docs, "dirty_id", "dirty_text")
+    dirty = contamination(docs, load(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias(d), F.col("h").alias(h)).distinct()
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(h)), "left_anti")
 
 
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import load, written
+from .common import fresh, load, written
 
 #: Words of a text.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -93,19 +93,23 @@ def mix(docs: DataFrame, most: int = 3) -> DataFrame:
     return out.orderBy(F.col("first_position").asc_nulls_last(), "size", "doc_id")
 
 
-def mixed_documents(docs: DataFrame, most: int = 3) -> DataFrame:
-    """The mix itself: docs' columns, each document as often as it is taken, and mix_position, sorted by it. doc_id tells documents apart."""
-    p = placed(docs, most=most).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies", "before", "line_size", "line_target", "slope")
-    p = p.dropDuplicates(["_id", "_source", "_size"]).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    p = p.select("_id", "_source", "_size", position(F.col("before") + F.col("_size") / 2 + F.col("_copy") * F.col("line_size"), F.col("line_target"), F.col("slope")).alias("mix_position"))
-    d = docs.drop("mix_position").withColumn("_n", size_of("text"))
-    out = d.join(p, d["doc_id"].eqNullSafe(p["_id"]) & d["source"].eqNullSafe(p["_source"]) & (d["_n"] == p["_size"])).drop("_id", "_source", "_size", "_n")
-    return out.orderBy("mix_position")
+def mixed_documents(docs: DataFrame, most: int = 3, name: str = "mix_position") -> DataFrame:
+    """The mix itself: docs' columns, each document as often as it is taken, and its position in column `name` (in place of one of that name), sorted by it. doc_id, source
+    and size tell documents apart."""
+    docs = docs.drop(name)
+    i, s, n, size = fresh(docs.withColumn(name, F.lit(None)), "mix_id", "mix_source", "mix_size", "mix_words")
+    p = placed(docs, most=most).where("copies > 0").dropDuplicates(["doc_id", "source", "size"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    at = F.col("before") + F.col("size") / 2 + F.col("copy") * F.col("line_size")
+    p = p.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(n), position(at, F.col("line_target"), F.col("slope")).alias(name))
+    d = docs.withColumn(size, size_of("text"))
+    out = d.join(p, d["doc_id"].eqNullSafe(F.col(i)) & d["source"].eqNullSafe(F.col(s)) & (F.col(size) == F.col(n)))
+    return out.drop(i, s, n, size).orderBy(name)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents of the mix, repeated as often as taken, in training order, with their own columns."""
-    return mixed_documents(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    (name,) = fresh(docs, "mix_position")
+    return mixed_documents(docs, name=name).drop(name)
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

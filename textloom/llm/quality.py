@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, chunks, crc_mod, load, word_hashes, word_spans
+from .common import LOWER, NOT_SPACE, chunks, crc_mod, fresh, load, numbered_columns, word_hashes, word_spans
 from .toxicity import training_labels
 
 CLASSES = np.zeros(256, np.int64)
@@ -126,25 +126,26 @@ def vote(x: np.ndarray, m: Model) -> np.ndarray:
         w = np.maximum(np.take_along_axis(cos, near, 1), 0) ** m.sharp
         total = w.sum(1)
         ok = total > 0
-        out[at : at + 256][ok] = (w * m.labels[near]).sum(1)[ok] / total[ok]
+        out[at : at + 256][ok] = np.clip((w * m.labels[near]).sum(1)[ok] / total[ok], 0, 1)  # rounding can pass 1
     return out
 
 
-def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
-    """docs with quality_score (0 to 1); the text goes unless keep_text."""
+def score(docs: DataFrame, model: Model, keep_text: bool = False, name: str = "quality_score") -> DataFrame:
+    """docs with their score (0 to 1) in column `name`, in place of one of that name; the text goes unless keep_text."""
     cast = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in docs.schema.fields if f.name != "quality_score"]
-    names = [f.name for f in fields if f.name != "text" or keep_text]
+    docs = docs.drop(name)
+    plain, types = numbered_columns(docs)
+    text = docs.columns.index("text")
+    kept = [i for i in range(len(docs.columns)) if i != text or keep_text]
 
     def run(batches):
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for rows, data, offsets in chunks(batch, "text", 1 << 19):
+            for rows, data, offsets in chunks(batch, f"c{text}", 1 << 19):
                 out[rows] = vote(terms(data, offsets), cast.value)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out)], [*names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(out)], [*(f"c{i}" for i in kept), "score"])
 
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields if f.name in names] + ["quality_score double"])
-    return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(run, ddl)
+    return plain.mapInArrow(run, ", ".join([*(types[i] for i in kept), "score double"])).toDF(*[docs.columns[i] for i in kept], name)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,4 +159,5 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the vote does not reject, with their own columns."""
     model = fit(docs, load(spark, sf_dir, "labels"))
-    return score(docs, model, keep_text=True).where("quality_score >= 0.5").select(*[F.col(f"`{c}`") for c in docs.columns if c != "quality_score"])
+    (name,) = fresh(docs, "quality_score")
+    return score(docs, model, keep_text=True, name=name).where(F.col(name) >= 0.5).drop(name)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, load
+from .common import chunks, load, numbered_columns
 
 #: Fixed values of the format: tags, and bytes of each field type.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, STRIP_BYTES, PLANAR, PREDICTOR, TILE_W, TILE_H, TILES, TILE_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
@@ -236,13 +236,17 @@ def build(images: list[np.ndarray], compression: int = 8, predictor: int = 2, ro
 
 def tiff_pages(df: DataFrame, column: str = "media") -> DataFrame:
     """One row per page: df's other columns, page, width, height, samples, bits, compression, predictor, data (the decoded samples), error. A null or empty medium has no
-    row; one that can't be decoded has one more row, with the error, after the pages before it."""
-    names = [c for c in df.columns if c != column]
+    row; one that can't be decoded has one more row, with the error, after the pages before it. Columns of df with these names are replaced."""
+    more = ["page", "width", "height", "samples", "bits", "compression", "predictor", "data", "error"]
+    df = df.drop(*[c for c in more if c != column])
+    plain, types = numbered_columns(df)
+    medium_at = df.columns.index(column)
+    kept = [i for i in range(len(df.columns)) if i != medium_at]
+    kinds = [*[pa.int32()] * 7, pa.binary(), pa.string()]
 
     def run(batches):
-        made = [("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int32()), ("bits", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("data", pa.binary()), ("error", pa.string())]
         for batch in batches:
-            for i, medium in enumerate(batch.column(column)):
+            for i, medium in enumerate(batch.column(medium_at)):
                 found = []
                 try:
                     for p in pages(medium.as_py() or b"") if medium.as_py() else ():
@@ -251,10 +255,10 @@ def tiff_pages(df: DataFrame, column: str = "media") -> DataFrame:
                     found.append((len(found), *[None] * 7, str(e) or type(e).__name__))
                 if found:
                     rows = pa.array([i] * len(found))
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in names), *(pa.array([r[k] for r in found], t) for k, (_, t) in enumerate(made))], [*names, *(n for n, _ in made)])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in kept), *(pa.array([r[k] for r in found], t) for k, t in enumerate(kinds))], [*(f"c{c}" for c in kept), *more])
 
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != column] + ["page int, width int, height int, samples int, bits int, compression int, predictor int, data binary, error string"])
-    return df.mapInArrow(run, ddl)
+    ddl = ", ".join([*(types[c] for c in kept), "page int, width int, height int, samples int, bits int, compression int, predictor int, data binary, error string"])
+    return plain.mapInArrow(run, ddl).toDF(*[df.columns[c] for c in kept], *more)
 
 
 def payload_of(text: bytes, unit: int = SIDE) -> bytes:

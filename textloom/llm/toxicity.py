@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTERS, LOWER, chunks, crc_mod, load, word_hashes, word_spans, written
+from .common import LETTERS, LOWER, chunks, crc_mod, load, numbered_columns, word_hashes, word_spans, written
 
 BITS = 22
 #: Bytes of a token's beginnings.
@@ -200,19 +200,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, z_min: floa
 
 
 def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
-    """docs with toxicity (0 to 1) and, with spans, passages: array of (start, end) in bytes of the UTF-8 text, token count, score and p value."""
-    spark: SparkSession = docs.sparkSession
-    cast = spark.sparkContext.broadcast(model)
-    fields = [f for f in docs.schema.fields if f.name not in ("toxicity", "passages")]
-    names = [f.name for f in fields]
+    """docs without text, with toxicity (0 to 1); with spans, docs with toxicity and passages: array of (start, end) in bytes of the UTF-8 text, token count, score and p
+    value. Columns of these names are replaced."""
+    cast = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("toxicity", "passages")
+    plain, types = numbered_columns(docs)
+    text = docs.columns.index("text")
+    kept = [i for i in range(len(docs.columns)) if i != text or spans]
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("tokens", pa.int32()), ("score", pa.float64()), ("p", pa.float64())]))
+    more = ["toxicity", *["passages"] * spans]
 
     def run(batches):
         m = cast.value
         for batch in batches:
             x = np.zeros(batch.num_rows)
             where: list = []
-            for rows, data, offsets in chunks(batch, "text"):
+            for rows, data, offsets in chunks(batch, f"c{text}"):
                 starts, ends, at = tokens_of(data, offsets)
                 scores = token_scores(data, starts, ends, m.weights)
                 for i, k in enumerate(range(rows.start, rows.stop)):
@@ -221,10 +224,10 @@ def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
                     if spans:
                         where.append([{"start": int(starts[at[i] + a] - offsets[i]), "end": int(ends[at[i] + b] - offsets[i]), "tokens": b - a + 1, "score": s, "p": -math.expm1(-math.exp(-e))} for a, b, s, e in found])
             out = 1 / (1 + np.exp(-(m.coef[0] + m.coef[1] * x))) if 0 < m.share < 1 else np.full(len(x), m.share)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names if c != "text" or spans), pa.array(out), *([pa.array(where, kind)] if spans else [])], [*(c for c in names if c != "text" or spans), "toxicity", *(["passages"] if spans else [])])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(out), *([pa.array(where, kind)] if spans else [])], [*(f"c{i}" for i in kept), *more])
 
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields if f.name != "text" or spans] + ["toxicity double"] + ["passages array<struct<start:int,end:int,tokens:int,score:double,p:double>>"] * spans)
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, ddl)
+    ddl = ", ".join([types[i] for i in kept] + ["toxicity double"] + ["passages array<struct<start:int,end:int,tokens:int,score:double,p:double>>"] * spans)
+    return plain.mapInArrow(run, ddl).toDF(*[docs.columns[i] for i in kept], *more)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
