@@ -41,10 +41,11 @@ def next_geq(seq: DataFrame, probes: DataFrame, width: int = 1 << 16) -> DataFra
     both = seq.select(F.col("value").alias("at"), F.col("value").alias("v"), F.lit(None).cast("long").alias("x"), F.lit(1).alias("side")).unionByName(
         probes.distinct().select(F.col("x").alias("at"), F.lit(None).cast("long").alias("v"), F.col("x"), F.lit(0).alias("side"))
     ).withColumn("r", r("at"))
-    inside = W.Window.partitionBy("r").orderBy("at", "side").rowsBetween(0, W.Window.unboundedFollowing)
-    near = both.withColumn("own", F.first("v", ignorenulls=True).over(inside)).where("side = 0")
+    # from the largest down, values ahead of equal probes: a frame that only grows costs one step a row, one that only shrinks is summed anew for each
+    inside = W.Window.partitionBy("r").orderBy(F.desc("at"), F.desc("side")).rowsBetween(W.Window.unboundedPreceding, 0)
+    near = both.withColumn("own", F.last("v", ignorenulls=True).over(inside)).where("side = 0")
     least = both.groupBy("r").agg(F.min("v").alias("least"))
-    beyond = least.select("r", F.min("least").over(W.Window.orderBy("r").rowsBetween(1, W.Window.unboundedFollowing)).alias("beyond"))
+    beyond = least.select("r", F.min("least").over(W.Window.orderBy(F.desc("r")).rowsBetween(W.Window.unboundedPreceding, -1)).alias("beyond"))
     return near.join(beyond, "r").select("x", F.coalesce("own", "beyond").alias("value"))
 
 
