@@ -31,6 +31,17 @@ def test_query(spark, name):
     same(registry.QUERIES[name](spark, DIR), registry.ORACLES[name], DIR)
 
 
+def test_join_of_rare_words(spark, tmp_path):
+    """Words far below 200 occurrences are joined too."""
+    text = " ".join(5 * ["house", "mouse", "horse", "other"] + 4 * ["mousy"])
+    spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    near = {("house", "mouse", 1), ("house", "horse", 1), ("mouse", "horse", 2)}
+    same = {(w, w, 0) for w in ("house", "mouse", "horse", "other")}
+    for name, k in (("fuzzy_join_lev_all", 2), ("symspell_dl_all", 1)):
+        got = [tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()]
+        assert sorted(got) == sorted(same | {x for a, b, d in near if d <= k for x in ((a, b, d), (b, a, d))})
+
+
 def test_entry():
     import __spark_entry__ as e
 

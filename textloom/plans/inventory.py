@@ -148,6 +148,20 @@ def symspell_dl(spark, sf_dir):
     return matching.fuzzy_join(d, d, "word", "word", 1, "osa")
 
 
+@query(f"WITH {DICT} SELECT a.word AS word, b.word AS word_r, levenshtein(a.word, b.word)::INT AS distance FROM dict a JOIN dict b ON abs(length(a.word) - length(b.word)) <= 2 AND levenshtein(a.word, b.word) <= 2")
+def fuzzy_join_lev_all(spark, sf_dir):
+    """Of the whole default dictionary; fuzzy_join_lev has the words its SQL has."""
+    d = words(spark, sf_dir)
+    return matching.fuzzy_join(d, d, "word", "word", 2)
+
+
+@query(f"WITH {DICT} SELECT a.word AS word, b.word AS word_r, damerau_levenshtein(a.word, b.word)::INT AS distance FROM dict a JOIN dict b ON abs(length(a.word) - length(b.word)) <= 1 AND damerau_levenshtein(a.word, b.word) <= 1")
+def symspell_dl_all(spark, sf_dir):
+    """Of the whole default dictionary; symspell_dl has the words its SQL has."""
+    d = words(spark, sf_dir)
+    return matching.fuzzy_join(d, d, "word", "word", 1, "osa")
+
+
 @query(
     f"WITH {DICT}, short AS (SELECT * FROM dict WHERE length(word) < 8), long AS (SELECT * FROM dict WHERE length(word) >= 8), "
     f"v AS (SELECT DISTINCT w, edit FROM {variants_sql('short', 'word', 1)} UNION ALL SELECT DISTINCT w, edit FROM {variants_sql('long', 'word', 2)}) SELECT edit, count(*)::BIGINT AS words FROM v GROUP BY edit"
