@@ -174,6 +174,14 @@ def test_rank_brute_force(spark):
     assert max(abs(got[f"h{k}"] - p[k]) for k in range(40) if p[k] > 0) < 1e-6
 
 
+@pytest.mark.parametrize("seeds", [1, 300])
+def test_verdict_of_many_seeds(spark, seeds):
+    """A host that links to a blocked one alone is blocked, however many seeds and linkers share the distrust."""
+    rows = [(f"http://s{k}.net/", "") for k in range(seeds)] + [(f"http://l{k}.org/p", '<a href="http://s0.net/">') for k in range(3000)]
+    got = linkgraph.judged(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string"))
+    assert got.where("verdict = 'block' and host like 'l%'").count() == 3000
+
+
 @has_tables
 def test_pipeline_plain(spark):
     """The stages' plain versions on what each stage was given: kept rows are the plain version's, and the last one's files hold the mix."""

@@ -5,7 +5,7 @@ Rules. (host, path) fits a host and its subdomains where the url's path starts w
 Graph. Absolute and protocol-relative links of the pages give edges between hosts, weighted by the number of linking pages and counted before any shuffle of rows by host. Trust is personalised
 PageRank along the links from trusted seeds, the hosts most of whose pages a rule allows; distrust is the same against the links from blocked seeds, the hosts most of
 whose pages a rule blocks: who links to a bad host is bad. Seeds weigh alike. Mass that reaches a host without links goes back to the seeds. Rounds are DataFrame joins and sums; each `every` rounds the ranks
-are written to the shared folder. A host is blocked if its distrust is above `threshold` times its trust and above `floor` of all distrust; others are allowed.
+are written to the shared folder. A host is blocked if its distrust is above `threshold` times its trust, however small both are; others, such as those no seed reaches, are allowed.
 
 Cases. A null url, or one without ://, has empty host and path; no rule fits an empty host unless a rule is empty, and the graph has no opinion on it: allow. Null html has no links. Repeated rows
 get a row each and count as pages each.
@@ -70,7 +70,7 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damp
     return rank
 
 
-def judged(pages: DataFrame, rules=RULES, threshold: float = 1.0, floor: float = 1e-6) -> DataFrame:
+def judged(pages: DataFrame, rules=RULES, threshold: float = 1.0) -> DataFrame:
     """pages: page_id, url, html -> page_id, host, path, rule, verdict, trust, distrust."""
     named = ruled(pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), rules)
     hosts = written(named.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("rule_verdict") == "allow").alias("good"), F.count_if(F.col("rule_verdict") == "block").alias("bad")), "hosts")
@@ -81,7 +81,7 @@ def judged(pages: DataFrame, rules=RULES, threshold: float = 1.0, floor: float =
         seeds = chosen.select("host", F.lit(1.0 / max(chosen.count(), 1)).alias("seed"))
         ranks = ranks.join(personalised_rank(graph, seeds).select("host", F.col("rank").alias(name)), "host", "left")
     ranks = ranks.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
-    graph = F.when((F.col("distrust") > threshold * F.col("trust")) & (F.col("distrust") > floor), "block").otherwise("allow")
+    graph = F.when(F.col("distrust") > threshold * F.col("trust"), "block").otherwise("allow")
     out = named.join(written(ranks, "host-verdicts"), "host", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", graph).alias("verdict"), "trust", "distrust")
 
