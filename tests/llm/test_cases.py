@@ -182,6 +182,20 @@ def test_verdict_of_many_seeds(spark, seeds):
     assert got.where("verdict = 'block' and host like 'l%'").count() == 3000
 
 
+def test_rank_defaults(spark):
+    """A chain, a loop and a host without links behind one seed, with the rounds that op6 uses."""
+    links = [(k, k + 1) for k in range(13)] + [(0, 20), (20, 21), (21, 20), (21, 22)]
+    q = np.zeros(23)
+    m = np.zeros((23, 23))
+    for a, b in links:
+        m[a, b] = 1 / sum(x == a for x, _ in links)
+    q = np.linalg.solve(np.eye(23) - 0.85 * m.T, np.eye(23)[0])
+    e = spark.createDataFrame([(f"h{a}", f"h{b}", 1.0) for a, b in links], "src string, dst string, weight double")
+    got = {r.host: r["rank"] for r in linkgraph.personalised_rank(e, spark.createDataFrame([("h0", 1.0)], "host string, seed double")).collect()}
+    assert set(got) == {f"h{k}" for k in range(23) if q[k] > 0} and "h13" in got
+    assert all(abs(x - q[int(h[1:])] / q.sum()) < 1e-5 * x for h, x in got.items())
+
+
 @has_tables
 def test_pipeline_plain(spark):
     """The stages' plain versions on what each stage was given: kept rows are the plain version's, and the last one's files hold the mix."""

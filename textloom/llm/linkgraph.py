@@ -4,8 +4,9 @@ Rules. (host, path) fits a host and its subdomains where the url's path starts w
 
 Graph. Absolute and protocol-relative links of the pages give edges between hosts, weighted by the number of linking pages and counted before any shuffle of rows by host. Trust is personalised
 PageRank along the links from trusted seeds, the hosts most of whose pages a rule allows; distrust is the same against the links from blocked seeds, the hosts most of
-whose pages a rule blocks: who links to a bad host is bad. Seeds weigh alike. Mass that reaches a host without links goes back to the seeds. Rounds are DataFrame joins and sums; each `every` rounds the ranks
-are written to the shared folder. A host is blocked if its distrust is above `threshold` times its trust, however small both are; others, such as those no seed reaches, are allowed.
+whose pages a rule blocks: who links to a bad host is bad. Seeds weigh alike. Mass that reaches a host without links goes back to the seeds: that only multiplies all ranks alike, so they are summed up without it
+and divided by their sum. Rounds are DataFrame joins and sums; each `every` rounds the ranks are written to the shared folder. They end when all reachable hosts have a rank and what still
+moves can't add more than `tolerance` of its rank to any host; doubles hold some 4,000 links in a row. A host is blocked if its distrust is above `threshold` times its trust, however small both are; others, such as those no seed reaches, are allowed.
 
 Cases. A null url, or one without ://, has empty host and path; no rule fits an empty host unless a rule is empty, and the graph has no opinion on it: allow. Null html has no links. Repeated rows
 get a row each and count as pages each.
@@ -13,6 +14,8 @@ get a row each and count as pages each.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,22 +55,30 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", dst.alias("dst")).where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damping: float = 0.85, every: int = 5) -> DataFrame:
-    """edges: src, dst, weight; seeds: host, seed (their sum is 1) -> host, rank. Hosts that no seed reaches are left out."""
+def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = 0.85, every: int = 5, tolerance: float = 1e-6) -> DataFrame:
+    """edges: src, dst, weight; seeds: host, seed (their sum is 1) -> host, rank. Hosts that no seed reaches are left out. At most `rounds` rounds, if given."""
     total = edges.groupBy(F.col("src").alias("s")).agg(F.sum("weight").alias("total"))
-    steps = written(edges.join(total, F.col("src") == F.col("s")).select("src", "dst", (F.col("weight") / F.col("total")).alias("part")), "host-steps")
-    rank = seeds.select("host", F.col("seed").alias("rank"))
-    if not steps.limit(1).count():
-        return rank
-    for k in range(1, rounds + 1):
-        passed = rank.join(steps, F.col("host") == F.col("src")).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("part") * damping).alias("rank"))
-        merged = passed.unionByName(seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
+    passed = edges.join(total, F.col("src") == F.col("s")).select("src", "dst", (damping * F.col("weight") / F.col("total")).alias("part"), F.lit(0.0).alias("stay"))
+    if not edges.limit(1).count():
+        return seeds.select("host", F.col("seed").alias("rank"))
+    # a step from each host to itself carries what it has, so that a round is one join
+    hosts = edges.select("src").union(edges.select("dst")).union(seeds.select("host")).distinct()
+    steps = written(passed.unionByName(hosts.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("part"), F.lit(1.0).alias("stay"))), "host-steps")
+    rank = seeds.select("host", F.col("seed").alias("rank"), F.col("seed").alias("moved"))
+    for k in itertools.count(1):
+        moved = F.sum(F.col("moved") * F.col("part"))
+        rank = rank.join(steps, F.col("host") == F.col("src")).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("rank") * F.col("stay")) + moved).alias("rank"), moved.alias("moved"))
         if k % every == 0 or k == rounds:
-            merged = written(merged, "host-ranks")
-            lost = 1 - (merged.agg(F.sum("rank")).first()[0] or 0.0)  # a single number
-            merged = merged.unionByName(seeds.select("host", (F.col("seed") * F.lit(lost)).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
-        rank = merged
-    return rank
+            rank = written(rank, "host-ranks")
+            mass, moving, least = rank.agg(F.sum("rank"), F.sum("moved"), F.min("rank")).first()  # single numbers
+            if k == rounds or not moving or moving * damping / (1 - damping) <= tolerance * least and not newly_reached(rank, steps):
+                return rank.select("host", (F.col("rank") / (mass or 1.0)).alias("rank"))
+
+
+def newly_reached(rank: DataFrame, steps: DataFrame) -> bool:
+    """Whether a link leads from the hosts of rank to one that isn't among them."""
+    ahead = steps.join(rank.select(F.col("host").alias("src")), "src", "left_semi").select(F.col("dst").alias("host"))
+    return bool(ahead.join(rank, "host", "left_anti").limit(1).count())
 
 
 def judged(pages: DataFrame, rules=RULES, threshold: float = 1.0) -> DataFrame:
