@@ -131,6 +131,16 @@ def test_html(spark):
     assert html_text.main_text(plain).count("\n\n") == 3
 
 
+def test_html_outside_article():
+    long = " ".join(["real words of the text"] * 15)
+    card = "<article class=card><p>Read this too</article>"
+    main = f"<div id=content><p>{long} one<p>{long} two</div>"
+    for page in (main + card, card + main):
+        assert f"{long} one\n\n{long} two" in html_text.main_text(page)
+    assert html_text.main_text(f"<article><p>{long} a<p>Short.</article><div>&copy; us</div>") == f"{long} a\n\nShort."
+    assert html_text.main_text(f"<div>{long} b</div><article><p>{long} a<p>{long} c</article>") == f"{long} b\n\n{long} a\n\n{long} c"
+
+
 def test_links(spark):
     rows = [(1, "http://A.net/x?y", '<a href="https://b.org/z">'), (2, "https://www.example.net/en/1", None), (3, None, ""), (4, "x", ""), (5, "http://c.org/p", '<a href="//a.net/">'), (6, "http://b.org", "")]
     got = {r.page_id: r for r in linkgraph.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}

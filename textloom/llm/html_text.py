@@ -4,8 +4,8 @@ Strip. One scan of the tags drops comments, scripts, styles, forms and elements
 leaves a gap of empty lines. What is left becomes lines, one for each block element.
 
 Distribution. The length of text is summed over windows of `window` lines; text that is only links counts nothing. A region begins where a window's sum surges above
-`surge` and ends where it dives to 0, as it does in a gap. Lines between the surge and the dive stay. Inside an article or main element, where the page names one with
-text, any text is a surge, and lines outside are gaps. If nothing surges, the region with the largest sum stays.
+`surge` and ends where it dives to 0, as it does in a gap. Lines between the surge and the dive stay, inside and outside of article and main elements. These only add weight: if they
+hold at least as much text as the regions that surge outside of them, all of their lines stay too. If nothing surges and there are none, the region with the largest sum stays.
 
 Cases. A null or empty html gives an empty text. Broken markup: an unclosed element that would be dropped loses only its text up to the next block element; a script or
 comment that never ends reaches to the end of the page. Repeated rows get a row each; null ids and urls stay null.
@@ -125,8 +125,8 @@ def lines_of(page: str, gap: int) -> list[tuple[str, int, bool]]:
     return out
 
 
-def regions(sizes: list[int], window: int, surge: int) -> list[tuple[int, int]]:
-    """(first line, line behind the last) between each surge and dive of the sums over `window` lines; the largest region if none surges."""
+def regions(sizes: list[int], window: int, surge: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(first line, line behind the last) between each surge and dive of the sums over `window` lines, and of the largest region."""
     found, best, at, n = [], None, 0, len(sizes)
     while at < n:
         if not sizes[at]:
@@ -144,19 +144,23 @@ def regions(sizes: list[int], window: int, surge: int) -> list[tuple[int, int]]:
             found.append(region)
         if best is None or peak > best[0]:
             best = (peak, region)
-    return found or ([best[1]] if best else [])
+    return found, [best[1]] if best else []
 
 
 def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
     if not page:
         return ""
     lines = lines_of(page, window)
-    if any(inside and text for text, _, inside in lines):
-        sizes = [len(text) if inside else 0 for text, _, inside in lines]
-        surge = 0
+    within = sum(len(text) for text, _, inside in lines if inside)
+    outside = [0 if inside else own for _, own, inside in lines]
+    found, _ = regions(outside, window, surge)
+    if within and within >= sum(sum(outside[a:b]) for a, b in found):
+        kept = {k for k, (_, _, inside) in enumerate(lines) if inside}
     else:
-        sizes = [own for _, own, _ in lines]
-    return "\n\n".join(lines[k][0] for a, b in regions(sizes, window, surge) for k in range(a, b) if lines[k][0] and (surge or lines[k][2]))
+        found, largest = regions([own for _, own, _ in lines], window, surge)
+        found, kept = found or largest, set()
+    kept.update(k for a, b in found for k in range(a, b))
+    return "\n\n".join(text for k, (text, _, _) in enumerate(lines) if k in kept and text)
 
 
 def extract(pages: DataFrame, window: int = 3, surge: int = 80) -> DataFrame:
