@@ -141,6 +141,15 @@ def test_html_outside_article():
     assert html_text.main_text(f"<div>{long} b</div><article><p>{long} a<p>{long} c</article>") == f"{long} b\n\n{long} a\n\n{long} c"
 
 
+def test_html_short_end():
+    """A short last paragraph behind an advert, in a block of its own or in the body, whole or with a div for each paragraph."""
+    long = " ".join(["real words of the text"] * 15)
+    for tag in ("p", "div", "blockquote"):
+        text = f"<p>{long}</p><{tag}>{long}</{tag}><div class=ad><p>buy</p></div><{tag}>Short end.</{tag}>"
+        for page in (text, f"<body>{text}", f"<div>{text}</div><nav>x</nav><div><p>Apart</p><p>from it</p></div>", f"<div>{text}</div><div><p>Apart</p><p>from it</p></div>", f"<section><div>{text}</div></section><footer>x</footer><div><p>Apart</p><p>from it</p></div>"):
+            assert html_text.main_text(page) == f"{long}\n\n{long}\n\nShort end."
+
+
 def test_links(spark):
     rows = [(1, "http://A.net/x?y", '<a href="https://b.org/z">'), (2, "https://www.example.net/en/1", None), (3, None, ""), (4, "x", ""), (5, "http://c.org/p", '<a href="//a.net/">'), (6, "http://b.org", "")]
     got = {r.page_id: r for r in linkgraph.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}

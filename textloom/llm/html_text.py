@@ -5,7 +5,8 @@ leaves a gap of empty lines. What is left becomes lines, one for each block elem
 
 Distribution. The length of text is summed over windows of `window` lines; text that is only links counts nothing. A region begins where a window's sum surges above
 `surge` and ends where it dives to 0, as it does in a gap. Lines between the surge and the dive stay, inside and outside of article and main elements. These only add weight: if they
-hold at least as much text as the regions that surge outside of them, all of their lines stay too. If nothing surges and there are none, the region with the largest sum stays.
+hold at least as much text as the regions that surge outside of them, all of their lines stay too. A short region stays if it stands in the same block as one that surges, cut
+off from it by an advert or another dropped element; body itself is such a block only for what stands in it directly. If nothing surges and there are none, the region with the largest sum stays.
 
 Cases. A null or empty html gives an empty text. Broken markup: an unclosed element that would be dropped loses only its text up to the next block element; a script or
 comment that never ends reaches to the end of the page. Repeated rows get a row each; null ids and urls stay null.
@@ -15,6 +16,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +37,8 @@ NAMES = re.compile(
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+))?", re.I)
 KEPT = frozenset(("html", "body", "article", "main"))
 SCOPES = frozenset(("article", "main"))
+#: Elements that hold lines together.
+HOLDERS = frozenset("article body div main section td".split())
 
 
 def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
@@ -56,10 +61,48 @@ def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(page: str, gap: int) -> list[tuple[str, int, bool]]:
-    """(text, characters outside of links, inside an article) of each line; gaps are empty lines."""
+class Holders:
+    """The tree of the elements that hold lines, numbered as they open; 0 is the page."""
+
+    def __init__(self) -> None:
+        self.tags, self.up, self.last, self.lines, self.at = [""], [0], [0], [0], 0
+        self.opened: Counter[str] = Counter()
+
+    def open(self, tag: str) -> None:
+        self.up.append(self.at)
+        self.at = len(self.tags)
+        self.tags.append(tag)
+        self.last.append(self.at)
+        self.lines.append(0)
+        self.opened[tag] += 1
+
+    def close(self, tag: str) -> None:
+        """Closes the innermost of this tag and what stands open inside; nothing if none is open."""
+        while self.opened[tag]:
+            here = self.tags[self.at]
+            self.opened[here] -= 1
+            self.last[self.at] = len(self.tags) - 1
+            self.at = self.up[self.at]
+            if here == tag:
+                break
+
+    def home(self, k: int) -> int:
+        """The holder, or the one around it if it is a div of one line and so a mere paragraph."""
+        return self.up[k] if self.tags[k] == "div" and self.last[k] == k and self.lines[k] == 1 else k
+
+    def around(self, ks: list[int]) -> int:
+        """The innermost holder of all of ks."""
+        k, most = min(ks), max(ks)
+        while self.last[k] < most:
+            k = self.up[k]
+        return k
+
+
+def lines_of(page: str, gap: int) -> tuple[list[tuple[str, int, bool, int]], Holders]:
+    """(text, characters outside of links, inside an article, holder) of each line, and the holders; gaps are empty lines."""
     tags = list(TAG.finditer(page))
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int, bool, int]] = []
+    holders = Holders()
     held: list[str] = []
     own, links, scope, at, i = 0, 0, 0, 0, 0
     hopeless: set[str] = set()
@@ -68,10 +111,11 @@ def lines_of(page: str, gap: int) -> list[tuple[str, int, bool]]:
         nonlocal own
         text = " ".join(entities.unescape("".join(held)).split())
         if text:
-            out.append((text, own, scope > 0))
+            out.append((text, own, scope > 0, holders.at))
+            holders.lines[holders.at] += 1
         held.clear()
         own = 0
-        out.extend([("", 0, scope > 0)] * count)
+        out.extend([("", 0, scope > 0, holders.at)] * count)
 
     def add(text: str) -> None:
         nonlocal own
@@ -115,6 +159,8 @@ def lines_of(page: str, gap: int) -> list[tuple[str, int, bool]]:
         elif tag in BLOCKS:
             end()
             links = 0
+            if tag in HOLDERS:
+                holders.close(tag) if closing else holders.open(tag)
             if tag in SCOPES:
                 if closing:
                     scope = max(0, scope - 1)
@@ -122,12 +168,15 @@ def lines_of(page: str, gap: int) -> list[tuple[str, int, bool]]:
                     scope += 1
     add(page[at:])
     end()
-    return out
+    while holders.at:
+        holders.close(holders.tags[holders.at])
+    holders.last[0] = len(holders.tags) - 1
+    return out, holders
 
 
-def regions(sizes: list[int], window: int, surge: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(first line, line behind the last) between each surge and dive of the sums over `window` lines, and of the largest region."""
-    found, best, at, n = [], None, 0, len(sizes)
+def regions(sizes: list[int], window: int, surge: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[tuple[int, int]]]:
+    """(first line, line behind the last) between each surge and dive of the sums over `window` lines, of the largest region, and of those that don't surge."""
+    found, low, best, at, n = [], [], None, 0, len(sizes)
     while at < n:
         if not sizes[at]:
             at += 1
@@ -140,27 +189,42 @@ def regions(sizes: list[int], window: int, surge: int) -> tuple[list[tuple[int,
             peak = max(peak, run)
             at += 1
         region = (first, at - zero)
-        if peak > surge:
-            found.append(region)
+        (found if peak > surge else low).append(region)
         if best is None or peak > best[0]:
             best = (peak, region)
-    return found, [best[1]] if best else []
+    return found, [best[1]] if best else [], low
+
+
+def rejoined(found: list[tuple[int, int]], low: list[tuple[int, int]], homes: list[int], sizes: list[int], holders: Holders) -> list[tuple[int, int]]:
+    """found, and the lines of low that stand in the same block as one of them, cut off by what was dropped between."""
+    of = lambda region: [homes[k] for k in range(*region) if sizes[k]]
+    blocks = {holders.around(of(x)) for x in found}
+    flat = {x for x in blocks if holders.tags[x] in ("", "body")}
+    deep: list[tuple[int, int]] = []  # of the others, the outermost
+    for x in sorted(blocks - flat):
+        if not deep or x > deep[-1][1]:
+            deep.append((x, holders.last[x]))
+    starts = [x for x, _ in deep]
+    inside = lambda k: k in flat or ((at := bisect_right(starts, k)) and k <= deep[at - 1][1])
+    return found + [(k, k + 1) for x in low for k in range(*x) if inside(homes[k])]
 
 
 def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
     if not page:
         return ""
-    lines = lines_of(page, window)
-    within = sum(len(text) for text, _, inside in lines if inside)
-    outside = [0 if inside else own for _, own, inside in lines]
-    found, _ = regions(outside, window, surge)
-    if within and within >= sum(sum(outside[a:b]) for a, b in found):
-        kept = {k for k, (_, _, inside) in enumerate(lines) if inside}
+    lines, holders = lines_of(page, window)
+    homes = [holders.home(k) for *_, k in lines]
+    within = sum(len(text) for text, _, inside, _ in lines if inside)
+    sizes = [0 if inside else own for _, own, inside, _ in lines]
+    found, largest, low = regions(sizes, window, surge)
+    if within and within >= sum(sum(sizes[a:b]) for a, b in found):
+        kept = {k for k, (_, _, inside, _) in enumerate(lines) if inside}
     else:
-        found, largest = regions([own for _, own, _ in lines], window, surge)
+        sizes = [own for _, own, _, _ in lines]
+        found, largest, low = regions(sizes, window, surge)
         found, kept = found or largest, set()
-    kept.update(k for a, b in found for k in range(a, b))
-    return "\n\n".join(text for k, (text, _, _) in enumerate(lines) if k in kept and text)
+    kept.update(k for a, b in rejoined(found, low, homes, sizes, holders) for k in range(a, b))
+    return "\n\n".join(text for k, (text, *_) in enumerate(lines) if k in kept and text)
 
 
 def extract(pages: DataFrame, window: int = 3, surge: int = 80) -> DataFrame:
