@@ -101,6 +101,21 @@ def test_models(spark):
     assert {r.quality_score for r in quality.score(d, quality.fit(d, labels.where("false"))).collect()} == {0.5}
 
 
+def test_texts_that_share_words(spark):
+    """Texts that share the words with the least hashes aren't copies: each of them counts in training."""
+    rng = np.random.default_rng(6)
+    texts = [("vile slur " if i % 4 == 0 else "") + " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(20)) for i in range(400)]
+    data = np.frombuffer(" ".join(texts).encode(), np.uint8)
+    starts, ends, _ = toxicity.tokens_of(data, np.array([0, len(data)]))
+    hashes = toxicity.word_hashes(data, starts, ends)
+    least = [int((hashes * np.uint64(k)).argmin()) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+    shared = " ".join(data[starts[k] : ends[k]].tobytes().decode() for k in least)
+    d = docs(spark, [(i, f"{t} {shared}") for i, t in enumerate(texts)])
+    m = toxicity.fit(d, spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.toxicity for r in toxicity.score(d.where("doc_id < 12"), m).collect()}
+    assert got[8] > 0.5 > got[1]
+
+
 def test_segments():
     rng = np.random.default_rng(2)
     for _ in range(200):

@@ -2,7 +2,7 @@
 
 Fit. Tokens are runs of letters, A-Z lower-cased; a token has the features: itself, and its beginnings of 4 to 10 bytes, each hashed to one of
 2^22 cells. From at most `max_train` labelled documents (those with the smallest hash of their id: a bounded sample that every rerun
-repeats; of documents with one label and equal word sketches, that is of copies, one counts) each cell gets the log-odds of its use in
+repeats; of documents with one label and equal sets of words, that is of copies, one counts) each cell gets the log-odds of its use in
 toxic against clean documents (once a document) under an informative Dirichlet prior, and a z value. A token scores the largest log-odds of its
 features with z of `z_min` or more, any other token -drift.
 
@@ -18,6 +18,7 @@ count. With no labelled row of either class every score is the share of toxic la
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -148,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, z_min: floa
                 cuts = np.searchsorted(of[order], np.arange(len(at)))
                 for i in range(len(at) - 1):
                     w = words[at[i] : at[i + 1]]
-                    keys.append(b"".join(int((w * np.uint64(k)).min()).to_bytes(8, "little") for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)) if len(w) else b"")
+                    keys.append(hashlib.blake2b(np.unique(w).tobytes(), digest_size=16).digest())  # equal sets of words have equal cells: it doesn't matter which row stays
                     cells.append(np.unique(cell[order[cuts[i] : cuts[i + 1]]]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("y").cast(pa.int32()), pa.array(keys, pa.binary()), pa.array(cells, pa.list_(pa.int32()))], ["y", "key", "cells"])
 
