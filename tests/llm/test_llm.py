@@ -61,6 +61,17 @@ def test_tiff_pages(spark):
     assert [r.id for r in rows if r.error] == [3]
 
 
+def test_tiff_pages_behind_an_error(spark):
+    image = np.arange(64, dtype=np.uint8).reshape(8, 8)
+    medium = bytearray(tiff.build([image, image, image]))
+    at = tiff.fields_of(medium, int.from_bytes(medium[4:8], "little"), "<")[1]
+    for k in range(int.from_bytes(medium[at : at + 2], "little")):
+        if int.from_bytes(medium[at + 2 + 12 * k : at + 4 + 12 * k], "little") == tiff.PREDICTOR:
+            medium[at + 10 + 12 * k] = 3
+    rows = tiff.tiff_pages(spark.createDataFrame([(1, medium)], "id long, media binary")).orderBy("page").collect()
+    assert [(r.page, r.data and bytes(r.data) == image.tobytes(), bool(r.error)) for r in rows] == [(0, True, False), (1, None, True), (2, True, False)]
+
+
 def test_neardup(spark):
     base = [f"w{k}" for k in range(60)]
     texts = [*EDGE, (20, " ".join(base)), (21, " ".join(base[:-1]) + " other"), (22, "P " + " ".join(base[10:50])), (23, " ".join(base).upper())]

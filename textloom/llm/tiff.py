@@ -28,6 +28,8 @@ from .common import chunks, load, numbered_columns
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, STRIP_BYTES, PLANAR, PREDICTOR, TILE_W, TILE_H, TILES, TILE_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 SIDE = 576
+#: What broken data raise.
+ERRORS = (ValueError, struct.error, zlib.error, IndexError, TypeError, ZeroDivisionError)
 
 
 @dataclass
@@ -167,6 +169,14 @@ def fields_of(data: bytes, at: int, order: str) -> tuple[dict[int, list[int]], i
 
 def pages(data: bytes) -> Iterator[Page]:
     """Walks the directories of a TIFF and decodes each page."""
+    for page in walked(data):
+        if isinstance(page, Exception):
+            raise page
+        yield page
+
+
+def walked(data: bytes) -> Iterator[Page | Exception]:
+    """The pages of a TIFF, each decoded or the error that kept it from that; what breaks the walk itself is raised."""
     if data[:4] not in (b"II*\0", b"MM\0*"):
         raise ValueError("not a TIFF")
     order = "<" if data[:2] == b"II" else ">"
@@ -174,28 +184,38 @@ def pages(data: bytes) -> Iterator[Page]:
     seen: set[int] = set()
     while at and at not in seen:
         seen.add(at)
-        tags, following = fields_of(data, at, order)
-        one = lambda tag, default, tags=tags: tags.get(tag, [default])[0]
-        width, height, deep, per, comp, pred = one(WIDTH, 0), one(HEIGHT, 0), one(BITS, 1), one(SAMPLES, 1), one(COMPRESSION, 1), one(PREDICTOR, 1)
-        if deep not in (8, 16) or (per > 1 and one(PLANAR, 1) != 1) or pred not in (1, 2):
-            raise ValueError(f"{deep} bits, planar configuration {one(PLANAR, 1)}, predictor {pred}")
-        kind = np.dtype(f"{order}u{deep // 8}")
-        out = np.zeros((height, width, per), kind.newbyteorder("="))
-        tiled = TILES in tags
-        w, h = (one(TILE_W, width), one(TILE_H, height)) if tiled else (width, min(one(ROWS, height), height))
-        across = -(-width // w) if width else 0
-        for k, (start, size) in enumerate(zip(tags.get(TILES if tiled else STRIPS, []), tags.get(TILE_BYTES if tiled else STRIP_BYTES, []), strict=True)):
-            y, x = k // across * h, k % across * w
-            tall = h if tiled else min(h, height - y)
-            raw = expand(data[start : start + size], comp, tall * w * per * kind.itemsize)
-            block = np.frombuffer(raw, kind, tall * w * per).reshape(tall, w, per).astype(out.dtype)
-            if pred == 2:
-                block = np.cumsum(block, axis=1, dtype=out.dtype)
-            out[y : y + tall, x : x + w] = block[: height - y, : width - x]
-        yield Page(len(seen) - 1, out, comp, pred)
+        (n,) = struct.unpack_from(order + "H", data, at)
+        (following,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
+        try:
+            page = page_at(data, at, order, len(seen) - 1)
+        except ERRORS as e:
+            page = e
+        yield page
         at = following
 
 
+def page_at(data: bytes, at: int, order: str, index: int) -> Page:
+    tags, _ = fields_of(data, at, order)
+    one = lambda tag, default: tags.get(tag, [default])[0]
+    width, height, deep, per, comp, pred = one(WIDTH, 0), one(HEIGHT, 0), one(BITS, 1), one(SAMPLES, 1), one(COMPRESSION, 1), one(PREDICTOR, 1)
+    if deep not in (8, 16) or (per > 1 and one(PLANAR, 1) != 1) or pred not in (1, 2):
+        raise ValueError(f"{deep} bits, planar configuration {one(PLANAR, 1)}, predictor {pred}")
+    kind = np.dtype(f"{order}u{deep // 8}")
+    out = np.zeros((height, width, per), kind.newbyteorder("="))
+    tiled = TILES in tags
+    w, h = (one(TILE_W, width), one(TILE_H, height)) if tiled else (width, min(one(ROWS, height), height))
+    across = -(-width // w) if width else 0
+    for k, (start, size) in enumerate(zip(tags.get(TILES if tiled else STRIPS, []), tags.get(TILE_BYTES if tiled else STRIP_BYTES, []), strict=True)):
+        y, x = k // across * h, k % across * w
+        tall = h if tiled else min(h, height - y)
+        raw = expand(data[start : start + size], comp, tall * w * per * kind.itemsize)
+        block = np.frombuffer(raw, kind, tall * w * per).reshape(tall, w, per).astype(out.dtype)
+        if pred == 2:
+            block = np.cumsum(block, axis=1, dtype=out.dtype)
+        out[y : y + tall, x : x + w] = block[: height - y, : width - x]
+    return Page(index, out, comp, pred)
+
+
 def build(images: list[np.ndarray], compression: int = 8, predictor: int = 2, rows: int = 128, order: str = "<", tile: tuple[int, int] | None = None) -> bytes:
     """A TIFF of grey or chunky images (height x width [x samples], 8 or 16 bits)."""
     out = bytearray((b"II*\0" if order == "<" else b"MM\0*") + b"\0\0\0\0")
@@ -236,7 +256,7 @@ def build(images: list[np.ndarray], compression: int = 8, predictor: int = 2, ro
 
 def tiff_pages(df: DataFrame, column: str = "media") -> DataFrame:
     """One row per page: df's other columns, page, width, height, samples, bits, compression, predictor, data (the decoded samples), error. A null or empty medium has no
-    row; one that can't be decoded has one more row, with the error, after the pages before it. Columns of df with these names are replaced."""
+    row; a page that can't be decoded has its row with the error, and so has what ends the walk, after the pages before it. Columns of df with these names are replaced."""
     more = ["page", "width", "height", "samples", "bits", "compression", "predictor", "data", "error"]
     df = df.drop(*[c for c in more if c != column])
     plain, types = numbered_columns(df)
@@ -249,9 +269,12 @@ def tiff_pages(df: DataFrame, column: str = "media") -> DataFrame:
             for i, medium in enumerate(batch.column(medium_at)):
                 found = []
                 try:
-                    for p in pages(medium.as_py() or b"") if medium.as_py() else ():
+                    for p in walked(medium.as_py() or b"") if medium.as_py() else ():
+                        if isinstance(p, Exception):
+                            found.append((len(found), *[None] * 7, str(p) or type(p).__name__))
+                            continue
                         found.append((p.index, p.samples.shape[1], p.samples.shape[0], p.samples.shape[2], 8 * p.samples.itemsize, p.compression, p.predictor, p.samples.tobytes(), None))
-                except (ValueError, struct.error, zlib.error, IndexError, TypeError) as e:
+                except ERRORS as e:
                     found.append((len(found), *[None] * 7, str(e) or type(e).__name__))
                 if found:
                     rows = pa.array([i] * len(found))
