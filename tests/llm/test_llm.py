@@ -176,6 +176,48 @@ def test_html_short_end():
             assert html_text.main_text(page) == f"{long}\n\n{long}\n\nShort end."
 
 
+def test_html_distribution_decides():
+    """Without names that tell, the sums over lines tell the text from short lines and links; with a surge that nothing reaches, all but the largest region goes."""
+    long = " ".join(["real words of the text"] * 15)
+    menu = "".join(f"<li><a href=/{k}>menu entry {k}</a>" for k in range(9))
+    page = f"<ul>{menu}</ul><div><p>{long} a<p>short<p>{long} b</div><ul>{menu}</ul><div><p>{long} c<p>{long} d</div><ul>{menu}</ul><p>imprint"
+    assert html_text.main_text(page) == f"{long} a\n\nshort\n\n{long} b\n\n{long} c\n\n{long} d"
+    assert html_text.main_text(page, surge=10**6) == f"{long} a\n\nshort\n\n{long} b"
+    assert html_text.main_text(page, share=1.0) == f"{long} a\n\nshort\n\n{long} b"
+    assert "imprint" in html_text.main_text(page, surge=-1, share=0)
+
+
+def test_html_regions():
+    """Regions against plain sums of every window."""
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        sizes, w, surge = [int(x) * int(rng.integers(0, 2)) for x in rng.integers(0, 60, 25)], int(rng.integers(1, 5)), 70
+        runs, at = [], 0
+        while at < 25:  # lines between w empty ones
+            if sizes[at]:
+                to = at
+                while to < 25 and any(sizes[to : to + w]):
+                    to += 1
+                runs.append((at, max(k for k in range(at, to) if sizes[k]) + 1))
+                at = to
+            at += 1
+        surging = [any(sum(sizes[max(a, k - w + 1) : k + 1]) > surge for k in range(a, b)) for a, b in runs]
+        found, low = html_text.regions(sizes, w, surge)
+        assert [x[:2] for x in found] == [r for r, s in zip(runs, surging, strict=True) if s] and [x[:2] for x in low] == [r for r, s in zip(runs, surging, strict=True) if not s]
+        assert all(x[2] == sum(sizes[x[0] : x[1]]) for x in found + low)
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a "', '<a "> "', "<div class=ad>", "<!--", "<script>", "<div><p>x", "&amp", "<a href='x\" >"])
+def test_html_hostile(unit):
+    """A megabyte of broken markup takes time in proportion to its length."""
+    import time
+
+    began = time.process_time()
+    html_text.main_text(unit * (1_000_000 // len(unit)))
+    html_text.main_text("".join(f"<x{i} class=ad>" for i in range(20_000)))
+    assert time.process_time() - began < 6
+
+
 def test_links(spark):
     rows = [(1, "http://A.net/x?y", '<a href="https://b.org/z">'), (2, "https://www.example.net/en/1", None), (3, None, ""), (4, "x", ""), (5, "http://c.org/p", '<a href="//a.net/">'), (6, "http://b.org", "")]
     got = {r.page_id: r for r in linkgraph.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}

@@ -1,12 +1,12 @@
 """Main text by line-block distribution.
 
-Strip. One scan of the tags drops comments, scripts, styles, forms and elements that say they are no article (nav, header, footer, aside, or by role, class or id); each
-leaves a gap of empty lines. What is left becomes lines, one for each block element.
+Strip. One linear scan of the tags drops comments, scripts, styles, forms and elements that say they are no article (nav, header, footer, aside, or by role, class or id); each
+leaves a gap of empty lines, and so do the bounds of article and main. What is left becomes lines, one for each block element.
 
-Distribution. The length of text is summed over windows of `window` lines; text that is only links counts nothing. A region begins where a window's sum surges above
-`surge` and ends where it dives to 0, as it does in a gap. Lines between the surge and the dive stay, inside and outside of article and main elements. These only add weight: if they
-hold at least as much text as the regions that surge outside of them, all of their lines stay too. A short region stays if it stands in the same block as one that surges, cut
-off from it by an advert or another dropped element; body itself is such a block only for what stands in it directly. If nothing surges and there are none, the region with the largest sum stays.
+Distribution. A line's size is the length of its text; text that is only links counts nothing. Inside article and main, links count and sizes weigh `prior` times as much: tags are a weight, no
+more. Sizes are summed over windows of `window` lines. A region begins where a window's sum surges above `surge` and ends where it dives to 0, as it does in a gap. The region with the
+largest sum is the main one; what surges with at least `share` of its sum stays with it. Other text stays only if it stands in the same block (of an article: in the same article), cut
+off by an advert or another dropped element; body itself is such a block only for what stands in it directly. If nothing surges, the region with the largest sum stays.
 
 Cases. A null or empty html gives an empty text. Broken markup: an unclosed element that would be dropped loses only its text up to the next block element; a script or
 comment that never ends reaches to the end of the page. Repeated rows get a row each; null ids and urls stay null.
@@ -24,7 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import load
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|title|math|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+#: Elements whose content is no text; up to their end tag, markup inside them is none.
+RAW = frozenset("script style noscript template textarea svg iframe select title math object".split())
+NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+STOP = re.compile("[>\"']")
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("nav footer aside form button dialog menu fieldset".split())
@@ -97,15 +100,91 @@ class Holders:
             k = self.up[k]
         return k
 
+    def article(self, k: int) -> int:
+        """The outermost article or main around holder k, or k."""
+        out = k
+        while k:
+            out = k if self.tags[k] in SCOPES else out
+            k = self.up[k]
+        return out
+
+
+def tags_of(page: str) -> list[tuple[int, int, str, bool, str]]:
+    """(start, end, lower-case name, whether it closes, attributes) of each tag; comments, declarations and RAW elements are one nameless item each (RAW ones keep their name behind a !).
+
+    One pass from left to right: what a tag, a comment or an element took is not looked at again. A > in a quoted value ends no tag; the first time that such a quote swallows
+    the rest of the page, quotes lose that power for good, so that no page is scanned more than twice."""
+    out: list[tuple[int, int, str, bool, str]] = []
+    low, at, quotes = page.lower() if len(page.lower()) == len(page) else page, 0, True
+    last = page.rfind(">")
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            out.append((at, end, "", False, ""))
+            at = end
+            continue
+        if at > last:
+            break
+        if page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at) + 1
+            out.append((at, end, "", False, ""))
+            at = end
+            continue
+        m = NAME.match(page, at + 1)
+        if not m:
+            at += 1
+            continue
+        end, stop = -1, m.end()
+        while quotes:
+            found = STOP.search(page, stop)
+            if not found:
+                quotes = False
+            elif found[0] == ">":
+                end = found.end()
+                break
+            else:
+                behind = page.find(found[0], found.end())
+                stop = behind + 1 if behind >= 0 else found.end()  # the last of its kind opens nothing
+        if end < 0:
+            end = page.find(">", m.end()) + 1
+        closes, name = m[0][0] == "/", m[0].lstrip("/").lower()
+        attributes = page[m.end() : end - 1]
+        if name in RAW and not closes:
+            until = low.find("</" + name, end)
+            if until < 0:
+                end = len(page)
+            else:
+                until = page.find(">", until) + 1
+                end = until or len(page)
+            out.append((at, end, "!" + name, False, ""))
+        else:
+            out.append((at, end, name, closes, attributes))
+        at = end
+    return out
+
+
+def closers(tags: list[tuple[int, int, str, bool, str]]) -> dict[int, int]:
+    """For each opening tag that is closed, the place of its end tag: elements of one name nest."""
+    opened: dict[str, list[int]] = {}
+    out = {}
+    for k, (_, _, name, closes, _) in enumerate(tags):
+        if closes:
+            if opened.get(name):
+                out[opened[name].pop()] = k
+        else:
+            opened.setdefault(name, []).append(k)
+    return out
+
 
 def lines_of(page: str, gap: int) -> tuple[list[tuple[str, int, bool, int]], Holders]:
-    """(text, characters outside of links, inside an article, holder) of each line, and the holders; gaps are empty lines."""
-    tags = list(TAG.finditer(page))
+    """(text, characters outside of links, inside an article, holder) of each line, and the holders; gaps are empty lines. An article's bounds are gaps too."""
+    tags = tags_of(page)
+    closed = closers(tags)
     out: list[tuple[str, int, bool, int]] = []
     holders = Holders()
     held: list[str] = []
     own, links, scope, at, i = 0, 0, 0, 0, 0
-    hopeless: set[str] = set()
 
     def end(count: int = 0) -> None:
         nonlocal own
@@ -125,47 +204,36 @@ def lines_of(page: str, gap: int) -> tuple[list[tuple[str, int, bool, int]], Hol
                 own += len(text.strip())
 
     while i < len(tags):
-        m = tags[i]
-        add(page[at : m.start()])
-        at = m.end()
+        start, behind, tag, closing, attributes = tags[i]
+        add(page[at:start])
+        at = behind
         i += 1
-        tag = (m[3] or "").lower()
-        if not tag:
-            if m[1] and m[1].lower() in ("title", "textarea", "select", "iframe"):
-                end(gap if m[1].lower() != "title" else 0)
+        if not tag or tag[0] == "!":
+            if tag in ("!title", "!textarea", "!select", "!iframe"):
+                end(gap if tag != "!title" else 0)
             continue
-        closing = bool(m[2])
-        if not closing and tag not in VOID and unwanted(tag, m[4], scope > 0):
-            depth, j = 1, i
-            if tag not in hopeless:
-                while j < len(tags) and depth:
-                    if (tags[j][3] or "").lower() == tag:
-                        depth += -1 if tags[j][2] else 1
-                    j += 1
+        if not closing and tag not in VOID and unwanted(tag, attributes, scope > 0):
             if tag in BLOCKS or tag == "button":
                 end(gap)
-            if depth == 0:
-                i, at = j, tags[j - 1].end()
+            if i - 1 in closed:
+                i = closed[i - 1] + 1
+                at = tags[i - 1][1]
             else:  # never closed
-                hopeless.add(tag)
-                while i < len(tags) and (tags[i][3] or "").lower() not in BLOCKS:
+                while i < len(tags) and tags[i][2] not in BLOCKS:
                     i += 1
-                at = tags[i].start() if i < len(tags) else len(page)
+                at = tags[i][0] if i < len(tags) else len(page)
             continue
         if tag == "a":
             links = max(0, links + (-1 if closing else 1))
         elif tag == "br":
             held.append(" ")
         elif tag in BLOCKS:
-            end()
+            end(gap * (tag in SCOPES and scope == closing))
             links = 0
             if tag in HOLDERS:
                 holders.close(tag) if closing else holders.open(tag)
             if tag in SCOPES:
-                if closing:
-                    scope = max(0, scope - 1)
-                else:
-                    scope += 1
+                scope = max(0, scope - 1) if closing else scope + 1
     add(page[at:])
     end()
     while holders.at:
@@ -174,31 +242,27 @@ def lines_of(page: str, gap: int) -> tuple[list[tuple[str, int, bool, int]], Hol
     return out, holders
 
 
-def regions(sizes: list[int], window: int, surge: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[tuple[int, int]]]:
-    """(first line, line behind the last) between each surge and dive of the sums over `window` lines, of the largest region, and of those that don't surge."""
-    found, low, best, at, n = [], [], None, 0, len(sizes)
+def regions(sizes: list[int], window: int, surge: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(first line, line behind the last, sum) of the regions from surge to dive of the sums over `window` lines, and of those that never surge."""
+    found, low, at, n = [], [], 0, len(sizes)
     while at < n:
         if not sizes[at]:
             at += 1
             continue
-        first, peak, zero = at, 0, 0
-        run = 0
+        first, peak, zero, run = at, 0, 0, 0
         while at < n and zero < window:
             zero = zero + 1 if not sizes[at] else 0
-            run = sum(sizes[max(first, at - window + 1) : at + 1])
+            run += sizes[at] - (sizes[at - window] if at - window >= first else 0)
             peak = max(peak, run)
             at += 1
-        region = (first, at - zero)
-        (found if peak > surge else low).append(region)
-        if best is None or peak > best[0]:
-            best = (peak, region)
-    return found, [best[1]] if best else [], low
+        (found if peak > surge else low).append((first, at - zero, sum(sizes[first : at - zero])))
+    return found, low
 
 
 def rejoined(found: list[tuple[int, int]], low: list[tuple[int, int]], homes: list[int], sizes: list[int], holders: Holders) -> list[tuple[int, int]]:
-    """found, and the lines of low that stand in the same block as one of them, cut off by what was dropped between."""
+    """found, and the lines of low that stand in the same block (of an article: anywhere in it) as one of them, cut off by what was dropped between."""
     of = lambda region: [homes[k] for k in range(*region) if sizes[k]]
-    blocks = {holders.around(of(x)) for x in found}
+    blocks = {holders.article(holders.around(of(x))) for x in found}
     flat = {x for x in blocks if holders.tags[x] in ("", "body")}
     deep: list[tuple[int, int]] = []  # of the others, the outermost
     for x in sorted(blocks - flat):
@@ -209,21 +273,19 @@ def rejoined(found: list[tuple[int, int]], low: list[tuple[int, int]], homes: li
     return found + [(k, k + 1) for x in low for k in range(*x) if inside(homes[k])]
 
 
-def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
+def main_text(page: str | None, window: int = 3, surge: int = 80, prior: int = 4, share: float = 0.1) -> str:
     if not page:
         return ""
     lines, holders = lines_of(page, window)
     homes = [holders.home(k) for *_, k in lines]
-    within = sum(len(text) for text, _, inside, _ in lines if inside)
-    sizes = [0 if inside else own for _, own, inside, _ in lines]
-    found, largest, low = regions(sizes, window, surge)
-    if within and within >= sum(sum(sizes[a:b]) for a, b in found):
-        kept = {k for k, (_, _, inside, _) in enumerate(lines) if inside}
-    else:
-        sizes = [own for _, own, _, _ in lines]
-        found, largest, low = regions(sizes, window, surge)
-        found, kept = found or largest, set()
-    kept.update(k for a, b in rejoined(found, low, homes, sizes, holders) for k in range(a, b))
+    sizes = [prior * len(text) if inside else own for text, own, inside, _ in lines]
+    found, low = regions(sizes, window, surge)
+    if not found:
+        found, low = [max(low, key=lambda r: r[2])] if low else [], []
+    top = max((r[2] for r in found), default=0)
+    main = [(a, b) for a, b, total in found if total >= share * top]
+    rest = [(a, b) for a, b, total in found if total < share * top] + [(a, b) for a, b, _ in low]
+    kept = {k for a, b in rejoined(main, rest, homes, sizes, holders) for k in range(a, b)}
     return "\n\n".join(text for k, (text, *_) in enumerate(lines) if k in kept and text)
 
 
