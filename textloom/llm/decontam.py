@@ -1,17 +1,18 @@
-"""Benchmark decontamination over a positional inverted index, in DataFrame operations only.
+"""Benchmark decontamination over a distributed positional inverted index, in DataFrame operations only.
 
-Index. `term_counts` counts every test term over all training documents. `postings` is the positional index of chosen terms: a row per occurrence with term, document,
-position, and the words around it.
+Index. One pass over the training documents stores a posting (document, position) for every occurrence of a term of the test items. Every task writes a segment sorted by term, document
+and position, so that a term's list is a run of rows which the files' statistics find. The list of the term END holds the lengths of the documents.
 
-Search. Of each window of `n` item words (an item of fewer words is one window) the rarest term is an anchor, so every window holds one. An anchor's postings,
-moved by its offset in the item, are the only places where a window may lie. There the lists of the other terms are intersected outwards from the anchor: the words on
-both sides of a posting against the item's, which gives the run of equal words; a run as long as a window is a hit. `proximity` finds items whose rarest terms
-occur, in order or not, within `slop` positions.
+Phrases. A window is `n` consecutive words of an item (an item of fewer words is one window). The windows' terms are ranked by the lengths of their lists. The list of a window's rarest
+term, moved by its offset, gives the places where the window may lie; these are intersected with the list of the second rarest term, and what is left with the lists of all others. Every
+intersection is an equi-join on (document, term, position), by which no pair within a list is formed, and Spark shuffles or broadcasts by the sizes it knows: no row carries words.
+Places of one item that follow each other on one diagonal (position less place) are a run; runs as long as a window are hits.
 
-Anchors are broadcast only if there are at most BROADCAST_ROWS of them; beyond, Spark joins the postings to them by shuffling terms alone.
+Proximity. `proximity` finds items whose `k` rarest terms all occur, in any order, within `slop` positions, from the same lists.
 
 Cases. Null and empty documents have no words, and a row. Items without words or with a null text have no window. A null item_id takes part in hits but has no name in
-n_items and items_sha256. Repeated items count once by id. Repeated rows get a row each. Rows of one doc_id with different texts are judged apart.
+n_items and items_sha256. Repeated items count once by id. Repeated rows get a row each. Rows of one doc_id with different texts are judged apart. A very long document is many postings,
+which are dealt out by position as well. Without documents there is no row, without items no hit.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from .common import fresh, load, written
 #: A-Z are letters of the words and become a-z.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BROADCAST_ROWS = 200_000
-#: Stands before and behind a text's words; no word is empty.
+#: Stands before and behind a text's words; no word is empty. Its number among the terms is 0.
 END = ""
+KEY = ["doc_id", "h"]
 
 
 def lowered(text: Column) -> Column:
@@ -44,113 +45,116 @@ def words_of(text: Column) -> Column:
     return F.filter(framed(text), lambda w: w != END)
 
 
-def item_words(items: DataFrame) -> DataFrame:
-    """items: item_id, text -> item_id, words; one row for equal ids and texts, none without words."""
-    return items.select("item_id", F.transform(words_of(F.col("text")), lowered).alias("words")).where(F.size("words") > 0).distinct()
-
-
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """df, and whether it is small enough to be broadcast; then it is marked so."""
-    few = df.limit(most + 1).count() <= most
-    return (F.broadcast(df) if few else df), few
-
-
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Occurrences of each of terms (term) in all docs (text)."""
-    found = docs.select(F.explode(framed(F.col("text"))).alias("w")).select(lowered(F.col("w")).alias("term"))
-    counted = found.join(small(terms)[0], "term").groupBy("term").agg(F.count("*").alias("uses"))
-    return terms.join(counted, "term", "left").select("term", F.coalesce("uses", F.lit(0)).alias("uses"))
-
-
-def anchors_of(items: DataFrame, counts: DataFrame, n: int) -> DataFrame:
-    """items: item_id, words; the rarest term of each window: term, item_id, i (its place), need (words of a window), left, right (the words on both sides, nearest first)."""
-    at = items.select("item_id", "words", F.posexplode("words").alias("i", "term")).join(counts, "term")
-    # the windows that hold place i begin at i-n+1 .. i; i is an anchor if in one of them no place is rarer, or as rare and further left
-    key = F.struct("uses", "i")
-    item = W.Window.partitionBy("item_id", "words").orderBy("i")
-    best = at.withColumn("best", F.min(key).over(item.rowsBetween(0, n - 1))).where((F.col("i") <= F.size("words") - n) | (F.col("i") == 0))
-    chosen = best.select("item_id", "words", F.col("best.i").alias("i")).distinct()
-    return chosen.select(
-        F.element_at("words", F.col("i") + 1).alias("term"), "item_id", "i", F.least(F.lit(n), F.size("words")).alias("need"),
-        F.reverse(F.slice("words", F.greatest(F.col("i") - n + 2, F.lit(1)), F.least(F.col("i"), F.lit(n - 1)))).alias("left"),
-        F.slice("words", F.col("i") + 2, n - 1).alias("right"),
-    )
-
-
-def postings(docs: DataFrame, terms: DataFrame, n: int, keys: list[str]) -> DataFrame:
-    """The positional index of terms (term): keys, term, pos, and the n-1 words before (nearest first) and behind, for every occurrence in docs (keys, text); and for
-    each document a row with the term END, whose pos is the number of its words."""
-    words = docs.select(*keys, framed(F.col("text")).alias("words"))
-    at = words.select(*keys, "words", F.posexplode("words").alias("place", "w")).where("place > 0").withColumn("pos", F.col("place") - 1)
-    ends = terms.select("term").union(docs.sparkSession.createDataFrame([(END,)], "term string"))
-    known, few = small(ends)
-    before = F.reverse(F.slice("words", F.greatest(F.col("place") - n + 2, F.lit(2)), F.least(F.col("pos"), F.lit(n - 1))))
-    behind = F.slice("words", F.col("place") + 2, n - 1)
-    if few:
-        return at.withColumn("term", lowered(F.col("w"))).join(known, "term").select(*keys, "term", "pos", F.transform(before, lowered).alias("before"), F.transform(behind, lowered).alias("behind"))
-    return at.select(*keys, lowered(F.col("w")).alias("term"), "pos", F.transform(before, lowered).alias("before"), F.transform(behind, lowered).alias("behind")).join(known, "term")
-
-
-def run_length(a: str, b: str) -> Column:
-    first = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
-    return F.when(first > 0, first - 1).otherwise(F.least(F.size(a), F.size(b))).cast("int")
-
-
-def hits(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
-    """docs: doc_id, text. A row per document: doc_id, copies (equal rows), n_words, spans (item_id, from, to: the hit words of a phrase), h (of the text)."""
-    items = written(item_words(items), "bench-items")
-    terms = items.select(F.explode("words").alias("term")).distinct()
-    counts = written(term_counts(docs, terms), "bench-counts")
-    anchors = written(anchors_of(items, counts, n), "bench-anchors")
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    places = postings(keyed, anchors.select("term").distinct(), n, ["doc_id", "h"])
-    known, _ = small(anchors)
-    found = places.join(known, "term", "left").where((F.col("term") == END) | F.col("i").isNotNull())
-    left, right = run_length("before", "left"), run_length("behind", "right")
-    found = found.select("doc_id", "h", "pos", "item_id", "need", (F.col("term") == END).alias("is_end"), left.alias("l"), right.alias("r")).where(F.col("is_end") | (F.col("l") + F.col("r") + 1 >= F.col("need")))
-    return found.select("doc_id", "h", "is_end", "item_id", F.when(F.col("is_end"), F.col("pos")).alias("n_words"), F.when(~F.col("is_end"), F.col("pos") - F.col("l")).alias("from"), F.when(~F.col("is_end"), F.col("pos") + F.col("r")).alias("to"))
-
-
-def contamination(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
-    """A row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    rows = written(hits(docs, items, n), "bench-hits")
-    key = ["doc_id", "h"]
-    ends = rows.where("is_end").select(*key, "n_words")
+def item_table(items: DataFrame) -> DataFrame:
+    """items: item_id, text -> k (a number of its own), item_id, words; one row for equal ids and words, none without words."""
+    found = items.select("item_id", F.transform(words_of(F.col("text")), lowered).alias("words")).where(F.size("words") > 0).distinct()
+    return written(found.withColumn("k", F.monotonically_increasing_id()), "bench-items")
+
+
+def term_table(items: DataFrame) -> DataFrame:
+    """(term, id) of the items' words, and END with 0."""
+    terms = items.select(F.explode("words").alias("term")).distinct().withColumn("id", F.monotonically_increasing_id() + 1)
+    return written(terms.union(items.sparkSession.createDataFrame([(END, 0)], "term string, id long")), "bench-terms")
+
+
+def store_postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """docs: doc_id, text; terms: term, id -> the stored index (doc_id, h, id, pos); h is a hash of the text. A document's posting of END stands at the number of its words."""
+    words = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(framed(F.col("text"))).alias("place", "w")).where("place > 0")
+    found = words.select(*KEY, (F.col("place") - 1).alias("pos"), lowered(F.col("w")).alias("term")).join(terms, "term").select(*KEY, "id", "pos")
+    return written(found.sortWithinPartitions("id", *KEY, "pos"), "postings")
+
+
+def places_of(items: DataFrame, terms: DataFrame, index: DataFrame) -> DataFrame:
+    """(k, i, id, uses): the i-th word (from 0) of each item and the length of its list."""
+    uses = index.where("id > 0").groupBy("id").agg(F.count("*").alias("uses"))
+    at = items.select("k", F.posexplode("words").alias("i", "term")).join(terms, "term").join(uses, "id", "left")
+    return written(at.select("k", "i", "id", F.coalesce("uses", F.lit(0)).alias("uses")), "bench-places")
+
+
+def windows_of(places: DataFrame, n: int) -> DataFrame:
+    """(k, s, need, i1, id1, i2, id2): a window of `need` words from place s of item k, and the places and terms of its two shortest lists; only one if need is 1."""
+    item = W.Window.partitionBy("k").orderBy("i")
+    ranked = F.array_sort(F.collect_list(F.struct("uses", "i", "id")).over(item.rowsBetween(0, n - 1)))
+    at = places.withColumn("length", F.count("*").over(W.Window.partitionBy("k"))).withColumn("l", ranked).where((F.col("i") == 0) | (F.col("i") <= F.col("length") - n))
+    first, second = F.get("l", F.lit(0)), F.get("l", F.lit(1))
+    return at.select("k", F.col("i").alias("s"), F.least(F.lit(n), F.col("length")).cast("int").alias("need"), first["i"].alias("i1"), first["id"].alias("id1"), second["i"].alias("i2"), second["id"].alias("id2"))
+
+
+def intersect(wanted: DataFrame, index: DataFrame) -> DataFrame:
+    """The rows of wanted (doc_id, h, id, pos and others) that have a posting."""
+    w, p = wanted.alias("w"), index.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("id").alias("t"), F.col("pos").alias("q")).alias("p")
+    return w.join(p, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & (F.col("id") == F.col("t")) & (F.col("pos") == F.col("q")), "left_semi")
+
+
+def phrases(index: DataFrame, items: DataFrame, terms: DataFrame, n: int = 10) -> DataFrame:
+    """(doc_id, h, item_id, from, to): every longest run of words, of a window's length at least, that an item and a document share."""
+    places = places_of(items, terms, index)
+    windows = written(windows_of(places, n), "bench-windows")
+    rare = windows.select("k", "i1", "id1", "i2", "id2").distinct()
+    began = index.join(rare, F.col("id") == F.col("id1")).select(*KEY, "k", (F.col("pos") - F.col("i1")).alias("diagonal"), "i1", "i2", "id2")
+    alone = began.where("id2 is null").select(*KEY, "k", "diagonal", "i1", "i2")
+    two = began.where("id2 is not null").select(*KEY, "k", "diagonal", "i1", "i2", F.col("id2").alias("id"), (F.col("diagonal") + F.col("i2")).alias("pos")).where("pos >= 0").distinct()
+    second = index.join(windows.select(F.col("id2").alias("id")).distinct(), "id", "left_semi")
+    kept = written(intersect(two, second).select(*KEY, "k", "diagonal", "i1", "i2").unionByName(alone), "bench-met")
+    spread = kept.join(windows, (kept["k"] == windows["k"]) & (kept["i1"] == windows["i1"]) & kept["i2"].eqNullSafe(windows["i2"])).select(*KEY, kept["k"], "diagonal", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("need") - 1)).alias("i")).distinct()
+    wanted = spread.join(places.select("k", "i", "id"), ["k", "i"]).withColumn("pos", F.col("diagonal") + F.col("i"))
+    order = W.Window.partitionBy(*KEY, "k", "diagonal").orderBy("i")
+    runs = intersect(wanted, index.where("id > 0")).select(*KEY, "k", "diagonal", "i").withColumn("run", F.col("i") - F.row_number().over(order))
+    runs = runs.groupBy(*KEY, "k", "diagonal", "run").agg(F.min("i").alias("a"), F.max("i").alias("b"))
+    named = runs.join(items.select("k", "item_id", F.least(F.lit(n), F.size("words")).alias("need")), "k").where(F.col("b") - F.col("a") + 1 >= F.col("need"))
+    return named.select(*KEY, "item_id", (F.col("diagonal") + F.col("a")).alias("from"), (F.col("diagonal") + F.col("b")).alias("to"))
+
+
+def near(index: DataFrame, items: DataFrame, terms: DataFrame, slop: int = 20, k: int = 3) -> DataFrame:
+    """(doc_id, h, item_id, pos): places of one of the k rarest terms of an item (all, if it has fewer) from which the others occur within slop positions, in any order."""
+    places = places_of(items, terms, index).select("k", "id", "uses").distinct().join(terms, "id")
+    order = W.Window.partitionBy("k").orderBy("uses", "term")
+    rare = places.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    rare = written(rare.select("k", "id", F.count("*").over(W.Window.partitionBy("k")).alias("wanted")), "bench-rare")
+    ahead = W.Window.partitionBy(*KEY, "k").orderBy("pos").rangeBetween(0, slop)
+    seen = index.join(rare, "id").withColumn("seen", F.size(F.collect_set("id").over(ahead)))
+    return seen.where("seen = wanted").join(items.select("k", "item_id"), "k").select(*KEY, "item_id", "pos").distinct()
+
+
+def proximity(docs: DataFrame, items: DataFrame, slop: int = 20, k: int = 3) -> DataFrame:
+    """(doc_id, item_id, pos) of `near`, for documents (doc_id, text) and items (item_id, text)."""
+    known = item_table(items)
+    terms = term_table(known)
+    return near(store_postings(docs, terms), known, terms, slop, k).select("doc_id", "item_id", "pos").distinct()
+
+
+def contamination(docs: DataFrame, items: DataFrame, n: int = 10, slop: int | None = None, k: int = 3) -> DataFrame:
+    """A row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with slop also n_near, the number of items whose k rarest terms occur within slop positions."""
+    known = item_table(items)
+    terms = term_table(known)
+    index = store_postings(docs, terms)
+    spans = written(phrases(index, known, terms, n), "bench-spans")
     # distinct hit words: spans that touch or overlap are merged by a running maximum, so no word is listed
-    spans = rows.where("not is_end").select(*key, "item_id", "from", "to")
-    order = W.Window.partitionBy(*key).orderBy("from", "to")
+    order = W.Window.partitionBy(*KEY).orderBy("from", "to")
     top = F.coalesce(F.max("to").over(order.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(-1))
-    covered = spans.select(*key, "from", "to").distinct().withColumn("new", F.greatest(F.col("to") - F.greatest(F.col("from") - 1, top), F.lit(0))).groupBy(*key).agg(F.sum("new").alias("n_hit"))
-    named = spans.groupBy(*key).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    per = covered.join(named, [covered["doc_id"].eqNullSafe(named["doc_id"]), covered["h"] == named["h"]]).select(covered["doc_id"].alias("d"), covered["h"].alias("k"), "n_hit", "items")
-    out = ends.join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")), "left")
+    new = F.greatest(F.col("to") - F.greatest(F.col("from") - 1, top), F.lit(0))
+    none = F.lit(None).cast("string")
+    rows = spans.select(*KEY, "from", "to").distinct().select(*KEY, new.alias("new"), none.alias("item"), none.alias("close"))
+    rows = rows.unionByName(spans.select(*KEY, F.lit(0).alias("new"), F.col("item_id").cast("string").alias("item"), none.alias("close")).distinct())
+    if slop is not None:
+        rows = rows.unionByName(near(index, known, terms, slop, k).select(*KEY, F.lit(0).alias("new"), none.alias("item"), F.col("item_id").cast("string").alias("close")).distinct())
+    per = rows.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.sum("new").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"), F.count_distinct("close").alias("n_near"))
+    out = index.where("id = 0").join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     names = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "h", F.col("n_words").cast("long").alias("n_words"), hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
-
-
-def proximity(docs: DataFrame, items: DataFrame, slop: int = 20, k: int = 3) -> DataFrame:
-    """(doc_id, item_id, pos): places from which the k rarest terms of an item all occur within slop positions, in any order."""
-    items = written(item_words(items), "near-items")
-    counts = written(term_counts(docs, items.select(F.explode("words").alias("term")).distinct()), "near-counts")
-    order = W.Window.partitionBy("item_id").orderBy("uses", "term")
-    rare = items.select("item_id", F.explode(F.array_distinct("words")).alias("term")).join(counts, "term").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    rare = written(rare.select("item_id", "term", F.count("*").over(W.Window.partitionBy("item_id")).alias("wanted")), "near-rare")
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    places = postings(keyed, rare.select("term").distinct(), 1, ["doc_id", "h"]).where(F.col("term") != END).join(small(rare)[0], "term")
-    ahead = W.Window.partitionBy("doc_id", "h", "item_id").orderBy("pos").rangeBetween(0, slop)
-    return places.withColumn("seen", F.size(F.collect_set("term").over(ahead))).where(F.col("seen") == F.col("wanted")).select("doc_id", "item_id", "pos").distinct()
+    more = [F.coalesce("n_near", F.lit(0)).alias("n_near")] * (slop is not None)
+    return out.select(*KEY, F.col("pos").cast("long").alias("n_words"), hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), *more)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents without a hit, with the columns of docs."""
     d, h = fresh(docs, "dirty_id", "dirty_text")
-    dirty = contamination(docs, load(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias(d), F.col("h").alias(h)).distinct()
+    dirty = contamination(docs.select("doc_id", "text"), load(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias(d), F.col("h").alias(h)).distinct()
     return docs.join(dirty, docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(h)), "left_anti")
 
 
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark").select("item_id", "text")).drop("h")
+    return contamination(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark").select("item_id", "text"), slop=20).drop("h")
 
 
 OP7_SQL = r"""
@@ -161,7 +165,15 @@ lens AS (SELECT DISTINCT n FROM win),
 p AS (SELECT r, w, unnest(range(0, len(w))) AS s FROM d),
 m AS (SELECT p.r, p.s, win.n, win.item_id FROM p, lens, win WHERE p.s + lens.n <= len(p.w) AND win.n = lens.n AND win.g = array_to_string(p.w[p.s + 1 : p.s + lens.n], ' ')),
 h AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS q FROM m) GROUP BY r),
-i AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS l FROM m GROUP BY r)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)
+i AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS l FROM m GROUP BY r),
+-- proximity: the three rarest terms of an item within 20 positions
+o AS (SELECT r, s, w[s + 1] AS t FROM p),
+f AS (SELECT t, count(*) AS uses FROM o GROUP BY t),
+bt AS (SELECT DISTINCT k, item_id, t FROM (SELECT row_number() OVER () AS k, item_id, unnest(w) AS t FROM (SELECT DISTINCT item_id, w FROM b))),
+rare AS (SELECT k, item_id, t, count(*) OVER (PARTITION BY k) AS wanted FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY coalesce(uses, 0), t) AS rank FROM bt LEFT JOIN f USING (t)) WHERE rank <= 3),
+z AS (SELECT r, s, t, k, item_id, wanted FROM o JOIN rare USING (t)),
+near AS (SELECT DISTINCT r, item_id FROM (SELECT a.r, a.item_id, a.wanted, count(DISTINCT c.t) AS seen FROM z a JOIN z c ON a.r = c.r AND a.k = c.k AND c.s BETWEEN a.s AND a.s + 20 GROUP BY a.r, a.k, a.item_id, a.s, a.wanted) WHERE seen = wanted),
+c AS (SELECT r, count(DISTINCT item_id) AS n_near FROM near GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r) LEFT JOIN c USING (r)
 """
