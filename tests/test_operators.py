@@ -72,10 +72,18 @@ def test_bits(spark):
     assert {r.i: r.rank for r in bits.rank(b, 1).collect()}[16] == 7
     assert {r.i: r.rank for r in bits.rank(b, 0).collect()}[16] == 9
     one, zero = ({r.i: r.pos for r in bits.select(b, k).collect()} for k in (1, 0))
-    assert (one[1], one[4], zero[10]) == (4, 12, 11) or (one[1], one[4]) == (4, 12)
+    assert (one[1], one[4], zero[10]) == (4, 12, 16)
     df = spark.createDataFrame([(1, 0xF0, 4), (2, 1, 1), (3, 0x10, 5), (4, 7, 3)], "o int, v long, w int")
-    packed = bits.pack(df.withColumn("v", F.col("v").bitwiseAND(F.expr("shiftleft(1L, w) - 1"))), "o", "v", "w").first().bits
-    assert packed == "0000110000111"
+    assert bits.pack(df, "o", "v", "w").first().bits == "0000110000111"
+    i = spark.createDataFrame([(0,), (24,), (25,)], "i long")
+    assert {r.i: r["rank"] for r in bits.rank_at(b, i, strict=False).collect()} == {0: None, 24: 11, 25: None}
+    assert bits.rank_at(b, i.where("i = 24")).first()["rank"] == 11 and bits.select_at(b, i.where("i = 0"), strict=False).first().pos is None
+    for bad in (bits.rank_at(b, i), bits.select_at(b, i)):
+        with pytest.raises(Exception, match=bits.OUT_OF_BOUNDS):
+            bad.collect()
+    assert {r.bit for r in bits.filled(b, 1).collect()} == {1}
+    r = spark.range(1).select(bits.with_range(F.lit("0000000"), 2, F.lit(13), 3).alias("a"), bits.with_range(F.lit("0000"), 2, F.lit(1), 3).alias("b"), bits.bit_text(F.lit(-1), 64).alias("c"), bits.bit_text(F.lit(5), 0).alias("d")).first()
+    assert tuple(r) == ("0010100", None, "1" * 64, "")
     r = spark.range(1).select(bits.nth_set_bit(F.lit(5), 1).alias("a"), bits.nth_set_bit(F.lit(5), 1, True).alias("b"), bits.nth_set_bit(F.lit(5), 3).alias("c"), bits.is_set(F.lit(1), 63).alias("s")).first()
     assert (r.a, r.b, r.c, r.s) == (61, 0, None, True)
     assert bits.multiplicative_chain(12, [6, 4]) == [12, 6, 3]
@@ -88,6 +96,12 @@ def test_hashing(spark):
     with pytest.raises(hashing.Collision):
         hashing.assign(keys.union(keys.limit(1)))
     assert hashing.Config(97).table_size == 101
+    c = hashing.Config(1000)
+    assert (c.buckets, c.table_size, c.size, hashing.Config(1000, minimal=True).size, hashing.Config(1000, num_buckets=7).buckets) == (166, 1032, 1032, 1000, 7)
+    assert (hashing.Config(10).eps, hashing.Config(10**8).eps) == (1.0, 1024 / 50000)
+    assert hashing.bucketed(keys, hashing.Config(500)).count() == 500
+    with pytest.raises(hashing.BucketOverflow):
+        hashing.bucketed(keys, hashing.Config(500, num_buckets=3, max_bucket=100), "skewed")
 
 
 def test_filters(spark):
@@ -103,7 +117,149 @@ def test_filters(spark):
 
 def test_arith(spark):
     r = spark.range(1).select(arith.fast_div(F.lit(333), 37).alias("a"), arith.fast_mod(F.lit(96), 37).alias("b"), arith.is_divisible(F.lit(333), 37).alias("c"), arith.log2_ceil(F.lit(1025)).alias("d"), arith.human_bytes(F.lit(2048)).alias("e"), arith.human_time(F.lit(1500)).alias("f")).first()
-    assert tuple(r) == (9, 22, True, 11, "2.00Kb", "1.50us")
+    assert tuple(r) == (9, 22, True, 11, "2.00 Kb", "1.50 us")
+
+
+def test_formats(spark):
+    """Whole numbers in the first unit, a sign, and the largest units."""
+    sizes = [0, 512, 1023, 1024, 1536, 1 << 20, 1 << 50, 5 << 60]
+    times = [0, 999, 1000, -1500, 59_999_000_000, 192_000_000_000, 7_200_000_000_000, -7]
+    df = spark.createDataFrame(list(enumerate(zip(sizes, times, strict=True))), "i int, x struct<a:long,b:long>")
+    rows = df.select("i", arith.human_bytes(F.col("x.a")).alias("a"), arith.human_time(F.col("x.b")).alias("b")).orderBy("i").collect()
+    assert [r.a for r in rows] == ["0 b", "512 b", "1023 b", "1.00 Kb", "1.50 Kb", "1.00 Mb", "1.00 Pb", "5120.00 Pb"]
+    assert [r.b for r in rows] == ["0 ns", "999 ns", "1.00 us", "-1.50 us", "60.00 sec", "3.20 min", "2.00 hr", "-7 ns"]
+
+
+def test_wide_numbers(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(1 << 63), rng.randrange(2, 1 << 62)) for _ in range(50)] + [((1 << 63) - 1, 2), (0, 3), (1, 1 << 62)]
+    df = spark.createDataFrame(rows, "n long, d long")
+    for r in df.select("n", "d", arith.magic_number_wide(F.col("d")).alias("m"), arith.mul_high(F.col("n"), F.col("d")).alias("h")).collect():
+        assert (int(r.m.hi) << 64) + int(r.m.lo) == ((1 << 128) - 1) // r.d + 1 and int(r.h) == (r.n * r.d) >> 64
+
+
+def plain_lru(rows, capacity):
+    out, recent = [], {}
+    for g, o, k in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])):
+        held = recent.setdefault(g, [])
+        out.append((g, o, k, k in held))
+        recent[g] = ([x for x in held if x != k] + [k])[-capacity:]
+    return out
+
+
+@pytest.mark.parametrize("capacity", [1, 3, 50])
+def test_lru_over_ranges(spark, capacity):
+    """A group that holds most rows and so lies in many ranges, one that is null, and ties."""
+    rng = random.Random(capacity)
+    rows = [(rng.choice([None, 1, 7, 7, 7, 7, 7, 7]), rng.randrange(400), f"k{rng.randrange(12)}") for _ in range(1500)]
+    df = spark.createDataFrame(rows, "g int, o int, k string")
+    want = plain_lru(rows, capacity)
+    got = [tuple(r) for r in filters.lru_hits(df, "g", "o", "k", capacity).collect()]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1:])
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_lru_stream(spark, tmp_path):
+    """Two batches; a group's state goes from one to the next, and rows of a batch come in any order."""
+    rng = random.Random(1)
+    rows = [(rng.randrange(3), i, f"k{rng.randrange(6)}") for i in range(300)]
+    for n, part in enumerate((rows[:150], rows[150:])):
+        spark.createDataFrame(rng.sample(part, len(part)), "g int, o int, k string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if not n:
+            import time
+
+            time.sleep(1.1)  # the source takes the older file first
+    stream = spark.readStream.schema("g int, o int, k string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = lookup.lru_stream(stream, "g", "k", "o", 3).writeStream.format("memory").queryName("recent").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(tuple(r) for r in spark.sql("select g, o, k, hit from recent").collect()) == sorted(plain_lru(rows, 3))
+
+
+def test_lookup_batch(spark, tmp_path):
+    index = matching.build_index(spark.createDataFrame([("never", 1)], "word string, count long"), 1)
+    spark.createDataFrame([("neer",), ("neer",), ("zzz",)], "query string").write.parquet(str(tmp_path / "in"))
+    got = []
+    q = spark.readStream.schema("query string").parquet(str(tmp_path / "in")).writeStream.foreachBatch(lookup.lookup_batch(index, lambda hits, i: got.extend((r.query, r.word, i) for r in hits.collect()), 1)).start()
+    q.processAllAvailable()
+    q.stop()
+    assert got == [("neer", "never", 0)]
+
+
+def test_next_geq_dense(spark):
+    """Repeated and dense values, in few and in many ranges."""
+    rng = random.Random(2)
+    values, probes = [rng.choice([5, 6, 7, 10**12, rng.randrange(3000)]) for _ in range(800)], [rng.randrange(-5, 3100) for _ in range(300)] + [10**12, 10**12 + 1]
+    s = sequences.build(spark.createDataFrame([(v,) for v in values], "v long"), "v", "v")
+    x = spark.createDataFrame([(v,) for v in probes], "x long")
+    for parts in (1, 9, None):
+        assert {r.x: r.value for r in sequences.next_geq(s, x, parts).collect()} == {p: min((v for v in values if v >= p), default=None) for p in probes}
+
+
+@pytest.mark.parametrize("n", [62, 63, 500])
+def test_long_words(spark, n):
+    """Words beyond any mask of bits are found by themselves and with an edit, and joined."""
+    rng = random.Random(n)
+    word = "".join(rng.choice("abcdefgh") for _ in range(n))
+    near, swapped = word[: n // 2] + "x" + word[n // 2 + 1 :], "yz" + word
+    d = spark.createDataFrame([(word, 3), ("other", 9)], "word string, count long")
+    q = spark.createDataFrame([(word,), (near,), (word[:-1],)], "query string")
+    got = {(r.query, r.word, r.edit_distance, r.delete_distance) for r in matching.lookup_top(q, matching.build_index(d, 1), 1).collect()}
+    assert got == {(word, word, 0, 0), (near, word, 1, 1), (word[:-1], word, 1, 0)}
+    pairs = matching.fuzzy_join(d, spark.createDataFrame([(near,), (swapped,)], "w string"), "word", "w", 1).collect()
+    assert [tuple(r) for r in pairs] == [(word, near, 1)]
+    if n < 100:
+        df = spark.createDataFrame([(word,)], "word string")
+        v = df.select(F.explode(X.delete_variants("word", 2)).alias("v")).select("v.*").collect()
+        by_code = [r.edit for r in sorted(v, key=lambda r: (r.d, r.code))]
+        by_mask = [c for *_, c in sorted((len(p), sum(1 << (n - 1 - i) for i in p), "".join(c for i, c in enumerate(word) if i not in p)) for k in range(3) for p in itertools.combinations(range(n), k) if p != (0, 1))]
+        assert by_code == by_mask
+
+
+def test_too_long_for_code(spark):
+    with pytest.raises(Exception, match="too long for its code"):
+        spark.createDataFrame([("a" * 1100,)], "w string").select(F.size(X.delete_variants("w", 6))).collect()
+
+
+def test_join_names(spark):
+    """Columns with any name, nulls, empty texts, repeated rows, and a metric of the caller's."""
+    left = spark.createDataFrame([("abc",), ("abc",), (None,), ("",)], "l string")
+    right = spark.createDataFrame([("abd",), ("a",), (None,)], "`r` string")
+    assert sorted(tuple(r) for r in matching.fuzzy_join(left, right, "l", "r", 1).collect()) == [("", "a", 1), ("abc", "abd", 1)]
+    assert matching.fuzzy_join(left, left, "l", "l", 1).columns == ["l", "l_r", "distance"]
+    own = matching.fuzzy_join(left, right, "l", "r", 2, lambda a, b: F.levenshtein(a, b) * 2)
+    assert sorted(tuple(r) for r in own.collect()) == [("", "a", 2), ("abc", "abd", 2)]
+
+
+def test_osa_expression(spark):
+    rng = random.Random(7)
+    rows = [("".join(rng.choice("abc") for _ in range(rng.randrange(7))), "".join(rng.choice("abc") for _ in range(rng.randrange(7)))) for _ in range(400)] + [("bobby", "obbby"), ("ca", "abc"), ("unexpectable", "lovely"), ("", ""), (None, "a")]
+    for r in spark.createDataFrame(rows, "a string, b string").select("a", "b", X.osa("a", "b").alias("d"), X.osa_within("a", "b", 2).alias("w")).collect():
+        d = None if r.a is None else X.osa_distance(r.a, r.b)
+        assert r.d == d and r.w == (d if d is None or d <= 2 else -1)
+
+
+def test_stored_index(spark, tmp_path):
+    d = spark.createDataFrame([("never", 2), ("let", 1)], "word string, count long")
+    matching.store_index(matching.build_index(d, 1), "stored_words", 4, str(tmp_path / "i"))
+    index = matching.load_index(spark, "stored_words")
+    q = spark.createDataFrame([("neer",)], "query string")
+    assert [r.word for r in matching.lookup_top(q, index, 1).collect()] == ["never"]
+    d.write.mode("overwrite").option("path", str(tmp_path / "n")).saveAsTable("no_index")
+    with pytest.raises(tables.InvalidTypeInfo):
+        matching.load_index(spark, "no_index")
+    spark.sql("drop table stored_words")
+    spark.sql("drop table no_index")
+
+
+def test_work_tables(spark, tmp_path):
+    import os
+
+    with tables.scratch(spark):
+        path = tables.work_path(spark, "x")
+        spark.range(3).write.parquet(path)
+        assert os.path.isdir(path.removeprefix("file:").replace("//", "/"))
+    assert not os.path.isdir(path.removeprefix("file:").replace("//", "/"))
 
 
 def test_typed_tables(spark, tmp_path):

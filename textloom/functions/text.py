@@ -2,53 +2,63 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: How variants are freed of repetitions: not at all, or within each number of deletions. Approximate filters would lose variants or keep some twice; here they are exact too.
+#: How variants are freed of repetitions within each number of deletions: not at all, exactly, by a Bloom filter (which loses a few), or by the variants met last (which keeps a few twice).
 DEDUPS = ("none", "hash", "bloom", "lru")
-#: The longest word whose deletions fit the mask of 62 bits.
-LONGEST = 62
+#: Bits of a variant's code.
+CODE_BITS = 60
 
 
 def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def one_less(n: Column, depth: int) -> Callable[[Column], Column]:
-    """From a variant with `depth` deletions to all with one more, behind its last; positions count in the whole word of n characters."""
+def place_bits(k: int) -> int:
+    """Bits for each deleted position in a code of at most k of them."""
+    return CODE_BITS // max(k, 1)
+
+
+def one_less(n: Column, depth: int, bits: int) -> Callable[[Column], Column]:
+    """From a variant with `depth` deletions to all with one more, behind its last; positions count from 1 in the whole word of n characters."""
+    top = 1 << bits
 
     def cut(e: Column, p: Column) -> Column:
         return F.concat(F.substr(e["edit"], F.lit(1), p - 1 - depth), F.substr(e["edit"], p + 1 - depth))
 
     def without(e: Column) -> Column:
         places = F.when(e["last"] < n, F.sequence(e["last"] + 1, n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda p: F.struct(cut(e, p).alias("edit"), p.alias("last"), F.lit(depth + 1).alias("d"), (e["mask"] + F.pow(F.lit(2.0), n - p).cast("long")).alias("mask")))
+        return F.transform(places, lambda p: F.struct(cut(e, p).alias("edit"), p.alias("last"), F.lit(depth + 1).alias("d"), (e["code"] * top + (top - 1 - p)).alias("code")))
 
     return without
 
 
 def delete_variants(word: Column | str, k: int, complete: bool = False) -> Column:
-    """array<struct<edit, d, mask>>: the word without each set P of at most k positions, never empty. d is the size of P and mask has bit n-1-p for each p in P, so that (d, mask) is
-    the order of generation. Without `complete` the set of the first k positions is left out, as it always has been: the segmentation of known samples depends on it. One string can come by
-    several sets. Null and words beyond LONGEST characters give an empty array."""
+    """array<struct<edit, d, code>>: the word without each set P of at most k positions, never empty. d is the size of P, and code holds P's positions in ascending order, each
+    as what it lacks to the largest, so that (d, code) is the order of generation: deletions at the end come first. Without `complete` the set of the first k positions is left out, as it always
+    has been: the segmentation of known samples depends on it. One string can come by several sets. Null gives an empty array. The length of words is bounded by the code alone: over
+    a million characters for k up to 3, 32,766 for 4, 4,094 for 5; a longer word raises an error."""
     w = col(word)
     n = F.char_length(w)
-    layer = F.array(F.struct(w.alias("edit"), F.lit(0).alias("last"), F.lit(0).alias("d"), F.lit(0).cast("long").alias("mask")))
+    bits = place_bits(k)
+    layer = F.array(F.struct(w.alias("edit"), F.lit(0).alias("last"), F.lit(0).alias("d"), F.lit(0).cast("long").alias("code")))
     layers = [layer]
     for depth in range(k):
-        layer = F.flatten(F.transform(layer, one_less(n, depth)))
+        layer = F.flatten(F.transform(layer, one_less(n, depth, bits)))
         layers.append(layer)
     every = reduce(lambda a, b: F.concat(a, b), layers)
-    first = (F.pow(F.lit(2.0), n) - F.pow(F.lit(2.0), n - k)).cast("long")
-    kept = F.filter(every, lambda e: (e["edit"] != "") & (F.lit(complete) | (e["d"] != k) | (e["mask"] != first)))
-    out = F.transform(kept, lambda e: F.struct(e["edit"].alias("edit"), e["d"].alias("d"), e["mask"].alias("mask")))
-    return F.when((n > 0) & (n <= LONGEST), out).otherwise(F.array().cast("array<struct<edit:string,d:int,mask:bigint>>"))
+    first = reduce(lambda code, p: (code << bits) + (1 << bits) - 1 - p, range(1, k + 1), 0)
+    kept = F.filter(every, lambda e: (e["edit"] != "") & (F.lit(complete) | (e["d"] != k) | (e["code"] != first)))
+    out = F.transform(kept, lambda e: F.struct(e["edit"].alias("edit"), e["d"].alias("d"), e["code"].alias("code")))
+    if bits < 31:
+        out = F.when(n < (1 << bits) - 1, out).otherwise(F.raise_error(F.concat(F.lit("too long for its code: "), F.substr(w, F.lit(1), F.lit(40)))))
+    return F.when(n > 0, out).otherwise(F.array().cast("array<struct<edit:string,d:int,code:bigint>>"))
 
 
 def delete_edits(word: Column | str, k: int, complete: bool = False) -> Column:
@@ -56,12 +66,49 @@ def delete_edits(word: Column | str, k: int, complete: bool = False) -> Column:
     return F.array_distinct(F.transform(delete_variants(word, k, complete), lambda e: e["edit"]))
 
 
-def layered_edits(word: Column | str, k: int, dedup: str = "hash") -> Column:
-    """array<struct<d, edit>>: the strings of delete_variants by number of deletions."""
-    pairs = F.transform(delete_variants(word, k), lambda e: F.struct(e["d"].alias("d"), e["edit"].alias("edit")))
+def without_recent(items: Column, capacity: int) -> Column:
+    """An array of strings without those that are among the `capacity` distinct ones met last; meeting one again makes it the last."""
+    start = F.struct(F.array().cast("array<string>").alias("recent"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        recent = F.slice(F.concat(F.array(x), F.filter(s["recent"], lambda y: y != x)), 1, capacity)
+        return F.struct(recent.alias("recent"), F.when(F.array_contains(s["recent"], x), s["out"]).otherwise(F.concat(s["out"], F.array(x))).alias("out"))
+
+    return F.aggregate(items, start, step, lambda s: s["out"])
+
+
+def without_bloom(items: Column, p: float, least_bits: int = 256, most_hashes: int = 6) -> Column:
+    """An array of strings without those that a Bloom filter of the ones before takes for known: all repetitions, and others at a rate of about p."""
+    n = F.greatest(F.size(items), F.lit(1)).cast("double")
+    bits = F.greatest(F.floor(-n * math.log(p) / math.log(2) ** 2), F.lit(least_bits)).cast("long")
+    hashes = min(most_hashes, max(1, math.floor(-math.log(p) / math.log(2))))
+    # what a step needs is carried along, as everything else in a step would be computed anew for each item
+    start = F.struct(bits.alias("bits"), F.array().cast("array<bigint>").alias("set"), F.array().cast("array<bigint>").alias("new"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        known = F.concat(s["set"], s["new"])  # with those of the item before
+        new = F.array_except(F.array(*[F.pmod(F.xxhash64(F.lit(h), x), s["bits"]) for h in range(hashes)]), known)
+        return F.struct(s["bits"].alias("bits"), known.alias("set"), new.alias("new"), F.concat(s["out"], F.array(x)).alias("out"))
+
+    def let(s: Column, x: Column) -> Column:
+        t = step(s, x)
+        return F.when(F.size(t["new"]) == 0, F.struct(t["bits"].alias("bits"), t["set"].alias("set"), t["new"].alias("new"), s["out"].alias("out"))).otherwise(t)
+
+    return F.aggregate(items, start, let, lambda s: s["out"])
+
+
+def layered_edits(word: Column | str, k: int, dedup: str = "hash", capacity: int = 32, p: float = 0.01) -> Column:
+    """array<struct<d, edit>>: the strings of delete_variants by number of deletions, in the order of generation; repetitions within a number go as `dedup` says (capacity for lru, p for bloom)."""
     if dedup not in DEDUPS:
         raise ValueError(f"{dedup}: not one of {DEDUPS}")
-    return pairs if dedup == "none" else F.array_distinct(pairs)
+    variants = delete_variants(word, k)
+    clean = {"none": lambda a: a, "hash": F.array_distinct, "bloom": lambda a: without_bloom(a, p), "lru": lambda a: without_recent(a, capacity)}[dedup]
+
+    def layer(d: int) -> Column:
+        own = F.array_sort(F.filter(variants, lambda e: e["d"] == d), lambda a, b: F.when(a["code"] < b["code"], -1).when(a["code"] > b["code"], 1).otherwise(0))
+        return F.transform(clean(F.transform(own, lambda e: e["edit"])), lambda e: F.struct(F.lit(d).alias("d"), e.alias("edit")))
+
+    return F.concat(*[layer(d) for d in range(k + 1)])
 
 
 def next_permutation(items: Column | str) -> Column:
@@ -143,9 +190,35 @@ def osa_distance(a: str, b: str) -> int:
     return row[-1]
 
 
-@F.pandas_udf(T.IntegerType())
-def osa(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else osa_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+def characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def osa(a: Column | str, b: Column | str) -> Column:
+    """osa_distance as an expression: a row of the table of distances for each character of a, from the two rows before."""
+    y = characters(col(b))
+    zero = F.sequence(F.lit(0), F.size(y))
+    # b's characters are carried along: a step would split b anew
+    start = F.struct(y.alias("y"), zero.alias("before"), zero.alias("above"), F.lit("").alias("last"), F.lit(0).alias("i"))
+
+    def next_row(s: Column, c: Column) -> Column:
+        def cell(row: Column, own: Column, j: Column) -> Column:
+            """j: place of b's character from 0; row has the cells up to it."""
+            best = F.least(F.get(s["above"], j + 1) + 1, F.element_at(row, -1) + 1, F.get(s["above"], j) + (own != c).cast("int"))
+            swap = (s["i"] > 0) & (j > 0) & (F.get(s["y"], j - 1) == c) & (s["last"] == own)
+            return F.concat(row, F.array(F.when(swap, F.least(best, F.get(s["before"], j - 1) + 1)).otherwise(best)))
+
+        row = F.aggregate(s["y"], F.array(s["i"] + 1), lambda r, own: cell(r, own, F.size(r) - 1))
+        return F.struct(s["y"].alias("y"), s["above"].alias("before"), row.alias("above"), c.alias("last"), (s["i"] + 1).alias("i"))
+
+    return F.when(col(a).isNotNull() & col(b).isNotNull(), F.aggregate(characters(col(a)), start, next_row, lambda s: F.element_at(s["above"], -1)))
+
+
+def osa_within(a: Column | str, b: Column | str, k: int) -> Column:
+    """osa up to k, else -1. It is at most the Levenshtein distance and at least half of it, so only pairs between need the table."""
+    lev = F.levenshtein(col(a), col(b), 2 * k)
+    exact = F.when(lev < 2, lev).when(lev >= 2, osa(a, b))
+    return F.when(exact <= k, exact).when(exact.isNotNull(), F.lit(-1))
 
 
 def starts_with_any(text: Column | str, marks: list[str]) -> Column:

@@ -9,8 +9,8 @@ from pyspark.sql import window as W
 from .tables import numbered, running
 
 
-class OutOfBounds(ValueError):
-    pass
+#: In the message of the error that a place outside of the vector raises.
+OUT_OF_BOUNDS = "OutOfBounds"
 
 
 def vector(df: DataFrame, bit: Column, *order: str) -> DataFrame:
@@ -29,27 +29,59 @@ def select(bits: DataFrame, one: int = 1) -> DataFrame:
     return rank(bits, one).join(bits.where(F.col("bit") == one).select((F.col("pos") + 1).alias("i")), "i").select(F.col("rank").alias("i"), (F.col("i") - 1).alias("pos"))
 
 
-def next_bit(bits: DataFrame, starts: DataFrame, one: int = 1, block: int = 1 << 16) -> DataFrame:
+def checked(found: DataFrame, asked: str, value: str) -> DataFrame:
+    """found, but a row without a value raises an error."""
+    miss = F.raise_error(F.concat(F.lit(f"{OUT_OF_BOUNDS}: "), F.col(asked).cast("string")))
+    return found.withColumn(value, F.when(F.col(value).isNotNull(), F.col(value)).otherwise(miss))
+
+
+def rank_at(bits: DataFrame, asked: DataFrame, one: int = 1, strict: bool = True) -> DataFrame:
+    """asked: i -> i, rank; an i outside of 1 to the length raises an error, or without strict gives null."""
+    found = asked.select(F.col("i").cast("long").alias("i")).join(rank(bits, one), "i", "left").select("i", "rank")
+    return checked(found, "i", "rank") if strict else found
+
+
+def select_at(bits: DataFrame, asked: DataFrame, one: int = 1, strict: bool = True) -> DataFrame:
+    """asked: i -> i, pos; an i outside of 1 to the number of such bits raises an error, or without strict gives null."""
+    found = asked.select(F.col("i").cast("long").alias("i")).join(select(bits, one), "i", "left").select("i", "pos")
+    return checked(found, "i", "pos") if strict else found
+
+
+def filled(bits: DataFrame, one: int) -> DataFrame:
+    """All bits set, or cleared."""
+    return bits.select("pos", F.lit(one).alias("bit"))
+
+
+def next_bit(bits: DataFrame, starts: DataFrame, one: int = 1) -> DataFrame:
     """starts: start -> start, pos: the first position at or behind start with that bit, or null."""
     from .sequences import next_geq
 
-    found = next_geq(bits.where(F.col("bit") == one).select(F.col("pos").alias("value")), starts.select(F.col("start").cast("long").alias("x")), block)
+    found = next_geq(bits.where(F.col("bit") == one).select(F.col("pos").alias("value")), starts.select(F.col("start").cast("long").alias("x")))
     return found.select(F.col("x").alias("start"), F.col("value").alias("pos"))
 
 
 def bit_text(value: Column | str, width: Column | int) -> Column:
-    """The low `width` bits of a number."""
-    v = F.col(value) if isinstance(value, str) else value
-    return F.lpad(F.bin(v), width, "0") if isinstance(width, int) else F.call_function("lpad", F.bin(v), width, F.lit("0"))
+    """The low `width` bits of a number, up to 64; none for width 0."""
+    v = (F.col(value) if isinstance(value, str) else value).cast("long")
+    w = F.lit(width) if isinstance(width, int) else width
+    return F.right(F.lpad(F.bin(v), 64, "0"), w)
 
 
-def pack(df: DataFrame, order: str, value: str, width: str, by: list[str] | None = None) -> DataFrame:
+def pack(df: DataFrame, order: str, value: str, width: str | int, by: list[str] | None = None) -> DataFrame:
     """Numbers appended to one text of bits a group, in order; a group is a row of its result and must fit one."""
     keys = by or []
-    grouped = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), bit_text(value, F.col(width)).alias("b")))).alias("l"))
+    bits = bit_text(value, width if isinstance(width, int) else F.col(width))
+    grouped = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), bits.alias("b")))).alias("l"))
     return grouped.select(*keys, F.array_join(F.transform("l", lambda x: x["b"]), "").alias("bits"))
 
 
+def with_range(bits: Column | str, at: Column | int, value: Column | str, width: Column | int) -> Column:
+    """A text of bits with the low `width` bits of value in place of those from position `at` (from 0); null if they pass its end."""
+    b = F.col(bits) if isinstance(bits, str) else bits
+    a, w = (F.lit(x) if isinstance(x, int) else x for x in (at, width))
+    return F.when((a >= 0) & (a + w <= F.char_length(b)), F.concat(F.substr(b, F.lit(1), a), bit_text(value, w), F.substr(b, a + w + 1)))
+
+
 def unpack(bits: Column | str, at: Column | int, width: Column | int) -> Column:
     """The number of `width` bits at position `at` (from 0); null beyond the end."""
     b = F.col(bits) if isinstance(bits, str) else bits

@@ -34,7 +34,7 @@ def stats(dictionary: DataFrame, k: int = 2) -> DataFrame:
 def misspelled(words: DataFrame) -> DataFrame:
     """(query, truth): by length of the word a letter in its middle is dropped, doubled, swapped with the next, or replaced by x."""
     n = F.char_length("word")
-    p = F.floor(n / 2).cast("int")
+    p = F.greatest(F.floor(n / 2).cast("int"), F.lit(1))
     left, here, after, rest = F.substr("word", F.lit(1), p - 1), F.substr("word", p, F.lit(1)), F.substr("word", p + 1, F.lit(1)), F.substr("word", p + 2)
     query = F.when(n % 4 == 0, F.concat(left, after, rest)).when(n % 4 == 1, F.concat(left, here, here, after, rest)).when(n % 4 == 2, F.concat(left, after, here, rest)).otherwise(F.concat(left, F.lit("x"), after, rest))
     return words.select(query.alias("query"), F.col("word").alias("truth"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from .tables import materialised
+
 
 def bloom_bits(n: int, p: float) -> int:
     return max(1, math.floor(-n * math.log(p) / math.log(2) ** 2))
@@ -42,21 +44,46 @@ def bloom_contains(filter_: DataFrame, probes: DataFrame, key: str, n: int, p: f
     return met.select(key, (F.col("found") == F.col("wanted")).alias("maybe"))
 
 
+def recent_hits(keys: list, recent: dict, capacity: int) -> list[bool]:
+    """Whether each key is among the `capacity` used last; recent holds them in order of use and is carried on."""
+    hits = []
+    for k in keys:
+        hits.append(k in recent)
+        recent.pop(k, None)
+        recent[k] = None
+        if len(recent) > capacity:
+            recent.pop(next(iter(recent)))
+    return hits
+
+
 def lru_hits(events: DataFrame, by: str, order: str, key: str, capacity: int) -> DataFrame:
-    """by, order, key, hit: whether the key is among the `capacity` keys used last in its group. A use misses if `capacity` other keys were used since: the array of recent keys is carried along in order.
-    events of one group are one sequence by nature; groups run in parallel."""
+    """by, order, key, hit: whether the key is among the `capacity` keys used last in its group; equal `order` is taken by key.
+
+    Events are put in ranges of (by, order), so that a hot group is dealt out too. All that a range needs of those before are the last `capacity` keys of the group that it begins in the
+    middle of, of which each range before gives at most `capacity`."""
     import pandas as pd
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        recent: dict = {}
-        hits = []
-        for k in pdf[key]:
-            hits.append(k in recent)
-            recent.pop(k, None)
-            recent[k] = None
-            if len(recent) > capacity:
-                recent.pop(next(iter(recent)))
-        return pdf.assign(hit=hits)
-
-    schema = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in (by, order, key)) + ", hit boolean"
-    return events.select(by, order, key).groupBy(by).applyInPandas(lambda pdf: run(pdf.sort_values(order)), schema)
+    rows = events.select(F.col(by).alias("g"), F.col(order).alias("o"), F.col(key).alias("k"))
+    ranged = materialised(rows.repartitionByRange("g", "o").withColumn("r", F.spark_partition_id()), "ranges")
+    bounds = ranged.groupBy("r").agg(F.min("g").alias("first"), F.max("g").alias("last"), F.count_if(F.col("g").isNull()).alias("nulls"))
+    # null groups sort first: a range that holds some begins with them
+    bounds = bounds.select("r", F.when(F.col("nulls") > 0, F.lit(None)).otherwise(F.col("first")).alias("first"), "last")
+    uses = ranged.groupBy("r", "g", "k").agg(F.max("o").alias("o"))
+    tails = uses.join(F.broadcast(bounds), "r").where(F.col("g").eqNullSafe(F.col("last")))
+    newest = W.Window.partitionBy("r").orderBy(F.desc("o"), F.desc("k"))
+    tails = tails.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= capacity).select("r", "g", "k", "o")
+    starts = bounds.select(F.col("r").alias("to"), "first")
+    carried = tails.join(F.broadcast(starts), (F.col("r") < F.col("to")) & F.col("g").eqNullSafe(F.col("first"))).select("to", F.col("k").alias("kb"), F.col("o").alias("ob"))
+
+    def run(now: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        now = now.sort_values(["g", "o", "k"], na_position="first", kind="stable")
+        before = before.sort_values(["ob", "kb"], na_position="first", kind="stable").drop_duplicates("kb", keep="last")
+        recent, hits = dict.fromkeys(before["kb"].tolist()[-capacity:]), []
+        for _, group in now.groupby("g", sort=False, dropna=False):
+            hits += recent_hits(group["k"].tolist(), recent, capacity)
+            recent = {}
+        return now[["g", "o", "k"]].assign(hit=hits)
+
+    schema = ", ".join(f"{n} {events.schema[c].dataType.simpleString()}" for n, c in (("g", by), ("o", order), ("k", key))) + ", hit boolean"
+    done = ranged.groupBy("r").cogroup(carried.groupBy("to")).applyInPandas(run, schema)
+    return done.select(F.col("g").alias(by), F.col("o").alias(order), F.col("k").alias(key), "hit")

@@ -15,24 +15,41 @@ class Collision(ValueError):
     """A key comes twice."""
 
 
+class BucketOverflow(ValueError):
+    """A bucket holds too many keys."""
+
+
 @dataclass
 class Config:
-    """Sizes of a table for n keys."""
+    """Sizes of a table for n keys. minimal: slots are 0..n-1, as they are here at any rate; cache_size has no effect on results."""
 
     n: int
     lam: float = 6.0
     alpha: float = 0.97
+    minimal: bool = False
+    num_buckets: int | None = None
+    cache_size: int = 4096
     max_bucket: int = 1024
 
     @property
     def buckets(self) -> int:
-        return max(1, math.ceil(self.n / self.lam))
+        return int(self.n / self.lam) if self.num_buckets is None else self.num_buckets
 
     @property
     def table_size(self) -> int:
         size = math.ceil(self.n / self.alpha + 1)
         return size + (size & (size - 1) == 0)
 
+    @property
+    def size(self) -> int:
+        """Numbers that a key can get."""
+        return self.n if self.minimal else self.table_size
+
+    @property
+    def eps(self) -> float:
+        """The even share that the optimal mapper is mixed with."""
+        return max(0.0, min(1.0, self.max_bucket / (5.0 * math.sqrt(self.n)))) if self.n else 1.0
+
 
 def collisions(keys: DataFrame, key: str = "key") -> DataFrame:
     """(key, times) of the keys that come more than once."""
@@ -69,3 +86,13 @@ def optimal_bucket(u: Column, buckets: int, eps: float = 0.0) -> Column:
 def unit_hash(key: Column, seed: int = 0) -> Column:
     """A number in [0, 1) from the upper 53 bits of a seeded 64-bit hash."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11) / float(1 << 53)
+
+
+def bucketed(keys: DataFrame, config: Config, mapper: str = "optimal", key: str = "key", seed: int = 0) -> DataFrame:
+    """(key, bucket) by hash and mapper (optimal or skewed); raises BucketOverflow if one bucket would hold max_bucket keys or more."""
+    u, n = unit_hash(F.col(key), seed), max(config.buckets, 1)
+    out = keys.select(key, (optimal_bucket(u, n, config.eps) if mapper == "optimal" else skewed_bucket(u, n)).alias("bucket"))
+    over = out.groupBy("bucket").agg(F.count("*").alias("held")).where(F.col("held") >= config.max_bucket).limit(1).collect()
+    if over:
+        raise BucketOverflow(f"bucket {over[0]['bucket']}: {over[0]['held']} keys")
+    return out

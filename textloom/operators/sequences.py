@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .tables import numbered, running
+from .tables import materialised, numbered, running
 
 
 def build(df: DataFrame, value: str, *order: str) -> DataFrame:
@@ -35,18 +35,18 @@ def prefix_sum(seq: DataFrame) -> DataFrame:
     return running(seq, "ord", "value", "total").select("ord", "total")
 
 
-def next_geq(seq: DataFrame, probes: DataFrame, width: int = 1 << 16) -> DataFrame:
-    """probes: x -> x, value: the smallest value >= x, or null. Values and probes fall into ranges of `width`; a probe looks in its own range, and beyond it takes the least value of the next range that has any, of which there is one row."""
-    r = lambda c: F.floor(F.col(c) / width).cast("long")
-    both = seq.select(F.col("value").alias("at"), F.col("value").alias("v"), F.lit(None).cast("long").alias("x"), F.lit(1).alias("side")).unionByName(
-        probes.distinct().select(F.col("x").alias("at"), F.lit(None).cast("long").alias("v"), F.col("x"), F.lit(0).alias("side"))
-    ).withColumn("r", r("at"))
+def next_geq(seq: DataFrame, probes: DataFrame, parts: int | None = None) -> DataFrame:
+    """probes: x -> x, value: the smallest value >= x, or null. Distinct values and probes are put in ranges of about equal numbers of rows, `parts` of them (by default as many as shuffles
+    have), however dense the values lie. A probe looks in its own range, and beyond it takes the least value of the next range that has any: one row a range."""
+    both = seq.select(F.col("value").alias("at")).distinct().withColumn("v", F.col("at")).unionByName(probes.select(F.col("x").alias("at")).distinct().withColumn("v", F.lit(None).cast("long")))
+    ranged = both.repartitionByRange(parts, "at") if parts else both.repartitionByRange("at")
+    ranged = materialised(ranged.withColumn("r", F.spark_partition_id()), "ranges")
     # from the largest down, values ahead of equal probes: a frame that only grows costs one step a row, one that only shrinks is summed anew for each
-    inside = W.Window.partitionBy("r").orderBy(F.desc("at"), F.desc("side")).rowsBetween(W.Window.unboundedPreceding, 0)
-    near = both.withColumn("own", F.last("v", ignorenulls=True).over(inside)).where("side = 0")
-    least = both.groupBy("r").agg(F.min("v").alias("least"))
+    inside = W.Window.partitionBy("r").orderBy(F.desc("at"), F.col("v").isNull()).rowsBetween(W.Window.unboundedPreceding, 0)
+    near = ranged.withColumn("own", F.last("v", ignorenulls=True).over(inside)).where("v is null")
+    least = ranged.groupBy("r").agg(F.min("v").alias("least"))
     beyond = least.select("r", F.min("least").over(W.Window.orderBy(F.desc("r")).rowsBetween(W.Window.unboundedPreceding, -1)).alias("beyond"))
-    return near.join(beyond, "r").select("x", F.coalesce("own", "beyond").alias("value"))
+    return near.join(F.broadcast(beyond), "r").select(F.col("at").alias("x"), F.coalesce("own", "beyond").alias("value"))
 
 
 def encoded_bits(n: int, universe: int) -> int:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,17 +22,56 @@ class InvalidTypeInfo(ValueError):
     """The table's schema isn't the expected one."""
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder of spark.checkpoint.dir; a temporary folder only where that is unset."""
+#: Paths handed out since the innermost `scratch` began.
+_made: list[list[str]] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir. On a cluster it must be set: no folder of this machine would do. Only a local session, which has no other machine,
+    gets a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, below one for this application."""
+    path = f"{shared_dir(spark)}/textloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all work tables of this application; what still refers to them can't be computed any more."""
+    remove(spark, f"{shared_dir(spark)}/textloom-{spark.sparkContext.applicationId}")
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the work tables that came within it: results must have been written elsewhere, or with a path from outside."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            remove(spark, path)
 
 
-def materialised(df: DataFrame, name: str = "table") -> DataFrame:
-    path = work_path(df.sparkSession, name)
+def materialised(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
+    """df, written to the shared folder and read again: cuts lineage and survives lost executors. The table stays until `clear`, or the end of a `scratch` around it."""
+    path = path or work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

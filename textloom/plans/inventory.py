@@ -9,7 +9,7 @@ from textloom.functions import text as X
 from textloom.operators import arith, bits, dictionary, filters, hashing, matching, segment, sequences, tables
 from textloom.sources import text as sources
 
-from .registry import BITS, CORPUS, DICT, MISSPELL, SEQ, corpus, index_sql, load, queries_of, query, seq, variants_sql, vector, words
+from .registry import BITS, CORPUS, DICT, FULL_DICT, MISSPELL, SEQ, all_words, corpus, index_sql, join_sql, load, queries_of, query, seq, variants_sql, vector, words
 
 # sources, sinks, dictionary
 @query("SELECT word, count, row_number() OVER (ORDER BY word) - 1 AS word_id FROM (SELECT p_type AS word, sum(p_size)::BIGINT AS count FROM part GROUP BY p_type)")
@@ -64,10 +64,10 @@ def schema_print(spark, sf_dir):
 
 
 # edits
-@query(f"WITH {DICT} SELECT DISTINCT w AS word, edit FROM {variants_sql('dict', 'word', 2, True)}")
+@query(f"WITH {FULL_DICT} SELECT DISTINCT w AS word, edit FROM {variants_sql('dict', 'word', 2, True)}")
 def edits_explode(spark, sf_dir):
     """All deletions, the first positions' too."""
-    return words(spark, sf_dir).select("word", F.explode(X.delete_edits("word", 2, True)).alias("edit"))
+    return all_words(spark, sf_dir).select("word", F.explode(X.delete_edits("word", 2, True)).alias("edit"))
 
 
 PERMUTED = "[a || b || c, a || c || b, b || a || c, b || c || a, c || a || b, c || b || a]"
@@ -96,14 +96,27 @@ def dedup_hash(spark, sf_dir):
     return layered(spark, sf_dir, "hash")
 
 
-@query(LAYERED.format("DISTINCT edit"))
+FEW_LOST = "true AS within, true AS few_lost"
+
+
+@query(f"WITH {DICT}, v AS (SELECT DISTINCT w, d, edit FROM {variants_sql('dict', 'word', 2)}) SELECT count(*)::BIGINT AS variants, true AS distinct_all, {FEW_LOST} FROM v")
 def dedup_bloom(spark, sf_dir):
-    return layered(spark, sf_dir, "bloom")
+    """What the filter lets through comes once and is among the variants; of these it loses at most 2 in 100."""
+    d = words(spark, sf_dir)
+    all_, let = (d.select("word", F.explode(X.layered_edits("word", 2, how)).alias("v")).select("word", "v.*") for how in ("hash", "bloom"))
+    seen = let.groupBy("word", "d", "edit").agg(F.count("*").alias("times"))
+    both = all_.withColumn("known", F.lit(True)).join(seen, ["word", "d", "edit"], "full")
+    return both.agg(F.count_if("known").alias("variants"), F.every(F.coalesce("times", F.lit(1)) == 1).alias("distinct_all"), F.every(F.col("known").isNotNull()).alias("within"), (F.count_if(F.col("times").isNull()) <= 0.02 * F.count("*")).alias("few_lost"))
 
 
-@query(LAYERED.format("DISTINCT edit"))
+@query(
+    f"WITH {DICT}, v AS (SELECT *, row_number() OVER (PARTITION BY w, d ORDER BY mask) AS place FROM {variants_sql('dict', 'word', 2)}), p AS (SELECT *, max(place) OVER (PARTITION BY w, d, edit ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM v), "
+    "again AS (SELECT p.w, p.d, p.place FROM p JOIN v x ON x.w = p.w AND x.d = p.d AND x.place > p.last AND x.place < p.place GROUP BY p.w, p.d, p.place HAVING count(DISTINCT x.edit) >= 4) "
+    "SELECT p.w AS word, p.d::INT AS d, count(*)::BIGINT AS edits FROM p LEFT JOIN again USING (w, d, place) WHERE p.last IS NULL OR again.w IS NOT NULL GROUP BY p.w, p.d"
+)
 def dedup_lru(spark, sf_dir):
-    return layered(spark, sf_dir, "lru")
+    """The filter remembers 4 variants; those that come again behind 4 others come twice."""
+    return words(spark, sf_dir).select("word", F.explode(X.layered_edits("word", 2, "lru", 4)).alias("v")).groupBy("word", F.col("v.d").alias("d")).agg(F.count("*").alias("edits"))
 
 
 INDEX = f"WITH {DICT}, {index_sql(1)} SELECT edit, word, count FROM idx"
@@ -114,13 +127,18 @@ def index_build(spark, sf_dir):
     return matching.build_index(words(spark, sf_dir), 1).select("edit", "word", "count")
 
 
-@query(INDEX)
+@query(f"WITH {DICT}, {index_sql(2)} SELECT count(*)::BIGINT AS postings, {FEW_LOST} FROM idx")
 def index_build_bloom(spark, sf_dir):
-    return matching.build_index(words(spark, sf_dir), 1, dedup="bloom").select("edit", "word", "count")
+    """No posting that the whole index hasn't; of its postings at most 2 in 100 are lost."""
+    d = words(spark, sf_dir)
+    whole, let = matching.build_index(d, 2), matching.build_index(d, 2, dedup="bloom")
+    both = whole.withColumn("known", F.lit(True)).join(let.withColumn("kept", F.lit(True)), ["edit", "word"], "full")
+    return both.agg(F.count_if("known").alias("postings"), F.every(F.col("known").isNotNull()).alias("within"), (F.count_if(F.col("kept").isNull()) <= 0.02 * F.count("*")).alias("few_lost"))
 
 
 @query(INDEX)
 def index_build_lru(spark, sf_dir):
+    """Variants that the filter lets through twice are one posting."""
     return matching.build_index(words(spark, sf_dir), 1, dedup="lru").select("edit", "word", "count")
 
 
@@ -141,24 +159,10 @@ def filter_len(spark, sf_dir):
     return dictionary.misspelled(words(spark, sf_dir)).where(F.abs(F.char_length("query") - F.char_length("truth")) < 1)
 
 
-@query(f"WITH {DICT}, f AS (SELECT word FROM dict WHERE count >= 200) SELECT a.word AS word, b.word AS word_r, damerau_levenshtein(a.word, b.word)::INT AS distance FROM f a JOIN f b ON abs(length(a.word) - length(b.word)) <= 1 AND damerau_levenshtein(a.word, b.word) <= 1")
+@query(join_sql(1, "damerau_levenshtein"))
 def symspell_dl(spark, sf_dir):
-    """Within one edit the restricted and the unrestricted distance agree."""
-    d = words(spark, sf_dir).where("count >= 200")
-    return matching.fuzzy_join(d, d, "word", "word", 1, "osa")
-
-
-@query(f"WITH {DICT} SELECT a.word AS word, b.word AS word_r, levenshtein(a.word, b.word)::INT AS distance FROM dict a JOIN dict b ON abs(length(a.word) - length(b.word)) <= 2 AND levenshtein(a.word, b.word) <= 2")
-def fuzzy_join_lev_all(spark, sf_dir):
-    """Of the whole default dictionary; fuzzy_join_lev has the words its SQL has."""
-    d = words(spark, sf_dir)
-    return matching.fuzzy_join(d, d, "word", "word", 2)
-
-
-@query(f"WITH {DICT} SELECT a.word AS word, b.word AS word_r, damerau_levenshtein(a.word, b.word)::INT AS distance FROM dict a JOIN dict b ON abs(length(a.word) - length(b.word)) <= 1 AND damerau_levenshtein(a.word, b.word) <= 1")
-def symspell_dl_all(spark, sf_dir):
-    """Of the whole default dictionary; symspell_dl has the words its SQL has."""
-    d = words(spark, sf_dir)
+    """The whole dictionary with itself; within one edit the restricted and the unrestricted distance agree."""
+    d = all_words(spark, sf_dir)
     return matching.fuzzy_join(d, d, "word", "word", 1, "osa")
 
 
@@ -209,10 +213,20 @@ def part_score_miss(spark, sf_dir):
 
 
 # hashing
-@query("SELECT n, ceil(n / 6.0)::BIGINT AS buckets, ceil(n / 0.97::DOUBLE + 1)::BIGINT + (bit_count(ceil(n / 0.97::DOUBLE + 1)::BIGINT) = 1)::BIGINT AS table_size FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderpriority)")
+@query("SELECT n, floor(n / 6.0::DOUBLE)::BIGINT AS buckets, ceil(n / 0.97::DOUBLE + 1)::BIGINT + (bit_count(ceil(n / 0.97::DOUBLE + 1)::BIGINT) = 1)::BIGINT AS table_size, n AS minimal_size, round(greatest(0, least(1, 1024 / (5 * sqrt(n::DOUBLE)))), 9) AS eps FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderpriority)")
 def phf_config(spark, sf_dir):
     sizes = load(spark, sf_dir, "orders").groupBy("o_orderpriority").count().collect()  # five priorities
-    return spark.createDataFrame([(r["count"], hashing.Config(r["count"]).buckets, hashing.Config(r["count"]).table_size) for r in sizes], "n long, buckets long, table_size long")
+    configs = [(r["count"], hashing.Config(r["count"]), hashing.Config(r["count"], minimal=True)) for r in sizes]
+    return spark.createDataFrame([(n, c.buckets, c.table_size, m.size, round(c.eps, 9)) for n, c, m in configs], "n long, buckets long, table_size long, minimal_size long, eps double")
+
+
+@query("SELECT count(*) AS keys, true AS in_range, count(*) // 6 AS buckets, true AS none_overfull FROM orders")
+def phf_buckets(spark, sf_dir):
+    """Every key has a bucket of the table's, and none holds more keys than allowed."""
+    keys = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
+    config = hashing.Config(keys.count())
+    held = hashing.bucketed(keys, config).groupBy("bucket").agg(F.count("*").alias("n"))
+    return held.agg(F.sum("n").alias("keys"), F.every(F.col("bucket").between(0, config.buckets - 1)).alias("in_range"), F.lit(config.buckets).cast("long").alias("buckets"), (F.max("n") < config.max_bucket).alias("none_overfull"))
 
 
 @query("SELECT l_orderkey AS key, count(*)::BIGINT AS times FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
@@ -302,9 +316,24 @@ def bloom6(spark, sf_dir):
     return inside.join(outside)
 
 
-@query("SELECT p_partkey, ((18446744073709551615::HUGEINT // p_size) + 1)::VARCHAR AS magic FROM part")
+@query("SELECT p_partkey, ((18446744073709551615::HUGEINT // p_size) + 1)::VARCHAR AS magic, ((340282366920938463463374607431768211455::UHUGEINT // (p_partkey + 2)::UHUGEINT) + 1)::VARCHAR AS wide FROM part")
 def magic(spark, sf_dir):
-    return load(spark, sf_dir, "part").select("p_partkey", arith.magic_number(F.col("p_size")).cast("string").alias("magic"))
+    """The wide one, of 128 bits, is put together from its halves in base 10^19, as no decimal holds it."""
+    m = arith.magic_number_wide(F.col("p_partkey") + 2)
+    ten = F.lit(str(10**19)).cast(arith.WIDE)
+    hi, lo = m["hi"].cast(arith.WIDE), m["lo"].cast(arith.WIDE)
+    # 2^64 = 1 * 10^19 + 8446744073709551616
+    rest = F.lit("8446744073709551616").cast(arith.WIDE)
+    low = ((hi * rest).cast(arith.WIDE) % ten + lo).cast(arith.WIDE)
+    high = (hi + arith.whole((hi * rest).cast(arith.WIDE), ten) + arith.whole(low, ten)).cast(arith.WIDE)
+    text = F.concat(high.cast("string"), F.lpad((low % ten).cast("decimal(19,0)").cast("string"), 19, "0"))
+    return load(spark, sf_dir, "part").select("p_partkey", arith.magic_number(F.col("p_size")).cast("string").alias("magic"), text.alias("wide"))
+
+
+@query("SELECT o_orderkey, ((o_orderkey::UHUGEINT * 18446744073709551557::UHUGEINT) // 18446744073709551616::UHUGEINT)::VARCHAR AS high FROM orders")
+def mul128(spark, sf_dir):
+    """Upper halves of products with the largest prime below 2^64."""
+    return load(spark, sf_dir, "orders").select("o_orderkey", arith.mul_high(F.col("o_orderkey"), F.lit("18446744073709551557").cast("decimal(20,0)")).cast("string").alias("high"))
 
 
 @query("SELECT c_custkey, (8 + coalesce(strlen(c_name), 0) + CASE WHEN c_nationkey IS NULL THEN 0 ELSE 4 END + CASE WHEN c_acctbal IS NULL THEN 0 ELSE 8 END + coalesce(strlen(c_mktsegment), 0))::BIGINT AS bytes FROM customer")
@@ -313,10 +342,11 @@ def runtime_size(spark, sf_dir):
     return c.select("c_custkey", X.deep_bytes(c.schema).alias("bytes"))
 
 
-@query("SELECT o_orderkey, CASE WHEN ns < 1000 THEN printf('%.2fns', ns::DOUBLE) WHEN ns < 1000000 THEN printf('%.2fus', ns / 1000.0::DOUBLE) WHEN ns < 1000000000 THEN printf('%.2fms', ns / 1000000.0::DOUBLE) ELSE printf('%.2fsec', ns / 1000000000.0::DOUBLE) END AS took FROM (SELECT o_orderkey, o_orderkey * o_orderkey * 10 + 1 AS ns FROM orders)")
+@query("SELECT o_orderkey, CASE WHEN abs(ns) < 1000 THEN ns::VARCHAR || ' ns' WHEN abs(ns) < 1000000 THEN printf('%.2f us', ns / 1000.0::DOUBLE) WHEN abs(ns) < 1000000000 THEN printf('%.2f ms', ns / 1000000.0::DOUBLE) WHEN abs(ns) < 60000000000 THEN printf('%.2f sec', ns / 1000000000.0::DOUBLE) WHEN abs(ns) < 3600000000000 THEN printf('%.2f min', ns / 60000000000.0::DOUBLE) ELSE printf('%.2f hr', ns / 3600000000000.0::DOUBLE) END AS took FROM (SELECT o_orderkey, (CASE WHEN o_orderkey % 2 = 0 THEN -1 ELSE 1 END) * (o_orderkey * o_orderkey * o_orderkey * 10 + 1) AS ns FROM orders)")
 def human_time(spark, sf_dir):
-    """The numbers end in 1, so that no quotient lies halfway between two printed ones."""
-    return load(spark, sf_dir, "orders").select("o_orderkey", arith.human_time((F.col("o_orderkey") * F.col("o_orderkey") * 10 + 1).cast("double")).alias("took"))
+    """Every second one negative. The numbers end in 1, so that no quotient lies halfway between two printed ones."""
+    n = F.col("o_orderkey")
+    return load(spark, sf_dir, "orders").select("o_orderkey", arith.human_time(F.when(n % 2 == 0, -1).otherwise(1) * (n * n * n * 10 + 1)).alias("took"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey <= 1 THEN 0 ELSE length(bin(o_orderkey - 1)) END::INT AS log2 FROM orders")

@@ -33,9 +33,15 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default dictionary: words of 3 to 12 letters that come 5 times at least."""
     return tables.materialised(dictionary.usable(corpus(spark, sf_dir)), "words")
 
 
+def all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word, as rare, short or long as it is."""
+    return tables.materialised(corpus(spark, sf_dir), "all-words")
+
+
 def queries_of(d: DataFrame) -> DataFrame:
     return dictionary.misspelled(d).select("query").distinct()
 
@@ -43,7 +49,8 @@ def queries_of(d: DataFrame) -> DataFrame:
 # SQL pieces
 CORPUS = "corpus AS (SELECT word, count(*)::BIGINT AS count FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang = 'en') GROUP BY word)"
 DICT = CORPUS + ", dict AS (SELECT * FROM corpus WHERE count >= 5 AND length(word) BETWEEN 3 AND 12)"
-MISSPELL = "miss AS (SELECT word AS truth, CASE length(word) % 4 WHEN 0 THEN l || a || r WHEN 1 THEN l || h || h || a || r WHEN 2 THEN l || a || h || r ELSE l || 'x' || a || r END AS query FROM (SELECT word, substr(word, 1, p - 1) AS l, substr(word, p, 1) AS h, substr(word, p + 1, 1) AS a, substr(word, p + 2) AS r FROM (SELECT word, length(word) // 2 AS p FROM dict))), q AS (SELECT DISTINCT query FROM miss)"
+FULL_DICT = CORPUS + ", dict AS (SELECT * FROM corpus)"
+MISSPELL = "miss AS (SELECT word AS truth, CASE length(word) % 4 WHEN 0 THEN l || a || r WHEN 1 THEN l || h || h || a || r WHEN 2 THEN l || a || h || r ELSE l || 'x' || a || r END AS query FROM (SELECT word, substr(word, 1, p - 1) AS l, substr(word, p, 1) AS h, substr(word, p + 1, 1) AS a, substr(word, p + 2) AS r FROM (SELECT word, greatest(length(word) // 2, 1) AS p FROM dict))), q AS (SELECT DISTINCT query FROM miss)"
 
 
 def variants_sql(source: str, column: str, k: int, complete: bool = False) -> str:
@@ -66,8 +73,8 @@ def candidates_sql(k: int) -> str:
 ORDERS = {"first": "d, mask, ed, count DESC, word", "layer": "d, ed, count DESC, mask, word", "full": "ed, CASE WHEN ed = 0 THEN 0 ELSE -count END, d, mask, word"}
 
 
-def top_sql(k: int, mode: str = "first", top: int = 1, rank: str = "") -> str:
-    return f"WITH {DICT}, {MISSPELL}, {candidates_sql(k)} SELECT query, {rank}word, ed AS edit_distance, d AS delete_distance, count FROM (SELECT *, (row_number() OVER (PARTITION BY query ORDER BY {ORDERS[mode]}))::INT AS rank FROM cand) WHERE rank <= {top}"
+def top_sql(k: int, mode: str = "first", top: int = 1, rank: str = "", words: str = DICT) -> str:
+    return f"WITH {words}, {MISSPELL}, {candidates_sql(k)} SELECT query, {rank}word, ed AS edit_distance, d AS delete_distance, count FROM (SELECT *, (row_number() OVER (PARTITION BY query ORDER BY {ORDERS[mode]}))::INT AS rank FROM cand) WHERE rank <= {top}"
 
 
 # dictionary and edits
@@ -81,14 +88,14 @@ def dict_stats(spark, sf_dir):
     return dictionary.stats(words(spark, sf_dir), 2)
 
 
-@query(f"WITH {DICT} SELECT DISTINCT w AS word, edit FROM {variants_sql('dict', 'word', 1)}")
+@query(f"WITH {FULL_DICT} SELECT DISTINCT w AS word, edit FROM {variants_sql('dict', 'word', 1)}")
 def edits_explode_k1(spark, sf_dir):
-    return words(spark, sf_dir).select("word", F.explode(X.delete_edits("word", 1)).alias("edit"))
+    return all_words(spark, sf_dir).select("word", F.explode(X.delete_edits("word", 1)).alias("edit"))
 
 
-@query(f"WITH {DICT} SELECT DISTINCT w AS word, edit FROM {variants_sql('dict', 'word', 2)}")
+@query(f"WITH {FULL_DICT} SELECT DISTINCT w AS word, edit FROM {variants_sql('dict', 'word', 2)}")
 def edits_explode_k2(spark, sf_dir):
-    return words(spark, sf_dir).select("word", F.explode(X.delete_edits("word", 2)).alias("edit"))
+    return all_words(spark, sf_dir).select("word", F.explode(X.delete_edits("word", 2)).alias("edit"))
 
 
 @query(f"WITH {DICT} SELECT word, (length(word) * (length(word) - 1) // 2)::BIGINT AS two FROM dict")
@@ -112,14 +119,14 @@ def index_top_postings(spark, sf_dir):
 
 
 # lookups
-def looked_up(spark, sf_dir, k, f, **options):
-    d = words(spark, sf_dir)
+def looked_up(spark, sf_dir, k, f, source=words, **options):
+    d = source(spark, sf_dir)
     return f(queries_of(d), matching.build_index(d, k), k, **options)
 
 
-@query(top_sql(1))
+@query(top_sql(1, words=FULL_DICT))
 def lookup_top_k1(spark, sf_dir):
-    return looked_up(spark, sf_dir, 1, matching.lookup_top)
+    return looked_up(spark, sf_dir, 1, matching.lookup_top, all_words)
 
 
 @query(top_sql(2))
@@ -142,9 +149,18 @@ def lookup_topk(spark, sf_dir):
     return looked_up(spark, sf_dir, 2, matching.lookup_topk, top=3)
 
 
-@query(f"WITH {DICT}, {MISSPELL}, {candidates_sql(1)} SELECT query, word, ed AS edit_distance, d AS delete_distance, count FROM cand")
+@query(f"WITH {FULL_DICT}, {MISSPELL}, {candidates_sql(1)} SELECT query, word, ed AS edit_distance, d AS delete_distance, count FROM cand")
 def lookup_all(spark, sf_dir):
-    return looked_up(spark, sf_dir, 1, matching.lookup_all)
+    return looked_up(spark, sf_dir, 1, matching.lookup_all, all_words)
+
+
+@query(f"WITH {FULL_DICT}, {MISSPELL}, {candidates_sql(1)} SELECT query, word, ed AS edit_distance, d AS delete_distance, count FROM cand")
+def lookup_stored(spark, sf_dir):
+    """As lookup_all, from an index that was built and stored once, bucketed by edit."""
+    d, path = all_words(spark, sf_dir), tables.work_path(spark, "index")
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    matching.store_index(matching.build_index(d, 1), table, 8, path)
+    return matching.lookup_all(queries_of(d), matching.load_index(spark, table), 1)
 
 
 @query(f"WITH {DICT}, {MISSPELL}, {candidates_sql(1)} SELECT query FROM q WHERE query NOT IN (SELECT query FROM cand)")
@@ -152,9 +168,17 @@ def lookup_miss(spark, sf_dir):
     return looked_up(spark, sf_dir, 1, matching.lookup_miss)
 
 
-@query(f"WITH {DICT}, f AS (SELECT word FROM dict WHERE count >= 200) SELECT a.word AS word, b.word AS word_r, levenshtein(a.word, b.word)::INT AS distance FROM f a JOIN f b ON abs(length(a.word) - length(b.word)) <= 2 AND levenshtein(a.word, b.word) <= 2")
+def join_sql(k: int, distance: str) -> str:
+    """Pairs of the dictionary that share what is left after k deletions at most, none of which is needed for the first k positions alone, and are within distance k: all that are."""
+    both = "SELECT DISTINCT a.w AS a, b.w AS b FROM v a JOIN v b USING (edit) WHERE abs(length(a.w) - length(b.w)) <= " + str(k)
+    empty = f"SELECT word AS w, '' AS edit FROM dict WHERE length(word) <= {k}"
+    return f"WITH {FULL_DICT}, v AS (SELECT DISTINCT w, edit FROM {variants_sql('dict', 'word', k, True)} UNION {empty}) SELECT a AS word, b AS word_r, {distance}(a, b)::INT AS distance FROM ({both}) WHERE {distance}(a, b) <= {k}"
+
+
+@query(join_sql(2, "levenshtein"))
 def fuzzy_join_lev(spark, sf_dir):
-    d = words(spark, sf_dir).where("count >= 200")
+    """The whole dictionary with itself."""
+    d = all_words(spark, sf_dir)
     return matching.fuzzy_join(d, d, "word", "word", 2)
 
 
@@ -174,14 +198,31 @@ def osa_distance(spark, sf_dir):
     return dictionary.misspelled(words(spark, sf_dir)).select("query", "truth", X.osa("query", "truth").alias("distance"))
 
 
-@query()
+# the fold goes from place to place; `ring` has the best split up to each of the next places, nearest first
+SEGMENT = """WITH RECURSIVE w AS (SELECT word, count(*)::BIGINT AS count FROM (SELECT unnest(regexp_extract_all(lower(p_name), '[a-z]+')) AS word FROM part) GROUP BY word),
+dict AS (SELECT * FROM w), m AS (SELECT max(length(word)) + 1 AS reach, sum(count)::DOUBLE AS total FROM w),
+ph AS (SELECT DISTINCT replace(p_name, ' ', '') AS phrase FROM part),
+span AS (SELECT phrase, j, i, substr(phrase, j + 1, i) AS query FROM (SELECT phrase, j, unnest(range(1, least(reach, length(phrase) - j) + 1)) AS i FROM (SELECT phrase, unnest(range(0, length(phrase))) AS j FROM ph), m)),
+q AS (SELECT DISTINCT query FROM span), %s,
+top AS (SELECT query, word, ed, count FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, mask, ed, count DESC, word) AS rn FROM cand) WHERE rn = 1),
+part_of AS (SELECT phrase, j, i, query, coalesce(word, query) AS word, coalesce(ed, length(query))::BIGINT AS cost, coalesce(log10(count / total), log10(10 / (total * pow(length(query)::DOUBLE, 10)))) AS log FROM span LEFT JOIN top USING (query), m),
+begun AS (SELECT phrase, j, list({'cost': cost, 'log': log, 'part': query, 'word': word} ORDER BY i) AS l FROM part_of GROUP BY phrase, j),
+fold AS (SELECT phrase, 0 AS j, list_transform(l, lambda p: {'distance': p.cost, 'log': p.log, 'segmented': p.part, 'corrected': p.word}) AS ring FROM begun WHERE j = 0
+UNION ALL SELECT f.phrase, f.j + 1, list_transform(l, lambda p, n: CASE WHEN ring[n + 1] IS NULL OR (ring[n + 1].distance IN (ring[1].distance + p.cost, ring[1].distance + p.cost + 1) AND ring[n + 1].log < ring[1].log + p.log) OR ring[1].distance + p.cost + 1 < ring[n + 1].distance
+THEN {'distance': ring[1].distance + p.cost + 1, 'log': ring[1].log + p.log, 'segmented': ring[1].segmented || ' ' || p.part, 'corrected': ring[1].corrected || ' ' || p.word} ELSE ring[n + 1] END) || ring[len(l) + 2 :]
+FROM fold f JOIN begun ON begun.phrase = f.phrase AND begun.j = f.j + 1)
+SELECT phrase, ring[1].segmented AS segmented, ring[1].corrected AS corrected, ring[1].distance AS distance_sum, round(ring[1].log, 6) AS probability_log_sum FROM fold WHERE j = length(phrase) - 1"""
+
+
+@query(SEGMENT % candidates_sql(1))
 def segment_phrases(spark, sf_dir):
     """Part names without their blanks, split again by the dictionary of their own words."""
     parts = load(spark, sf_dir, "part")
     d = tables.materialised(dictionary.from_corpus(parts, "p_name"), "part-words")
     s = dictionary.stats(d).first()
     phrases = parts.select(F.replace("p_name", F.lit(" "), F.lit("")).alias("phrase")).distinct()
-    return segment.segment(phrases, matching.build_index(d, 1), 1, s["word_max_len"], s["count_sum"])
+    split = segment.segment(phrases, matching.build_index(d, 1), 1, s["word_max_len"], s["count_sum"])
+    return split.withColumn("probability_log_sum", F.round("probability_log_sum", 6))
 
 
 # sequences
@@ -251,11 +292,10 @@ def nth_set_bit(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", bits.nth_set_bit("event_id", 2).cast("long").alias("second"))
 
 
-@query("SELECT o_custkey, string_agg(lpad(bin(o_orderkey), 20, '0'), '' ORDER BY o_orderkey) AS bits FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey, string_agg(right(lpad(bin(o_orderkey), 64, '0'), 9), '' ORDER BY o_orderkey) AS bits FROM orders GROUP BY o_custkey")
 def bit_pack(spark, sf_dir):
-    o = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
-    packed = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("l"))
-    return packed.select("o_custkey", F.array_join(F.transform("l", lambda x: bits.bit_text(x, 20)), "").alias("bits"))
+    """The 9 low bits of each number; most numbers have more."""
+    return bits.pack(load(spark, sf_dir, "orders"), "o_orderkey", "o_orderkey", 9, ["o_custkey"])
 
 
 @query("SELECT o_orderkey, (o_orderkey >> 4) & 255 AS middle FROM orders")
@@ -276,12 +316,15 @@ def phf_lookup_miss(spark, sf_dir):
 
 
 UNIT = "(l_linenumber - 1) / 8.0::DOUBLE"
+BETA = f"({UNIT} + (1 - {UNIT}) * ln(1 - {UNIT}))"
 
 
-@query(f"SELECT l_orderkey, l_linenumber, floor(({UNIT} + (1 - {UNIT}) * ln(1 - {UNIT})) * 1000)::BIGINT AS optimal, CASE WHEN {UNIT} < 0.6::DOUBLE THEN floor({UNIT} / 0.6::DOUBLE * 300) ELSE 300 + floor(({UNIT} - 0.6::DOUBLE) / (1 - 0.6::DOUBLE) * 700) END::BIGINT AS skewed FROM lineitem")
+@query(f"WITH e AS (SELECT greatest(0, least(1, 1024 / (5 * sqrt(count(*)::DOUBLE)))) AS eps FROM orders) SELECT l_orderkey, l_linenumber, floor({BETA} * 1000)::BIGINT AS optimal, floor((eps * {UNIT} + (1 - eps) * {BETA}) * 1000)::BIGINT AS mixed, CASE WHEN {UNIT} < 0.6::DOUBLE THEN floor({UNIT} / 0.6::DOUBLE * 300) ELSE 300 + floor(({UNIT} - 0.6::DOUBLE) / (1 - 0.6::DOUBLE) * 700) END::BIGINT AS skewed FROM lineitem, e")
 def bucket_mappers(spark, sf_dir):
-    u = (F.col("l_linenumber") - 1) / 8.0
-    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", hashing.optimal_bucket(u, 1000).alias("optimal"), hashing.skewed_bucket(u, 1000).alias("skewed"))
+    """mixed: with the even share that a table of as many keys as orders has."""
+    u, eps = (F.col("l_linenumber") - 1) / 8.0, hashing.Config(load(spark, sf_dir, "orders").count()).eps
+    at = load(spark, sf_dir, "lineitem")
+    return at.select("l_orderkey", "l_linenumber", hashing.optimal_bucket(u, 1000).alias("optimal"), hashing.optimal_bucket(u, 1000, eps).alias("mixed"), hashing.skewed_bucket(u, 1000).alias("skewed"))
 
 
 # filters
@@ -320,7 +363,7 @@ def is_divisible(spark, sf_dir):
     return load(spark, sf_dir, "orders").select("o_orderkey", arith.is_divisible(F.col("o_orderkey"), 7).alias("by7"))
 
 
-@query("SELECT doc_id, n_chars, CASE WHEN n_chars < 1024 THEN printf('%.2fb', n_chars::DOUBLE) ELSE printf('%.2fKb', round(n_chars / 1024.0::DOUBLE, 2)) END AS size, CASE WHEN n_chars <= 1 THEN 0 ELSE length(bin(n_chars - 1)) END::INT AS log2 FROM documents")
+@query("SELECT doc_id, n_chars, CASE WHEN n_chars < 1024 THEN n_chars::VARCHAR || ' b' ELSE printf('%.2f Kb', round(n_chars / 1024.0::DOUBLE, 2)) END AS size, CASE WHEN n_chars <= 1 THEN 0 ELSE length(bin(n_chars - 1)) END::INT AS log2 FROM documents")
 def human_bytes(spark, sf_dir):
     n = F.col("n_chars")
     return load(spark, sf_dir, "documents").select("doc_id", "n_chars", arith.human_bytes(n).alias("size"), arith.log2_ceil(n).cast("int").alias("log2"))

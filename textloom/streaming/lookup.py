@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import delete_variants
+from textloom.operators.filters import recent_hits
 
 
 def lookup_batch(index: DataFrame, sink, k: int = 2):
@@ -23,9 +24,9 @@ def lookup_batch(index: DataFrame, sink, k: int = 2):
 
 def candidates_stream(queries: DataFrame, index: DataFrame, k: int = 2) -> DataFrame:
     """A stream of (query, word, distances) by stream-static join; no state."""
-    v = queries.select("query", F.explode(delete_variants("query", k)).alias("v")).select("query", "v.edit", "v.d", "v.mask")
+    v = queries.select("query", F.explode(delete_variants("query", k)).alias("v")).select("query", "v.edit", "v.d", "v.code")
     distance = F.char_length("word") - F.char_length("edit")
-    return v.join(index, "edit").where((F.abs(F.char_length("word") - F.char_length("query")) <= k) & (distance <= k)).select("query", "word", "count", distance.alias("edit_distance"), F.col("d").alias("delete_distance"), "mask")
+    return v.join(index, "edit").where((F.abs(F.char_length("word") - F.char_length("query")) <= k) & (distance <= k)).select("query", "word", "count", distance.alias("edit_distance"), F.col("d").alias("delete_distance"), "code")
 
 
 def lru_stream(events: DataFrame, by: str, key: str, order: str, capacity: int) -> DataFrame:
@@ -33,16 +34,8 @@ def lru_stream(events: DataFrame, by: str, key: str, order: str, capacity: int)
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         recent = dict.fromkeys(state.get[0] if state.exists else [])
-        for pdf in frames:
-            pdf = pdf.sort_values(order)
-            hits = []
-            for k in pdf[key]:
-                hits.append(k in recent)
-                recent.pop(k, None)
-                recent[k] = None
-                if len(recent) > capacity:
-                    recent.pop(next(iter(recent)))
-            yield pdf[[by, order, key]].assign(hit=hits)
+        rows = pd.concat(list(frames)).sort_values([order, key], kind="stable")  # a group comes in several pieces of its batch
+        yield rows[[by, order, key]].assign(hit=recent_hits(rows[key].tolist(), recent, capacity))
         state.update((list(recent),))
 
     kind = lambda c: events.schema[c].dataType.simpleString()
