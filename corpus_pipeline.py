@@ -11,7 +11,7 @@ from textloom.llm import common, decontam, mixing, neardup, quality, token_files
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix in ascending doc_id order, and what they hold of each document (a repeated one comes repeatedly)."""
-    return token_files.write_and_read(docs)
+    return token_files.write_and_read(docs).drop("path", "place")
 
 
 STAGES = [
@@ -27,7 +27,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage left in the shared folder goes as soon as its result is written."""
     docs = common.load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        path = common.work_path(spark, f"pipeline-{name.replace(' ', '-')}")
+        with common.scratch(spark):
+            docs = common.written(stage(spark, docs, sf_dir), path=path)
     return STAGES[-1][1](spark, docs, sf_dir)

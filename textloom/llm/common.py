@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +11,11 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.operators.tables import materialised as written
+from textloom.operators.tables import scratch, work_path
+
+__all__ = ["LETTERS", "LOWER", "NOT_SPACE", "buffers", "chunks", "crc_mod", "fresh", "load", "mix", "numbered_columns", "open_fs", "scratch", "word_hashes", "word_spans", "work_path", "write_once", "written"]
+
 #: Bytes of text that one numpy pass works on (one longer document is a pass of its own).
 CHUNK_BYTES = 1 << 20
 
@@ -20,19 +24,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests) a temporary one is made."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like those given that df has no column of; Spark doesn't tell upper from lower case."""
     taken = {c.lower() for c in df.columns}
@@ -50,20 +41,12 @@ def numbered_columns(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), [f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema.fields)]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
-def write_once(uri: str, data: bytes | list[bytes]) -> None:
-    """Writes a file under a name of its own and then renames it, so that a repeated or speculative task leaves one whole file."""
+def write_once(uri: str, data: bytes | Iterable[bytes]) -> None:
+    """Writes a file, part by part as they come, under a name of its own and then renames it, so that a repeated or speculative task leaves one whole file."""
     files, path = open_fs(uri)
     files.create_dir(path.rsplit("/", 1)[0], recursive=True)
     own = f"{path}.{uuid.uuid4().hex}.tmp"
@@ -73,12 +56,6 @@ def write_once(uri: str, data: bytes | list[bytes]) -> None:
     files.move(own, path)
 
 
-def read_file(uri: str) -> bytes:
-    files, path = open_fs(uri)
-    with files.open_input_file(path) as f:
-        return f.read()
-
-
 def crc_mod(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, mod n; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id) % n

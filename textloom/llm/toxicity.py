@@ -2,18 +2,21 @@
 
 Fit. Tokens are runs of letters, A-Z lower-cased; a token has the features: itself, and its beginnings of 4 to 10 bytes, each hashed to one of
 2^22 cells. From at most `max_train` labelled documents (those with the smallest hash of their id: a bounded sample that every rerun
-repeats; of documents with one label and equal sets of words, that is of copies, one counts) each cell gets the log-odds of its use in
-toxic against clean documents (once a document) under an informative Dirichlet prior, and a z value. A token scores the largest log-odds of its
-features with z of `z_min` or more, any other token -drift.
+repeats; of documents with one label and equal sets of words, that is of copies, one counts) three in four teach the odds: each cell gets the log-odds of its use in
+toxic against clean documents (once a document) under a Dirichlet prior in the proportions of all documents, drawn `caution` standard deviations towards 0. A cell that is
+rarer in toxic text has negative odds. A token scores the odds of its feature with the largest amount of them, less `drift`, so that text without evidence costs.
 
-Scan. Ruzzo and Tompa's linear scan finds every maximal scoring passage of a whole text. A passage with score S in a text of n tokens
-has the extreme-value statistic x = lambda * S - ln(K * n) (Karlin and Altschul), lambda being the positive root of
-E[exp(lambda * score)] = 1 over clean text; passages with p = 1 - exp(-exp(-x)) <= `p_max` are significant. The significant passages of
-a text are summed to one statistic, which a logistic curve, fitted on the training documents, turns to a score between 0 and 1.
+Scan. Ruzzo and Tompa's linear scan finds every maximal scoring passage of a whole text.
 
-Cases. Null and empty texts have no token and no passage and get the curve's value at nothing found. Repeated rows get a row each.
+Calibration. On the other quarter, whose texts taught nothing, lambda and K are the maximum-likelihood fit of the extreme-value law P(best <= s) = exp(-K n exp(-lambda s)) to the best
+passages of clean texts of n tokens (texts without any count as censored at 0). A passage of score s then has E = K n exp(-lambda s); it is significant if p = 1 - exp(-E) <= `p_max`. A text's
+passages with E < 1 are put together by Karlin and Altschul's sum statistic: with S the sum of -ln E of the r best, p_r = exp(-S) S^(r-1) / (r! (r-1)!), times 2^r for the choice of r; the
+least of these gives the text's evidence -ln p, which a logistic curve, fitted on the same quarter, turns to a score between 0 and 1.
+
+Cases. Null and empty texts have no token and no passage and get the curve's value at nothing found. Repeated rows get a row each; in training an id has one text, the least one.
 A null doc_id is never trained on and counts as not held out. Repeated labels of an id count as their largest; null labels don't
-count. With no labelled row of either class every score is the share of toxic labels (0 without any).
+count. If the quarter lacks a class, all training documents calibrate. If either class lacks documents to learn from, every score is the share of toxic labels (0 without any). Long texts are scanned
+whole, in time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -33,17 +36,20 @@ from .common import LETTERS, LOWER, chunks, crc_mod, load, numbered_columns, wor
 BITS = 22
 #: Bytes of a token's beginnings.
 HEADS = range(4, 11)
-#: Weight of the prior, in documents' uses of a cell; a small training set takes an 80th of its own uses.
-A0 = 50_000.0
+#: Weight of the prior, as a share of all uses of cells.
+PRIOR = 1 / 80
+#: One in so many training documents calibrates.
+FOLDS = 4
 
 
 @dataclass
 class Model:
     weights: np.ndarray  # float32 of 2^BITS cells: its size bounds the broadcast
+    drift: float
     lam: float
     k: float
     p_max: float
-    coef: list[float]
+    coef: list[float]  # empty if nothing could be learned
     share: float
 
 
@@ -61,11 +67,12 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator
             yield which, (word_hashes(data, starts[which], starts[which] + n) * np.uint64(2 * n + 1) >> shift).astype(np.int64)
 
 
-def token_scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    out = np.full(len(starts), -np.inf)
+def token_scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: Model) -> np.ndarray:
+    out = np.zeros(len(starts))
     for which, cells in features(data, starts, ends):
-        out[which] = np.maximum(out[which], weights[cells])
-    return out
+        new = model.weights[cells].astype(float)
+        out[which] = np.where(np.abs(new) > np.abs(out[which]), new, out[which])
+    return out - model.drift
 
 
 def segments(index: np.ndarray, before: np.ndarray, after: np.ndarray) -> list[tuple[int, int, float]]:
@@ -88,24 +95,42 @@ def segments(index: np.ndarray, before: np.ndarray, after: np.ndarray) -> list[t
     return [(a, b, hi - lo) for a, b, lo, hi in stack]
 
 
-def passages(score: np.ndarray, model: Model) -> list[tuple[int, int, float, float]]:
-    """The significant passages of one text, given its tokens' scores: (first token, last token, score, extreme-value statistic)."""
+def found_in(score: np.ndarray) -> list[tuple[int, int, float]]:
+    """The maximal scoring segments of one text, given its tokens' scores."""
     index = np.flatnonzero(score > 0)
     if not len(index):
         return []
     run = np.cumsum(score)
-    found = segments(index, run[index] - score[index], run[index])
-    base = math.log(model.k * max(len(score), 2))
-    out = []
-    for a, b, s in found:
-        x = model.lam * s - base
-        if -math.expm1(-math.exp(-max(x, -30.0))) <= model.p_max:
-            out.append((a, b, s, x))
-    return out
+    return segments(index, run[index] - score[index], run[index])
 
 
-def statistic(found: list[tuple[int, int, float, float]]) -> float:
-    return math.log1p(sum(x + 5.0 for *_, x in found if x > -5.0))
+def evidence(scores: list[float], n: int, lam: float, k: float) -> float:
+    """-ln p of the best sum of the largest scores, for a text of n tokens; 0 if there is none."""
+    base = math.log(k * max(n, 1))
+    best = total = 0.0
+    for r, s in enumerate(sorted(scores, reverse=True), 1):
+        x = lam * s - base
+        if x <= 0:
+            break
+        total += x
+        best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - r * math.log(2))
+    return best
+
+
+def extreme_value(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """lambda and K of P(best <= s) = exp(-K n exp(-lambda s)) by maximum likelihood; best 0 is censored. For a given lambda, K = (texts with a passage) / sum(n exp(-lambda best))."""
+    hit = best > 0
+    m = int(hit.sum())
+    if not m:
+        return 1.0, 0.5 / max(float(n.sum()), 1.0)
+    rest = lambda lam: max(float((n * np.exp(-lam * best)).sum()), 1e-300)
+    gain = lambda lam: m * math.log(lam) - m * math.log(rest(lam)) - lam * float(best.sum())
+    lo, hi = math.log(0.05), math.log(20.0)
+    for _ in range(80):  # the likelihood has one maximum
+        a, b = lo + (hi - lo) / 3, hi - (hi - lo) / 3
+        lo, hi = (a, hi) if gain(math.exp(a)) < gain(math.exp(b)) else (lo, b)
+    lam = math.exp((lo + hi) / 2)
+    return lam, m / rest(lam)
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
@@ -131,15 +156,15 @@ def training_labels(labels: DataFrame, label: str, held_out, max_train: int) ->
     )
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, z_min: float = 4.0, odds_min: float = 2.5, drift: float = 0.4, p_max: float = 0.5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, caution: float = 1.5, drift: float = 1.0, p_max: float = 0.05) -> Model:
     """docs: doc_id, text. labels: doc_id, toxic."""
     spark = docs.sparkSession
     ids = training_labels(labels, "toxic", crc_mod("doc_id", 5) == 0, max_train)
-    train = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # max_train rows of 12 bytes at most
+    train = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # max_train rows at most
 
     def sketch(batches):
         for batch in batches:
-            keys, cells = [], []
+            keys, cells, texts = [], [], []
             for _, data, offsets in chunks(batch, "text"):
                 starts, ends, at = tokens_of(data, offsets)
                 words, parts = word_hashes(LOWER[data], starts, ends), list(features(data, starts, ends))
@@ -147,61 +172,60 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, z_min: floa
                 of, cell = np.concatenate([of[w] for w, _ in parts]), np.concatenate([c for _, c in parts])
                 order = np.argsort(of, kind="stable")
                 cuts = np.searchsorted(of[order], np.arange(len(at)))
+                raw = data.tobytes()
                 for i in range(len(at) - 1):
                     w = words[at[i] : at[i + 1]]
-                    keys.append(hashlib.blake2b(np.unique(w).tobytes(), digest_size=16).digest())  # equal sets of words have equal cells: it doesn't matter which row stays
+                    keys.append(hashlib.blake2b(np.unique(w).tobytes(), digest_size=16).digest())
+                    held = keys[-1][0] % FOLDS == 0  # copies share a key, and so a fold
                     cells.append(np.unique(cell[order[cuts[i] : cuts[i + 1]]]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("y").cast(pa.int32()), pa.array(keys, pa.binary()), pa.array(cells, pa.list_(pa.int32()))], ["y", "key", "cells"])
-
-    used = train.mapInArrow(sketch, "y int, key binary, cells array<int>").dropDuplicates(["y", "key"]).select((F.col("y") > 0).alias("toxic"), F.explode("cells").alias("cell"))
-    used = written(used.groupBy("cell").agg(F.count_if(~F.col("toxic")).alias("n0"), F.count_if("toxic").alias("n1")), "toxic-cells")
-    total = np.array([float(v or 0) for v in used.agg(F.sum("n0"), F.sum("n1")).first()])
-    found = used.where("n1 >= 5 and n1 > n0 / 50").toPandas()  # 2^BITS rows at most, by the condition far fewer
-    n = np.zeros((2, 1 << BITS))
-    n[0, found["cell"]], n[1, found["cell"]] = found["n0"], found["n1"]
-    weights = np.full(1 << BITS, -drift, np.float32)
-    model = Model(weights, 1.0, 1.0, p_max, [0.0, 0.0], 0.0)
-    if total.min() > 0:
-        weight = min(A0, total.sum() / 80)
-        prior = weight * (n.sum(0) + 1e-3) / (total.sum() + 1e-3)
-        odds = [np.log((n[k] + prior) / (total[k] + weight - n[k] - prior)) for k in (0, 1)]
-        delta = odds[1] - odds[0]
-        z = delta / np.sqrt(1 / (n[0] + prior) + 1 / (n[1] + prior))
-        strong = (z >= z_min) & (n[1] >= 5) & (delta > odds_min)
-        weights[strong] = delta[strong]
-        p = n[0] / total[0]
-        lo, hi = 1e-6, 20.0  # E[exp(lambda s)] - 1 is negative just above 0 and grows without bound
-        grow = lambda t: float((p[strong] * np.exp(np.minimum(t * delta[strong], 700))).sum() + (1 - p[strong].sum()) * math.exp(-t * drift)) - 1
-        if strong.any() and grow(lo) < 0 < grow(hi):
-            for _ in range(60):
-                mid = (lo + hi) / 2
-                lo, hi = (mid, hi) if grow(mid) < 0 else (lo, mid)
-            model.lam = min(max(lo, 0.5), 1.0)
-        elif not strong.any():
-            model.lam = 1.0
-        model.k = max(float(p[strong].sum()), 1e-4) if strong.any() else 1.0
+                    texts.append(raw[offsets[i] : offsets[i + 1]] if held else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("y").cast(pa.int32()), pa.array(keys, pa.binary()), pa.array(cells, pa.list_(pa.int32())), pa.array(texts, pa.binary())], ["doc_id", "y", "key", "cells", "text"])
+
+    rows = train.mapInArrow(sketch, "doc_id long, y int, key binary, cells array<int>, text binary")
+    rows = written(rows.groupBy("y", "key").agg(F.min(F.struct("doc_id", "cells", "text")).alias("r")).select((F.col("y") > 0).alias("toxic"), "r.cells", "r.text"), "toxic-train")
+    n0, n1, held0, held1 = rows.agg(*[F.expr(f"count_if({a} and text is {b})") for b in ("null", "not null") for a in ("not toxic", "toxic")]).first()
+    model = Model(np.zeros(1 << BITS, np.float32), drift, 1.0, 1.0, p_max, [], (n1 + held1) / max(n0 + n1 + held0 + held1, 1))
+    if not n0 or not n1 or not 0 < model.share < 1:
+        return model
+    used = written(rows.where("text is null").select("toxic", F.explode("cells").alias("cell")).groupBy("cell").agg(F.expr("count_if(not toxic)").alias("n0"), F.expr("count_if(toxic)").alias("n1")), "toxic-cells")
+    t0, t1 = (float(x or 0) for x in used.agg(F.sum("n0"), F.sum("n1")).first())
+    if not t0 or not t1:
+        return model
+    weight = PRIOR * (t0 + t1)
+    a0, a1 = (F.col(n) + PRIOR * (F.col("n0") + F.col("n1")) for n in ("n0", "n1"))
+    delta = F.ln(a1 / (t1 + weight - a1)) - F.ln(a0 / (t0 + weight - a0))
+    sure = F.abs(F.col("delta")) - caution * F.sqrt(1 / a0 + 1 / a1)
+    odds = used.withColumn("delta", delta).select("cell", (F.signum("delta") * sure).alias("w"), sure.alias("sure")).where("sure > 0").select("cell", "w").toPandas()  # 2^BITS rows at most; most cells have no sure odds
+    model.weights[odds["cell"]] = odds["w"]
     cast = spark.sparkContext.broadcast(model)
 
     def measure(batches):
         for batch in batches:
-            out = np.zeros(batch.num_rows)
-            for rows, data, offsets in chunks(batch, "text"):
+            n, found = [], []
+            for _, data, offsets in chunks(batch, "text"):
                 starts, ends, at = tokens_of(data, offsets)
-                scores = token_scores(data, starts, ends, cast.value.weights)
-                for i, k in enumerate(range(rows.start, rows.stop)):
-                    out[k] = statistic(passages(scores[at[i] : at[i + 1]], cast.value))
-            yield pa.RecordBatch.from_arrays([pa.array(out), batch.column("y").cast(pa.int32())], ["x", "y"])
-
-    seen = train.mapInArrow(measure, "x double, y int").toPandas()  # max_train rows, or as many as the ids repeat
-    y = (seen["y"].to_numpy() > 0).astype(float)
-    model.share = float(y.mean()) if len(y) else 0.0
-    if 0 < model.share < 1:
-        model.coef = logistic(seen["x"].to_numpy(), y)
+                scores = token_scores(data, starts, ends, cast.value)
+                for i in range(len(at) - 1):
+                    n.append(int(at[i + 1] - at[i]))
+                    found.append([s for *_, s in found_in(scores[at[i] : at[i + 1]])])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.float64()))], ["toxic", "n", "found"])
+
+    if held0 and held1:
+        texts = rows.where("text is not null").select("toxic", "text")
+    else:
+        texts = train.select((F.col("y") > 0).alias("toxic"), "text")
+    seen = texts.mapInArrow(measure, "toxic boolean, n long, found array<double>").toPandas()  # max_train rows at most
+    y, n = seen["toxic"].to_numpy(bool), seen["n"].to_numpy(float)
+    best = np.array([max(x, default=0.0) for x in seen["found"]])
+    model.lam, model.k = extreme_value(best[~y & (n > 0)], n[~y & (n > 0)])
+    x = np.array([math.log1p(evidence(list(f), int(m), model.lam, model.k)) for f, m in zip(seen["found"], n, strict=True)])
+    order = np.lexsort((y, x))  # sums in one order, whichever way the rows came
+    model.coef = logistic(x[order], y[order].astype(float))
     return model
 
 
 def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
-    """docs without text, with toxicity (0 to 1); with spans, docs with toxicity and passages: array of (start, end) in bytes of the UTF-8 text, token count, score and p
+    """docs without text, with toxicity (0 to 1); with spans, docs with toxicity and the significant passages: array of (start, end) in bytes of the UTF-8 text, token count, score and p
     value. Columns of these names are replaced."""
     cast = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("toxicity", "passages")
@@ -218,13 +242,15 @@ def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
             where: list = []
             for rows, data, offsets in chunks(batch, f"c{text}"):
                 starts, ends, at = tokens_of(data, offsets)
-                scores = token_scores(data, starts, ends, m.weights)
+                scores = token_scores(data, starts, ends, m)
                 for i, k in enumerate(range(rows.start, rows.stop)):
-                    found = passages(scores[at[i] : at[i + 1]], m)
-                    x[k] = statistic(found)
+                    n = int(at[i + 1] - at[i])
+                    found = found_in(scores[at[i] : at[i + 1]])
+                    x[k] = math.log1p(evidence([s for *_, s in found], n, m.lam, m.k))
                     if spans:
-                        where.append([{"start": int(starts[at[i] + a] - offsets[i]), "end": int(ends[at[i] + b] - offsets[i]), "tokens": b - a + 1, "score": s, "p": -math.expm1(-math.exp(-e))} for a, b, s, e in found])
-            out = 1 / (1 + np.exp(-(m.coef[0] + m.coef[1] * x))) if 0 < m.share < 1 else np.full(len(x), m.share)
+                        odds = [(a, b, s, -math.expm1(-m.k * n * math.exp(-m.lam * s))) for a, b, s in found]
+                        where.append([{"start": int(starts[at[i] + a] - offsets[i]), "end": int(ends[at[i] + b] - offsets[i]), "tokens": b - a + 1, "score": s, "p": p} for a, b, s, p in odds if p <= m.p_max])
+            out = 1 / (1 + np.exp(-(m.coef[0] + m.coef[1] * x))) if m.coef else np.full(len(x), m.share)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(out), *([pa.array(where, kind)] if spans else [])], [*(f"c{i}" for i in kept), *more])
 
     ddl = ", ".join([types[i] for i in kept] + ["toxicity double"] + ["passages array<struct<start:int,end:int,tokens:int,score:double,p:double>>"] * spans)
