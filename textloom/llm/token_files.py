@@ -8,7 +8,8 @@ A shard (`.tlz`) holds the documents of one range of ids. Layout, integers littl
 3. a skippable frame 0x184D2A5E: the seek table of zstandard's seekable format: for each data frame compressed size, size and checksum (the low 32
    bits of XXH64 of the content), then number of frames, flags (0x80: checksums) and magic 0x8F92EAB1.
 
-A reader takes the tables from the tail and decompresses only the frames of the documents asked for; a wrong checksum raises.
+A reader takes the tables from the tail and decompresses only the frames of the documents asked for; a wrong checksum raises. `read_documents` does so for a DataFrame of ids.
+Frames are written as they fill up, so a writer holds one frame, and of each document its index entry. The number of shards follows the bytes of text.
 
 Cases. A null text is an empty one, which has only the end id. Null ids come first, repeated ids and rows stay, each as a document.
 An empty table gives no shard and no row. Special tokens' strings in a text are encoded as the tokenizers library does by default.
@@ -16,12 +17,15 @@ An empty table gives no shard and no row. Special tokens' strings in a text are
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +54,23 @@ LETTER = "a-z\u00df-\u00f6\u00f8-\u017e"
 PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^ \\t\\n\\v\\f\\r0-9{LETTER}]+")
 
 
+#: What a tokenizer file says if it splits lower-case PLAIN texts into PIECES, each encoded by itself, and drops the white space between them.
+KNOWN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+KNOWN_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def splits_as_known(described: dict) -> bool:
+    """Whether a tokenizer (its JSON) is one for which the table of pieces holds."""
+    split = (described.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+    bytes_only = all(x["type"] == "ByteLevel" and not x["use_regex"] and not x["add_prefix_space"] for x in split[1:])
+    marked = all(x["content"].startswith("<|") and not x["normalized"] for x in described.get("added_tokens", []))
+    return described.get("normalizer") == KNOWN_NORMALIZER and split[0] == KNOWN_SPLIT and bytes_only and marked
+
+
 class Encoder:
-    """Ids of texts, by way of a table of pieces. The tokenizer encodes each piece of its split pattern by itself and drops white space, so that a text's ids are those of
-    its pieces, one after another; new pieces go to the tokenizer together. Texts with other characters than PLAIN, or that may hold the string of a special token,
-    are encoded whole. The table is emptied when it holds `most` pieces."""
+    """Ids of texts. If the tokenizer's file says that it splits as known, by way of a table of pieces: it then encodes each piece of its split pattern by itself and drops white space, so that
+    a text's ids are those of its pieces, one after another; new pieces go to the tokenizer together. Texts with other characters than PLAIN, or that may hold the string of a special
+    token, are encoded whole, and so is every text by any other tokenizer. The table is emptied when it holds `most` pieces."""
 
     def __init__(self, path: str, most: int = 500_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,6 +78,7 @@ class Encoder:
 
         self.tok, self.most, self.longest = Tokenizer.from_file(path), most, longest
         self.dtype = np.dtype("<u4" if self.tok.get_vocab_size() > 1 << 16 else "<u2")
+        self.pieces = splits_as_known(json.loads(self.tok.to_str()))
         self.known: dict[str, bytes] = {}
 
     def learn(self, new: list[str]) -> dict[str, bytes]:
@@ -75,7 +93,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for text in texts:
-            if "<|" in text or not PLAIN.fullmatch(text):
+            if not self.pieces or "<|" in text or not PLAIN.fullmatch(text):
                 out.append(np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes())
                 continue
             pieces = PIECES.findall(text.lower())
@@ -99,33 +117,34 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def shard_bytes(docs: Iterable[tuple[int | None, bytes]], width: int, frame_bytes: int = 1 << 18, level: int = 1) -> list[bytes]:
-    """The parts of a shard; docs: (doc_id, ids as bytes of `width` each) in order."""
+def shard_bytes(docs: Iterable[tuple[int | None, bytes]], width: int, frame_bytes: int = 1 << 18, level: int = 1) -> Iterator[bytes]:
+    """The parts of a shard, frame by frame; docs: (doc_id, ids as bytes of `width` each) in order."""
     pack = zstandard.ZstdCompressor(level=level, write_checksum=False)
-    parts, table, index, frame, held = [], [], [], [], 0
-
-    def close() -> None:
-        nonlocal held
-        if frame:
-            raw = b"".join(frame)
-            parts.append(pack.compress(raw))
-            table.append(struct.pack("<III", len(parts[-1]), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
-            frame.clear()
-            held = 0
+    table, frame, held = [], [], 0
+    index = [array(kind) for kind in "qBIQQ"]
+
+    def closed() -> bytes:
+        raw = b"".join(frame)
+        frame.clear()
+        packed = pack.compress(raw)
+        table.append(struct.pack("<III", len(packed), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
+        return packed
 
     for doc_id, ids in docs:
         if held and held + len(ids) > frame_bytes:
-            close()
-        index.append((doc_id or 0, doc_id is None, len(table), held // width, len(ids) // width))
+            yield closed()
+            held = 0
+        for column, value in zip(index, (doc_id or 0, doc_id is None, len(table), held // width, len(ids) // width), strict=True):
+            column.append(value)
         frame.append(ids)
         held += len(ids)
-    close()
-    columns = [np.array(c, t).tobytes() for c, t in zip(zip(*index, strict=True), ("<i8", "u1", "<u4", "<u8", "<u8"), strict=True)] if index else []
-    body = struct.pack("<II", width, len(index)) + zstandard.ZstdCompressor(level=3).compress(b"".join(columns))
-    parts.append(struct.pack("<II", INDEX_MAGIC, len(body)) + body)
+    if frame:
+        yield closed()
+    columns = b"".join(np.array(c, t).tobytes() for c, t in zip(index, ("<i8", "u1", "<u4", "<u8", "<u8"), strict=True))
+    body = struct.pack("<II", width, len(index[0])) + zstandard.ZstdCompressor(level=3).compress(columns)
+    yield struct.pack("<II", INDEX_MAGIC, len(body)) + body
     seek = b"".join(table) + struct.pack("<IBI", len(table), 0x80, SEEKABLE)
-    parts.append(struct.pack("<II", SEEK_MAGIC, len(seek)) + seek)
-    return parts
+    yield struct.pack("<II", SEEK_MAGIC, len(seek)) + seek
 
 
 class Shard:
@@ -169,12 +188,11 @@ class Shard:
         return np.frombuffer(self.frame_bytes(int(self.frame[i])), f"<u{self.width}")[a : a + n]
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, shards: int | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, shards: int | None = None, shard_bytes_of_text: int = 1 << 24) -> DataFrame:
     """Encodes docs (doc_id, text), writes a shard for each range of ids, in ascending order, and returns (shard, path, docs, tokens, base), base being
-    the number of ids in all shards before. There is one row a shard, so the running sum over them is small."""
-    spark = docs.sparkSession
-    folder = work_path(spark, "token-shards")
-    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    the number of ids in all shards before. There is one row a shard, so the running sum over them is small. Without `shards` there is one for each shard_bytes_of_text."""
+    folder = work_path(docs.sparkSession, "token-shards")
+    n = shards or 1 + int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes_of_text
 
     def write(batches: Iterator[pa.RecordBatch]):
         enc, tokens, count = encoder(tokenizer), 0, 0
@@ -190,32 +208,54 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, shards: int |
                         count += 1
                         yield doc_id, ids + end
 
-        parts = shard_bytes(encoded(), enc.dtype.itemsize)
-        if count:
-            k = TaskContext.get().partitionId()
-            path = f"{folder}/shard-{k:06d}-{TaskContext.get().taskAttemptId()}.tlz"
-            write_once(path, parts)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "path": [path], "docs": [count], "tokens": [tokens]})
+        rows = encoded()
+        if (first := next(rows, None)) is None:
+            return
+        k = TaskContext.get().partitionId()
+        path = f"{folder}/shard-{k:06d}-{TaskContext.get().taskAttemptId()}.tlz"
+        write_once(path, shard_bytes(chain([first], rows), enc.dtype.itemsize))
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "path": [path], "docs": [count], "tokens": [tokens]})
 
     done = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     done = written(done.mapInArrow(write, "shard int, path string, docs long, tokens long"), "token-index")
     return done.selectExpr("*", "coalesce(sum(tokens) over (order by shard rows between unbounded preceding and 1 preceding), 0) as base")
 
 
+def spread_by_path(rows: DataFrame) -> DataFrame:
+    return rows.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "path")
+
+
 def read_shards(index: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
-    rows = index.select("path", "base").repartition(max(1, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "path")
+    """(doc_id, start, n_tokens, ids_crc32, path, place) of every document, from the files; path and place are where read_documents finds it."""
 
     def read(batches):
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 s = Shard(path)
-                crc = [zlib.crc32(s.ids(i).astype("<u4").tobytes()) for i in range(len(s.doc_id))]
+                n = len(s.doc_id)
+                crc = [zlib.crc32(s.ids(i).astype("<u4").tobytes()) for i in range(n)]
                 start = base + np.concatenate([[0], np.cumsum(s.tokens.astype(np.int64))[:-1]])
                 ids = pa.array(s.doc_id.astype(np.int64), mask=s.null.astype(bool))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(start, pa.int64()), pa.array(s.tokens.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(start, pa.int64()), pa.array(s.tokens.astype(np.int64)), pa.array(crc, pa.int64()), pa.array([path] * n), pa.array(range(n), pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32", "path", "place"])
+
+    return spread_by_path(index.select("path", "base")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, path string, place long")
+
+
+def read_documents(catalog: DataFrame, wanted: DataFrame) -> DataFrame:
+    """catalog: doc_id, path, place (of read_shards, written once); wanted: doc_id -> doc_id, ids of the wanted documents. Only the frames that hold them are read."""
+
+    def read(batches):
+        open_ = ("", None)
+        for batch in batches:
+            out = []
+            for path, place in zip(batch.column("path").to_pylist(), batch.column("place").to_pylist(), strict=True):
+                if open_[0] != path:
+                    open_ = (path, Shard(path))
+                out.append(open_[1].ids(place).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return rows.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = catalog.select("doc_id", "path", "place").join(wanted.select("doc_id").distinct(), "doc_id")
+    return spread_by_path(rows).sortWithinPartitions("path", "place").mapInArrow(read, "doc_id long, ids array<int>")
 
 
 def write_and_read(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -223,4 +263,4 @@ def write_and_read(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return write_and_read(load(spark, sf_dir, "documents"))
+    return write_and_read(load(spark, sf_dir, "documents")).drop("path", "place")
