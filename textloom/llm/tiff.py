@@ -1,17 +1,20 @@
 """TIFF: image directories, strips and tiles, PackBits, LZW and deflate, predictors; one row per page.
 
 Baseline and common extensions of classic (32-bit) TIFF, both byte orders: compressions 1 (none), 5 (LZW), 8 and 32946 (deflate), 32773 (PackBits);
-predictors 1 and 2 (horizontal differences); 8- and 16-bit samples, chunky planar configuration; strips and tiles. Anything else raises ValueError for
-the page, which `tiff_pages` reports in the column `error` instead of failing the job. A directory that comes again ends the walk.
+predictors 1, 2 (horizontal differences) and 3 (differences of the bytes of floating-point samples, most significant first); samples of 1, 2, 4, 8, 16 and 32 bits, 32 bits also as
+floating point; chunky and planar configuration; strips and tiles. Samples of less than 8 bits are given a byte each. Anything else, missing strips, or a page of more than `MOST` bytes raises
+ValueError for the page before memory is taken, which `tiff_pages` reports in the column `error` instead of failing the job. A directory that comes again ends the walk.
 
 Query op3. A text's payload (UTF-8, null as empty, then bytes 255 up to a positive multiple of 576) becomes grey pages of 576 samples by up to
-1024 rows, deflate strips with horizontal differences; the stored bytes are walked again and features are taken from the decoded pages. Repeated rows
-and null ids get a row each; the result depends on the text alone.
+1024 rows. A page's layout follows from the sum of its bytes: one of PackBits strips, LZW tiles, deflate strips and deflate tiles, with predictor 1 or 2 and either byte order (LZW, whose coder is
+no C library, for one page in 32). The stored bytes are walked again and features are taken from the decoded pages. Repeated rows
+and null ids get a row each; the result depends on the text alone. A very long text has as many pages as it needs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,9 +30,12 @@ from .common import chunks, load, numbered_columns
 #: Fixed values of the format: tags, and bytes of each field type.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, STRIP_BYTES, PLANAR, PREDICTOR, TILE_W, TILE_H, TILES, TILE_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
+FORMAT = 339
 SIDE = 576
+#: Bytes that a decoded page may have.
+MOST = 1 << 30
 #: What broken data raise.
-ERRORS = (ValueError, struct.error, zlib.error, IndexError, TypeError, ZeroDivisionError)
+ERRORS = (ValueError, struct.error, zlib.error, IndexError, TypeError, ZeroDivisionError, OverflowError, MemoryError)
 
 
 @dataclass
@@ -38,6 +44,7 @@ class Page:
     samples: np.ndarray  # height x width x samples
     compression: int
     predictor: int
+    bits: int = 8
 
 
 def unpack_bits(data: bytes, size: int) -> bytes:
@@ -55,22 +62,24 @@ def unpack_bits(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+#: A byte that comes three times or more.
+RUN = re.compile(rb"(?s)(.)\1{2,127}")
+
+
 def pack_bits(data: bytes) -> bytes:
     out, at = bytearray(), 0
-    while at < len(data):
-        run = 1
-        while run < 128 and at + run < len(data) and data[at + run] == data[at]:
-            run += 1
-        if run > 2:
-            out += bytes((257 - run, data[at]))
-            at += run
-            continue
-        to = at + run
-        while to < len(data) and to - at < 128 and not (data[to : to + 1] * 3 == data[to : to + 3]):
-            to += 1
-        to = min(to, at + 128)
-        out += bytes((to - at - 1,)) + data[at:to]
-        at = to
+
+    def plain(to: int) -> None:
+        for k in range(at, to, 128):
+            part = data[k : min(k + 128, to)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for m in RUN.finditer(data):
+        plain(m.start())
+        out.extend((257 - (m.end() - m.start()), data[m.start()]))
+        at = m.end()
+    plain(len(data))
     return bytes(out)
 
 
@@ -194,50 +203,83 @@ def walked(data: bytes) -> Iterator[Page | Exception]:
         at = following
 
 
+def samples_of(raw: bytes, tall: int, wide: int, per: int, bits: int, kind: np.dtype, predictor: int) -> np.ndarray:
+    """tall x wide x per samples of one strip or tile; a row of samples of less than 8 bits ends on a whole byte."""
+    if bits < 8:
+        row = -(-wide * per * bits // 8)
+        each = np.unpackbits(np.frombuffer(raw, np.uint8, tall * row).reshape(tall, row), axis=1)[:, : wide * per * bits]
+        return (each.reshape(tall, wide, per, bits) * (1 << np.arange(bits - 1, -1, -1))).sum(3).astype(np.uint8)
+    if predictor == 3:
+        lanes = np.frombuffer(raw, np.uint8, tall * wide * per * kind.itemsize).reshape(tall, -1, per)
+        planes = np.cumsum(lanes, axis=1, dtype=np.uint8).reshape(tall, kind.itemsize, wide * per)
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(tall, wide, per)
+    block = np.frombuffer(raw, kind, tall * wide * per).reshape(tall, wide, per)
+    return np.cumsum(block, axis=1, dtype=kind.newbyteorder("=")) if predictor == 2 else block
+
+
 def page_at(data: bytes, at: int, order: str, index: int) -> Page:
     tags, _ = fields_of(data, at, order)
     one = lambda tag, default: tags.get(tag, [default])[0]
-    width, height, deep, per, comp, pred = one(WIDTH, 0), one(HEIGHT, 0), one(BITS, 1), one(SAMPLES, 1), one(COMPRESSION, 1), one(PREDICTOR, 1)
-    if deep not in (8, 16) or (per > 1 and one(PLANAR, 1) != 1) or pred not in (1, 2):
-        raise ValueError(f"{deep} bits, planar configuration {one(PLANAR, 1)}, predictor {pred}")
-    kind = np.dtype(f"{order}u{deep // 8}")
+    width, height, bits, per, comp, pred = one(WIDTH, 0), one(HEIGHT, 0), one(BITS, 1), one(SAMPLES, 1), one(COMPRESSION, 1), one(PREDICTOR, 1)
+    planar, real = per > 1 and one(PLANAR, 1) == 2, one(FORMAT, 1) == 3
+    if bits not in (1, 2, 4, 8, 16, 32) or len(set(tags.get(BITS, [1]))) > 1 or pred not in (1, 2, 3) or pred == 2 and (bits < 8 or real) or pred == 3 and not (real and bits == 32) or real and bits != 32:
+        raise ValueError(f"{tags.get(BITS)} bits, format {one(FORMAT, 1)}, predictor {pred}")
+    kind = np.dtype(f"{order}{'f4' if real else f'u{max(1, bits // 8)}'}")
+    if not width or not height or not per or width * height * per * kind.itemsize > MOST:
+        raise ValueError(f"a page of {width} x {height} x {per} samples")
+    tiled, each = TILES in tags, 1 if planar else per
+    w, h = (one(TILE_W, 0), one(TILE_H, 0)) if tiled else (width, min(one(ROWS, height), height))
+    if not w or not h or w * h * per * kind.itemsize > MOST:
+        raise ValueError(f"strips or tiles of {w} x {h}")
+    across, down = -(-width // w), -(-height // h)
+    starts, sizes = tags.get(TILES if tiled else STRIPS, []), tags.get(TILE_BYTES if tiled else STRIP_BYTES, [])
+    if not len(starts) == len(sizes) == across * down * (per // each):
+        raise ValueError(f"{len(starts)} strips or tiles of {across * down * (per // each)}")
+    if any(start + size > len(data) for start, size in zip(starts, sizes, strict=True)):
+        raise ValueError("a strip or tile beyond the end")
     out = np.zeros((height, width, per), kind.newbyteorder("="))
-    tiled = TILES in tags
-    w, h = (one(TILE_W, width), one(TILE_H, height)) if tiled else (width, min(one(ROWS, height), height))
-    across = -(-width // w) if width else 0
-    for k, (start, size) in enumerate(zip(tags.get(TILES if tiled else STRIPS, []), tags.get(TILE_BYTES if tiled else STRIP_BYTES, []), strict=True)):
-        y, x = k // across * h, k % across * w
+    for k, (start, size) in enumerate(zip(starts, sizes, strict=True)):
+        plane, place = divmod(k, across * down)
+        y, x = place // across * h, place % across * w
         tall = h if tiled else min(h, height - y)
-        raw = expand(data[start : start + size], comp, tall * w * per * kind.itemsize)
-        block = np.frombuffer(raw, kind, tall * w * per).reshape(tall, w, per).astype(out.dtype)
-        if pred == 2:
-            block = np.cumsum(block, axis=1, dtype=out.dtype)
-        out[y : y + tall, x : x + w] = block[: height - y, : width - x]
-    return Page(index, out, comp, pred)
+        raw = expand(data[start : start + size], comp, tall * -(-w * each * bits // 8))
+        block = samples_of(raw, tall, w, each, bits, kind, pred)
+        out[y : y + tall, x : x + w, plane : plane + each] = block[: height - y, : width - x]
+    return Page(index, out, comp, pred, bits)
 
 
-def build(images: list[np.ndarray], compression: int = 8, predictor: int = 2, rows: int = 128, order: str = "<", tile: tuple[int, int] | None = None) -> bytes:
-    """A TIFF of grey or chunky images (height x width [x samples], 8 or 16 bits)."""
+@dataclass
+class Layout:
+    """How a page is stored; rows: of a strip; tile: (width, height), each a multiple of 16."""
+
+    compression: int = 8
+    predictor: int = 2
+    rows: int = 128
+    tile: tuple[int, int] | None = None
+
+
+def build(images: list[np.ndarray], compression: int = 8, predictor: int = 2, rows: int = 128, order: str = "<", tile: tuple[int, int] | None = None, layouts: list[Layout] | None = None) -> bytes:
+    """A TIFF of grey or chunky images (height x width [x samples], 8 or 16 bits); with layouts, one for each image instead of the one given."""
     out = bytearray((b"II*\0" if order == "<" else b"MM\0*") + b"\0\0\0\0")
     link = 4
-    pack = {1: bytes, 5: pack_lzw, 8: lambda b: zlib.compress(b, 1), 32773: pack_bits}[compression]
-    for image in images:
+    packers = {1: bytes, 5: pack_lzw, 8: lambda b: zlib.compress(b, 1), 32773: pack_bits}
+    for image, layout in zip(images, layouts or [Layout(compression, predictor, rows, tile)] * len(images), strict=True):
         image = image[:, :, None] if image.ndim == 2 else image
         height, width, per = image.shape
-        w, h = tile or (width, rows)
+        w, h = layout.tile or (width, layout.rows)
         starts, sizes = [], []
         for y in range(0, height, h):
             for x in range(0, width, w):
                 block = image[y : y + h, x : x + w]
-                if tile:
+                if layout.tile:
                     block = np.pad(block, ((0, h - block.shape[0]), (0, w - block.shape[1]), (0, 0)))
-                if predictor == 2:
+                if layout.predictor == 2:
                     block = np.concatenate([block[:, :1], block[:, 1:] - block[:, :-1]], axis=1)
                 starts.append(len(out))
-                out += pack(np.ascontiguousarray(block, block.dtype.newbyteorder(order)).tobytes())
+                out += packers[layout.compression](np.ascontiguousarray(block, block.dtype.newbyteorder(order)).tobytes())
                 sizes.append(len(out) - starts[-1])
-        tags = {WIDTH: [width], HEIGHT: [height], BITS: [8 * image.itemsize] * per, COMPRESSION: [compression], PHOTOMETRIC: [1 if per == 1 else 2], SAMPLES: [per], PLANAR: [1], PREDICTOR: [predictor]}
-        tags |= {TILE_W: [w], TILE_H: [h], TILES: starts, TILE_BYTES: sizes} if tile else {STRIPS: starts, ROWS: [h], STRIP_BYTES: sizes}
+        tags = {WIDTH: [width], HEIGHT: [height], BITS: [8 * image.itemsize] * per, COMPRESSION: [layout.compression], PHOTOMETRIC: [1 if per == 1 else 2], SAMPLES: [per], PLANAR: [1], PREDICTOR: [layout.predictor]}
+        tags |= {TILE_W: [w], TILE_H: [h], TILES: starts, TILE_BYTES: sizes} if layout.tile else {STRIPS: starts, ROWS: [h], STRIP_BYTES: sizes}
         entries = b""
         for tag, values in sorted(tags.items()):
             raw = struct.pack(f"{order}{len(values)}I", *values)
@@ -273,7 +315,7 @@ def tiff_pages(df: DataFrame, column: str = "media") -> DataFrame:
                         if isinstance(p, Exception):
                             found.append((len(found), *[None] * 7, str(p) or type(p).__name__))
                             continue
-                        found.append((p.index, p.samples.shape[1], p.samples.shape[0], p.samples.shape[2], 8 * p.samples.itemsize, p.compression, p.predictor, p.samples.tobytes(), None))
+                        found.append((p.index, p.samples.shape[1], p.samples.shape[0], p.samples.shape[2], p.bits, p.compression, p.predictor, p.samples.tobytes(), None))
                 except ERRORS as e:
                     found.append((len(found), *[None] * 7, str(e) or type(e).__name__))
                 if found:
@@ -288,9 +330,17 @@ def payload_of(text: bytes, unit: int = SIDE) -> bytes:
     return text + b"\xff" * (-len(text) % unit if text else unit)
 
 
+def layout_of(page: bytes) -> Layout:
+    h = zlib.crc32(page)
+    if h % 32 == 0:
+        return Layout(5, 1 + (h >> 5) % 2, tile=(192, 64))
+    return (Layout(32773, 1), Layout(32773, 2, 32), Layout(8, 1), Layout(8, 2), Layout(8, 2, tile=(144, 128)))[(h >> 5) % 5]
+
+
 def encode(payload: bytes, rows: int = 1024) -> bytes:
     grid = np.frombuffer(payload, np.uint8).reshape(-1, SIDE)
-    return build([grid[y : y + rows] for y in range(0, len(grid), rows)])
+    images = [grid[y : y + rows] for y in range(0, len(grid), rows)]
+    return build(images, order="<>"[zlib.crc32(payload) >> 31], layouts=[layout_of(x.tobytes()) for x in images])
 
 
 def features(found: list[Page]) -> str:
