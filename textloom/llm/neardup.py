@@ -7,10 +7,10 @@ allowed errors of a chunk are enumerated by leaving out each of its symbols in t
 0.8 differ in 10 symbols on average; the chance that none of the 50 keys is shared is 0.263^10, under 2 in a million, and falls fast above.
 
 Links. Equal sets are one class from the start. A bucket (the classes of a key) is never paired off as a whole: first each class meets the bucket's least
-and most central ones, candidates within FAR symbols are confirmed on full sets, and components are formed. What is left are buckets of several components. Their classes
-are sifted by a bound that holds for every link: with 5 * intersection >= 4 * union two sets share one of their rarest fifth of shingles. So each open class lists that
+and most central ones, candidates within FAR symbols are confirmed on full sets, and components are formed. What is left are buckets, of whatever size, that hold several components.
+Their classes are sifted by a bound that holds for every link: with 5 * intersection >= 4 * union two sets share one of their rarest fifth of shingles. So each open class lists that
 fifth by how many open classes have them, and classes of different components that share one are confirmed on full sets. No link between components is lost by this, and
-pairs inside one component cannot change it. All joins are equi-joins that adaptive execution splits when a key is hot.
+pairs inside one component cannot change it. A bucket of more than SALT classes is dealt out in pieces of about that many wherever its rows would come together.
 
 Cases. Null, empty and wordless texts have no shingle, no link, and are components of their own. Repeated rows get a row each. A null doc_id cannot name a
 component: such a row has component_id null and kept true and takes no part in links. Rows of one doc_id with different texts are judged each on its own text.
@@ -34,6 +34,8 @@ CHUNKS = SYMBOLS // CHUNK
 LONGS = -(-SYMBOLS // 4)
 #: Symbols that may differ in a candidate: five deviations beyond similarity 0.8.
 FAR = 24
+#: Classes of a bucket that one piece of it holds.
+SALT = 256
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
@@ -170,6 +172,16 @@ def components(links: DataFrame) -> DataFrame:
         label = written(step.drop("moved").join(jump, "component").select("id", F.col("c").alias("component")), "dup-labels")
 
 
+def salted(members: DataFrame) -> DataFrame:
+    """members (id, n: classes of its bucket) with the piece of its bucket that a row belongs to."""
+    return members.withColumn("piece", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / SALT)).cast("int"))
+
+
+def for_pieces(buckets: DataFrame) -> DataFrame:
+    """A row for each piece of buckets (n)."""
+    return buckets.withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / SALT).cast("int") - 1))).drop("n")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs: doc_id (bigint), text -> doc_id, n_shingles, component_id, kept; a row per row of docs."""
     rows = written(signed(docs), "dup-signatures")
@@ -177,20 +189,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = written(classes, "dup-classes")
     keyed = classes.select("id", F.explode(keys_of()).alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    members = written(keyed.join(written(buckets, "dup-buckets"), "key"), "dup-members")  # the classes of buckets with more than one
+    members = written(salted(keyed.join(written(buckets, "dup-buckets"), "key")), "dup-members")  # the classes of buckets with more than one
     sets = written(sets_of(docs, members.select("id").distinct()), "dup-sets")  # every later step needs sets of members alone: texts are shuffled once
     # a bucket has two stars: its least class, and of the others the most central one, whose own buckets hold the most classes (of copies of one text the text itself)
     central = members.groupBy("id").agg(F.sum("n").alias("weight"))
-    heads = members.where("id > first").select("key", "id").join(central, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("m"))).alias("h")).select("key", (-F.col("h.m")).alias("head"))
-    stars = members.join(written(heads, "dup-heads"), "key").select("id", F.explode(F.array("first", "head")).alias("b")).where("id <> b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+    heads = members.where("id > first").join(central, "id").groupBy("key").agg(F.max("n").alias("n"), F.max(F.struct("weight", (-F.col("id")).alias("m"))).alias("h")).select("key", "n", (-F.col("h.m")).alias("head"))
+    stars = members.join(for_pieces(written(heads, "dup-heads")), ["key", "piece"]).select("id", F.explode(F.array("first", "head")).alias("b")).where("id <> b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
     sig = lambda side: classes.select(F.col("id").alias(side), F.col("n").alias(side + "n"), *[F.col(s).alias(side + s) for s in SIG])
     stars = stars.join(sig("b"), "b").join(sig("a"), "a").where((5 * F.least("an", "bn") >= 4 * F.greatest("an", "bn")) & (distance("a", "b") <= FAR)).select("a", "b")
     links = confirmed(stars, sets)
     label = components(links)
-    # what the stars leave: buckets of several components; up to three classes have all met each other as stars
-    placed = members.where("n > 3").select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    open_ = written(placed.join(mixed, "key").select("id", "component").distinct(), "dup-open")
+    # what the stars leave: buckets of several components
+    placed = members.select("key", "piece", "n", "id").join(label, "id", "left").select("key", "piece", "n", "id", F.coalesce("component", "id").alias("component"))
+    placed = written(placed, "dup-placed")
+    mixed = placed.groupBy("key").agg(F.max("n").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key", "n")
+    open_ = written(placed.join(for_pieces(written(mixed, "dup-mixed")), ["key", "piece"]).select("id", "component").distinct(), "dup-open")
     more = confirmed(sharing_rare(sets, open_), sets)
     if more.limit(1).count():
         label = components(links.union(more))
@@ -208,3 +221,16 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, g FROM (SELECT r, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+both AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+link AS (SELECT a, b FROM both JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT r AS a, r AS b FROM n UNION SELECT reach.a, edge.b FROM reach JOIN edge ON edge.a = reach.b),
+c AS (SELECT reach.a AS r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY reach.a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r)
+"""
