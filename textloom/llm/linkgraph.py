@@ -99,3 +99,42 @@ def judged(pages: DataFrame, rules=RULES, threshold: float = 1.0) -> DataFrame:
 
 def op6_linkgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(load(spark, sf_dir, "pages"))
+
+
+def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A graph of hosts with links, which the pages lack: customers link to the suppliers they bought from, once for each line, and suppliers to the customers of their nation whose key ends
+    with the same two digits. Seeds: the customers of one market segment whose key ends with 7."""
+    orders, lines = (load(spark, sf_dir, t) for t in ("orders", "lineitem"))
+    customer, supplier = (load(spark, sf_dir, t) for t in ("customer", "supplier"))
+    c, s = F.concat(F.lit("c"), F.col("c_custkey"), F.lit(".example")), F.concat(F.lit("s"), F.col("s_suppkey"), F.lit(".example"))
+    bought = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).groupBy(F.concat(F.lit("c"), "o_custkey", F.lit(".example")).alias("src"), F.concat(F.lit("s"), "l_suppkey", F.lit(".example")).alias("dst"))
+    near = supplier.join(customer, (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("s_suppkey") % 100 == F.col("c_custkey") % 100)).select(s.alias("src"), c.alias("dst"), F.lit(2.0).alias("weight"))
+    chosen = customer.where("c_mktsegment = 'BUILDING' and c_custkey % 10 = 7").select(c.alias("host"))
+    seeds = chosen.withColumn("seed", F.lit(1.0 / max(chosen.count(), 1)))
+    return bought.agg(F.count("*").cast("double").alias("weight")).unionByName(near), seeds
+
+
+def trust_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranks of eight rounds over trade_graph along its links and against them."""
+    edges, seeds = trade_graph(spark, sf_dir)
+    edges = written(edges, "trade-edges")
+    along = personalised_rank(edges, seeds, rounds=8).select("host", F.round("rank", 9).alias("trust"))
+    against = personalised_rank(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), seeds, rounds=8).select("host", F.round("rank", 9).alias("distrust"))
+    return along.join(against, "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+
+
+def rounds_sql(edges: str, name: str, rounds: int = 8) -> str:
+    """The rounds one by one: m0 the seeds, each next one what the last passes on; a host's rank is the sum over the rounds it was reached in, as a share of all."""
+    tables = [f"{name}p AS (SELECT src, dst, 0.85::DOUBLE * weight / sum(weight) OVER (PARTITION BY src) AS part FROM {edges})", f"{name}0 AS (SELECT host, 1.0::DOUBLE / count(*) OVER () AS m FROM seeds)"]
+    tables += [f"{name}{k} AS (SELECT dst AS host, sum(m * part) AS m FROM {name}{k - 1} JOIN {name}p ON src = host GROUP BY dst)" for k in range(1, rounds + 1)]
+    every = " UNION ALL ".join(f"SELECT * FROM {name}{k}" for k in range(rounds + 1))
+    return ", ".join([*tables, f"{name} AS (SELECT host, round(sum(m) / (SELECT sum(m) FROM ({every})), 9) AS rank FROM ({every}) GROUP BY host)"])
+
+
+TRUST_SQL = f"""
+WITH e AS (SELECT 'c' || o_custkey || '.example' AS src, 's' || l_suppkey || '.example' AS dst, count(*)::DOUBLE AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2
+UNION ALL SELECT 's' || s_suppkey || '.example', 'c' || c_custkey || '.example', 2.0::DOUBLE FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_suppkey % 100 = c_custkey % 100),
+r AS (SELECT dst AS src, src AS dst, weight FROM e), seeds AS (SELECT 'c' || c_custkey || '.example' AS host FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey % 10 = 7),
+{rounds_sql("e", "t")}, {rounds_sql("r", "d")}
+SELECT host, coalesce(t.rank, 0) AS trust, coalesce(d.rank, 0) AS distrust FROM t FULL JOIN d USING (host)
+"""
