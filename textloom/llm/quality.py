@@ -1,14 +1,17 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-Terms of a text: pairs of neighbouring character classes (each ASCII punctuation mark is a class of its own), word lengths, and how often
+Terms of a text: its words, hashed to WORDS cells; pairs of neighbouring character classes (each ASCII punctuation mark is a class of its own), word lengths, and how often
 words come again (the word before, any word, any pair of words). From at most `max_train` labelled documents (those with the smallest
 hash of their id) come the terms' weights and the leading singular directions of the weighted term-document matrix. The labelled documents' vectors
 are broadcast: max_train * dims float32, so max_train bounds the broadcast (6000 * 32 * 4 bytes = 0.8 MB). Every document is
 compared with all of them by exact cosine, in blocks; its `k` nearest vote with weight max(cos, 0) ** sharp.
 
+Ties. The labelled documents stand in the order of their ids' hashes, then ids; of equal cosines at rank k the first ones vote.
+
 Cases. Null and empty texts have the zero vector, whose cosines are 0, and get the share of label 1 among the training rows. Repeated
 rows get a row each. A null doc_id is never trained on and counts as not held out. Repeated labels of an id count as their largest, null
-labels don't count. Without any label every score is 0.5. Equal cosines at rank k are taken in the order of training (hash of the id).
+labels don't count. A repeated id has one text in training, the least one. Without any label every score is 0.5.
+Very long texts are measured whole.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ _marks = [b for b in range(33, 127) if not chr(b).isalnum()]
 CLASSES[_marks] = 7 + np.arange(len(_marks))
 N_CLASSES = 7 + len(_marks)
 LENGTHS, LEVELS = 24, 20
-#: class pairs, word lengths, three groups of repetition levels, levels of size
-DIMS = N_CLASSES**2 + LENGTHS + 4 * LEVELS
+#: Cells of hashed words, and their weight beside the other terms.
+WORDS, WORD_WEIGHT = 1024, 0.5
+#: class pairs, word lengths, three groups of repetition levels, levels of size, words
+DIMS = N_CLASSES**2 + LENGTHS + 4 * LEVELS + WORDS
 
 
 @dataclass
@@ -75,6 +80,8 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             out[np.arange(n), base + level] = np.where(words > 0, 0.7, 0)
             base += LEVELS
         out[np.arange(n), base + np.minimum(np.log2(np.maximum(words, 1)).astype(int), LEVELS - 1)] = np.where(words > 0, 0.2, 0)
+        cells = np.bincount(of * WORDS + (h >> np.uint64(54)).astype(np.int64), minlength=n * WORDS).reshape(n, -1)
+        out[:, base + LEVELS :] = WORD_WEIGHT * np.sqrt(cells / np.maximum(words, 1)[:, None])
     return out
 
 
@@ -93,15 +100,16 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = 6000, dims: int = 32, k: int = 15, sharp: float = 4.0) -> Model:
     ids = training_labels(labels, "quality", crc_mod("doc_id", 3) == 1, max_train)
-    train = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # max_train rows at most
+    train = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # max_train rows at most
+    train = train.withColumn("place", F.xxhash64("doc_id"))
 
     def measure(batches):
         for batch in batches:
             for rows, data, offsets in chunks(batch, "text"):
                 x = terms(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[rows].cast(pa.int64()), batch.column("y")[rows].cast(pa.int32()), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["doc_id", "y", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column("place")[rows], batch.column("doc_id")[rows].cast(pa.int64()), batch.column("y")[rows].cast(pa.int32()), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["place", "doc_id", "y", "x"])
 
-    seen = train.mapInArrow(measure, "doc_id long, y int, x binary").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    seen = train.mapInArrow(measure, "place long, doc_id long, y int, x binary").toPandas().sort_values(["place", "doc_id"])
     if not len(seen):
         return Model(np.ones(DIMS, np.float32), np.zeros((DIMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), k, sharp)
     x = np.frombuffer(b"".join(seen["x"]), np.float16).reshape(len(seen), DIMS).astype(np.float32)
@@ -113,6 +121,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 6000, dims: int = 3
     return Model(idf, axes, unit(x @ axes).astype(np.float32), (seen["y"].to_numpy() > 0).astype(np.float64), k, sharp)
 
 
+def nearest(cos: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k largest of each row in ascending order; of equal ones at the edge the first."""
+    edge = -np.partition(-cos, k - 1, axis=1)[:, k - 1 : k]
+    above, equal = cos > edge, cos == edge
+    taken = above | equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= k - above.sum(1, keepdims=True))
+    return np.nonzero(taken)[1].reshape(len(cos), k)
+
+
 def vote(x: np.ndarray, m: Model) -> np.ndarray:
     """Scores of term rows x: exact cosines with every labelled vector, block by block."""
     if not len(m.labels):
@@ -121,8 +137,7 @@ def vote(x: np.ndarray, m: Model) -> np.ndarray:
     out = np.full(len(x), m.labels.mean())
     for at in range(0, len(x), 256):
         cos = z[at : at + 256] @ m.vectors.T
-        k = min(m.k, cos.shape[1])
-        near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+        near = nearest(cos, min(m.k, cos.shape[1]))
         w = np.maximum(np.take_along_axis(cos, near, 1), 0) ** m.sharp
         total = w.sum(1)
         ok = total > 0
