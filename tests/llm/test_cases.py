@@ -37,6 +37,14 @@ def table(name):
     return pq.read_table(f"{DIR}/{name}.parquet").to_pylist()
 
 
+@has_tables
+def test_token_stage_cases(spark):
+    stage = dict(corpus_pipeline.STAGES)["token files"]
+    rows = sorted(map(tuple, stage(spark, odd(spark), DIR).select("start", "n_tokens", "ids_crc32").collect()))
+    assert rows == sorted(map(tuple, stage(spark, clashing(odd(spark)), DIR).select("start", "n_tokens", "ids_crc32").collect())) and len(rows) == odd(spark).count()
+    assert not stage(spark, odd(spark).where("false"), DIR).count()
+
+
 @has_tables
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
 def test_stage_cases(spark, name):
@@ -174,6 +182,23 @@ def test_rank_brute_force(spark):
     assert max(abs(got[f"h{k}"] - p[k]) for k in range(40) if p[k] > 0) < 1e-6
 
 
+@has_tables
+def test_trust_rank(spark):
+    """Eight rounds over a graph with links, against its SQL."""
+    from tests.test_queries import same
+
+    rows = linkgraph.trust_rank(spark, DIR)
+    same(rows, linkgraph.TRUST_SQL, DIR)
+    assert rows.where("trust > 0").count() > 10 and rows.where("distrust > 0").count() > 2
+
+
+@has_tables
+def test_neardup_sql(spark):
+    from tests.test_queries import same
+
+    same(neardup.op5_neardup(spark, DIR), neardup.OP5_SQL, DIR)
+
+
 @pytest.mark.parametrize("seeds", [1, 300])
 def test_verdict_of_many_seeds(spark, seeds):
     """A host that links to a blocked one alone is blocked, however many seeds and linkers share the distrust."""
@@ -220,5 +245,13 @@ def test_pipeline_plain(spark):
     assert collections.Counter(r.doc_id for r in mixed.collect()) == taken
     files = corpus_pipeline.run(spark, DIR).collect()
     assert collections.Counter(r.doc_id for r in files) == taken
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_files.tokenizer_path())
+    texts, start = {r.doc_id: r.text for r in mixed.collect()}, 0
+    for r in sorted(files, key=lambda r: (r.doc_id, r.start)):
+        ids = [*tok.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 1]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
     for df in (good, single, kept, mixed):
         df.unpersist()

@@ -30,7 +30,7 @@ def test_token_files(spark):
 
 
 def test_checksum(tmp_path):
-    parts = token_files.shard_bytes([(1, b"\1\0\2\0"), (2, b"\3\0")], 2)
+    parts = list(token_files.shard_bytes([(1, b"\1\0\2\0"), (2, b"\3\0")], 2))
     (tmp_path / "s").write_bytes(b"".join(parts))
     s = token_files.Shard(str(tmp_path / "s"))
     assert [s.ids(i).tolist() for i in (1, 0)] == [[3], [1, 2]]
@@ -97,6 +97,92 @@ def test_mixing(spark):
     assert not mixing.mix(spark.createDataFrame([], DOCS)).count()
 
 
+@pytest.mark.parametrize("weights", [mixing.WEIGHTS, (1.0, 5.0)])
+def test_mix_is_what_mix_says(spark, weights):
+    """The mix takes each row as often as `mix` says, with repeated rows, rows of one id and different texts, and null ids and sources."""
+    import collections
+
+    rng = np.random.default_rng(7)
+    rows = [(int(rng.integers(0, 40)), "w " * int(rng.integers(1, 6)), "en", (None, "a", "b")[int(rng.integers(0, 3))], 0) for _ in range(400)]
+    rows += [(1, "a b c", "en", "a", 0)] * 4 + [(1, "d e f", "en", "a", 0)] * 2 + [(None, "x y", "en", None, 0)] * 3 + [(2, "", "en", "a", 0)]
+    d = spark.createDataFrame(rows, DOCS)
+    said = collections.Counter()
+    for r in mixing.mix(d, weights=weights).collect():
+        said[r.doc_id, r.size] += r.copies
+    got = mixing.mixed_documents(d, weights=weights).collect()
+    assert collections.Counter((r.doc_id, len(r.text.split())) for r in got) == +said
+    texts = collections.Counter((r[0], r[1], r[3]) for r in rows)
+    assert all(n <= 3 * texts[k] for k, n in collections.Counter((r.doc_id, r.text, r.source) for r in got).items())
+    assert [r.mix_position for r in got] == sorted(r.mix_position for r in got) and all(0 <= r.mix_position <= 1 for r in got)
+
+
+def test_water_level(spark):
+    """Targets against plain filling: in turn the fullest source is closed."""
+    rng = np.random.default_rng(3)
+    for _ in range(4):
+        sizes = {f"s{k:02d}": int(rng.integers(1, 10_000) ** rng.uniform(0.3, 1)) for k in range(15)}
+        got = {r.source: r.target for r in mixing.shares(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+        w = {s: k % 3 + 1 for k, s in enumerate(sorted(sizes))}
+        left, open_, want = float(sum(sizes.values())), set(sizes), {}
+        while open_:
+            level = left / sum(w[s] for s in open_)
+            full = [s for s in open_ if 3 * sizes[s] < level * w[s]]
+            if not full:
+                want |= {s: level * w[s] for s in open_}
+                break
+            for s in full:
+                want[s] = 3.0 * sizes[s]
+                left -= want[s]
+                open_.remove(s)
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * want[s] for s in want)
+
+
+def test_votes(spark):
+    """The nearest, of equal ones the first; a score by plain steps; repeated labelled rows with different texts fit alike in any order."""
+    rng = np.random.default_rng(1)
+    cos = rng.integers(0, 5, (200, 30)).astype(np.float32)
+    for k in (1, 7, 30):
+        assert quality.nearest(cos, k).tolist() == [sorted(sorted(range(30), key=lambda j: (-row[j], j))[:k]) for row in cos]
+    texts = [(i % 90, "good words here. " * (i % 5 + 1) if i % 2 else "zz,, !!" * (i % 4 + 1)) for i in range(120)]
+    d, labels = docs(spark, texts), spark.createDataFrame([(i, i % 2, 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    m, again = quality.fit(d, labels), quality.fit(d.repartition(5), labels.repartition(4))
+    assert (m.vectors == again.vectors).all() and (m.labels == again.labels).all()
+    x = quality.terms(np.frombuffer(texts[3][1].encode(), np.uint8), np.array([0, len(texts[3][1])]))
+    z = (x * m.idf) @ m.axes
+    c = m.vectors @ (z[0] / np.linalg.norm(z[0]))
+    near = sorted(range(len(c)), key=lambda j: (-c[j], j))[: m.k]
+    w = np.maximum(c[near], 0) ** m.sharp
+    score = quality.score(docs(spark, [texts[3]]), m).first().quality_score
+    assert abs(score - (w * m.labels[near]).sum() / w.sum()) < 1e-3
+
+
+def test_equal_trust(spark):
+    """As much distrust as trust allows."""
+    rows = [(1, "http://good.org/fr/", '<a href="http://x.com/">'), (2, "http://x.com/", '<a href="http://bad.net/">'), (3, "http://bad.net/", "")]
+    got = {r.page_id: r for r in linkgraph.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert abs(got[2].trust - got[2].distrust) < 1e-9 and got[2].verdict == "allow"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in linkgraph.judged(pages, threshold=0.9).collect()}[2] == "block"
+
+
+def test_very_long(spark):
+    """Texts far longer than a batch or a chunk, and empty tables, in every operator on documents."""
+    long = " ".join(f"w{k % 5003}" for k in range(400_000))
+    d = docs(spark, [(1, long), (2, long + " end"), (3, "short text"), (4, None)])
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 1), (3, 0, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.score(d, toxicity.fit(d, labels)).count() == quality.score(d, quality.fit(d, labels)).count() == 4
+    got = {r.doc_id: r for r in neardup.near_duplicates(d).collect()}
+    assert (got[1].component_id, got[2].component_id, got[3].component_id) == (1, 1, 3)
+    items = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(20, 40)))], "item_id long, text string")
+    hit = {r.doc_id: (r.n_words, r.n_hit) for r in decontam.contamination(d, items).collect()}
+    assert hit == {1: (400_000, 20 * 80), 2: (400_001, 20 * 80), 3: (2, 0), 4: (0, 0)}
+    assert {r.doc_id: r.size for r in mixing.mix(d).collect()} == {1: 400_000, 2: 400_001, 3: 2, 4: 0}
+    page = spark.createDataFrame([(1, "http://a/", f"<p>{long}")], "page_id long, url string, html string")
+    assert html_text.extract(page).first().n_chars == len(long) and warc.read_archives(warc.write_archives(page)).first().payload_bytes == len(long) + 3
+    none = d.where("false")
+    assert not toxicity.score(none, toxicity.fit(none, labels)).count() and not quality.score(none, quality.fit(none, labels)).count()
+
+
 def test_models(spark):
     rng = np.random.default_rng(5)  # texts of their own: copies of one text count once in training
     texts = [(i, ("vile slur " * 2 if i % 4 == 0 else "") + " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(20))) for i in range(400)]
@@ -138,6 +224,61 @@ def test_segments():
         assert all(s[a : b + 1].sum() == x for a, b, x in found)
 
 
+def plain_segments(s, first=0):
+    """All maximal scoring segments by their definition: the best one (the shortest, then leftmost, of equals), then those left and right of it."""
+    spans = [(s[a : b + 1].sum(), -(b - a), -a) for a in range(len(s)) for b in range(a, len(s))]
+    if not spans or max(spans)[0] <= 0:
+        return []
+    total, length, a = max(spans)
+    a, b = -a, -a - length
+    return plain_segments(s[:a], first) + [(first + a, first + b, total)] + plain_segments(s[b + 1 :], first + b + 1)
+
+
+def test_all_segments():
+    rng = np.random.default_rng(8)
+    for _ in range(150):
+        s = rng.normal(-0.3, 2, int(rng.integers(0, 25)))
+        got = toxicity.found_in(s)
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in plain_segments(s)]
+        assert np.allclose([x for *_, x in got], [x for *_, x in plain_segments(s)])
+
+
+def test_extreme_values():
+    """The fit finds the law that values were drawn from, and evidence is the least of the sums' p values."""
+    rng = np.random.default_rng(9)
+    n = rng.integers(50, 3000, 4000).astype(float)
+    best = np.maximum(0, -np.log(-np.log(rng.random(4000)) / (0.02 * n)) / 0.7)
+    lam, k = toxicity.extreme_value(best, n)
+    assert abs(lam - 0.7) < 0.05 and abs(k - 0.02) < 0.005
+    x = [0.7 * s - np.log(0.02 * 500) for s in (20.0, 9.0, 5.0)]
+    p = [np.exp(-sum(x[:r])) * sum(x[:r]) ** (r - 1) / (np.prod(np.arange(1, r + 1)) * np.prod(np.arange(1, r))) * 2**r for r in (1, 2, 3)]
+    assert abs(toxicity.evidence([5.0, 20.0, 9.0, 1.0], 500, 0.7, 0.02) + np.log(min(p))) < 1e-9
+    assert toxicity.evidence([], 500, 0.7, 0.02) == toxicity.evidence([1.0], 500, 0.7, 0.02) == 0
+
+
+def test_whole_score(spark):
+    """A document's score by plain steps, and two fits that agree."""
+    import math
+
+    rng = np.random.default_rng(5)
+    texts = [(i, ("vile slur " * 2 if i % 4 == 0 else "") + " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(20))) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    d = docs(spark, texts)
+    m, again = toxicity.fit(d, labels), toxicity.fit(d.repartition(7), labels.repartition(3))
+    assert (m.lam, m.k, m.coef) == (again.lam, again.k, again.coef) and (m.weights == again.weights).all()
+    got = {r.doc_id: r.toxicity for r in toxicity.score(d, m).collect()}
+    for i in (0, 1, 8):
+        data = np.frombuffer(texts[i][1].encode(), np.uint8)
+        scores = []
+        for w in texts[i][1].split():
+            parts = [np.frombuffer(w.encode(), np.uint8)] + [np.frombuffer(w[:h].encode(), np.uint8) for h in toxicity.HEADS if len(w) > h]
+            cells = [int(toxicity.word_hashes(x, np.array([0]), np.array([len(x)]))[0] * np.uint64(2 * len(x) + 1 if j else 1) >> np.uint64(64 - toxicity.BITS)) for j, x in enumerate(parts)]
+            odds = [float(m.weights[c]) for c in cells]
+            scores.append(max(odds, key=abs) - m.drift)
+        stat = math.log1p(toxicity.evidence([x for *_, x in plain_segments(np.array(scores))], len(scores), m.lam, m.k))
+        assert abs(got[i] - 1 / (1 + math.exp(-m.coef[0] - m.coef[1] * stat))) < 1e-9 and len(data)
+
+
 def test_warc(spark):
     big = "é" * 600
     rows = [(1, "http://a/\nb", big), (2, None, big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (None, "u", big)]
