@@ -239,6 +239,41 @@ def test_osa_expression(spark):
         assert r.d == d and r.w == (d if d is None or d <= 2 else -1)
 
 
+def test_sql_names(spark):
+    from textloom.functions.register import register
+
+    assert len(register(spark)) == 10
+    words = ["a", "ab", "hello", "マダオ", "éa"]
+    spark.createDataFrame([(w, len(w)) for w in words], "w string, n long").createOrReplaceTempView("sql_words")
+    for r in spark.sql("select w, tl_delete_edits_1(w) e, tl_code_points(w) c, tl_choose(n, 2) b, tl_is_subsequence('hallo a', w) s, tl_starts_with_punctuation(concat('[', w)) p, tl_human_time(n * 70000000000) t, tl_nth_set_bit(n, 1) x from sql_words").collect():
+        n = len(r.w)
+        assert set(r.e) == variants(r.w, 1) and r.c == [ord(c) for c in r.w] and r.b == n * (n - 1) // 2 and r.p and r.t == f"{n * 70 / 60:.2f} min" and r.x == 64 - n.bit_length()
+        assert r.s == (r.w in ("a",))
+
+
+def test_pointers(spark):
+    """A shared object is one; a cycle ends; a null points to nothing."""
+    df = spark.createDataFrame([(1, ("x", 1)), (2, ("x", 1)), (3, None), (4, ("y", 2))], "i int, o struct<a:string,b:int>")
+    rows, objects = tables.share(df, "o")
+    assert objects.count() == 2 and rows.columns == ["i", "ref"]
+    assert sorted((r.i, r.o and tuple(r.o)) for r in tables.unshare(rows, objects).collect()) == [(1, ("x", 1)), (2, ("x", 1)), (3, None), (4, ("y", 2))]
+    nodes = spark.createDataFrame([(k, k * k) for k in range(6)], "id long, data long")
+    links = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 2), (3, 4)], "id long, to long")
+    root = spark.createDataFrame([(1,)], "id long")
+    assert sorted(r.id for r in tables.reachable(nodes, links, root).collect()) == [0, 1, 2]
+    with pytest.raises(tables.InvalidFormat):
+        tables.reachable(nodes, links, root, 1)
+
+
+def test_stats_of_empty(spark):
+    from textloom.operators import dictionary
+
+    none = spark.createDataFrame([], "word string, count long")
+    assert tuple(dictionary.stats(none).first()) == (0, 0, 2, 0, 0, 0, True)
+    d = spark.createDataFrame([("abcd", 2), ("ab", 2)], "word string, count long")
+    assert tuple(dictionary.stats(d, 2, F.when(F.col("word") == "ab", 2).otherwise(1)).first()) == (4, 4, 2, 4, 4, 5, True)
+
+
 def test_stored_index(spark, tmp_path):
     d = spark.createDataFrame([("never", 2), ("let", 1)], "word string, count long")
     matching.store_index(matching.build_index(d, 1), "stored_words", 4, str(tmp_path / "i"))

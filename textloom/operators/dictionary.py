@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import binomial, max_deletes
@@ -22,12 +24,17 @@ def usable(dictionary: DataFrame, least: int = 5, shortest: int = 3, longest: in
     return dictionary.where((F.col("count") >= least) & F.char_length("word").between(shortest, longest))
 
 
-def stats(dictionary: DataFrame, k: int = 2) -> DataFrame:
-    """One row: longest word in bytes and characters, the distance, sum of counts, largest C(len, k) and sum of C(len, 0..k), and whether all counts are equal."""
+def stats(dictionary: DataFrame, k: int = 2, max_distance: Column | None = None) -> DataFrame:
+    """One row: longest word in bytes and characters, the distance, sum of counts, largest C(len, k) and sum of C(len, 0..k), and whether all counts are equal. max_distance: a distance of each
+    word's own, of at most k. An empty dictionary has zeros, and equal counts."""
     n = F.char_length("word")
+    own = F.lit(k) if max_distance is None else max_distance
+    of = lambda f: reduce(lambda c, d: c.when(own == d, f(n, d)), range(1, k + 1), F.when(own == 0, f(n, 0)))
+    whole = lambda c: F.coalesce(F.max(c).cast("long"), F.lit(0).cast("long"))
+    distance = F.lit(k).cast("long") if max_distance is None else whole(own)
     return dictionary.agg(
-        F.max(F.octet_length("word")).cast("long").alias("word_max_bytes"), F.max(n).cast("long").alias("word_max_len"), F.lit(k).cast("long").alias("max_distance"), F.sum("count").cast("long").alias("count_sum"),
-        F.max(binomial(n, k)).alias("edits_layer_num_max"), F.max(max_deletes(n, k)).alias("edits_num_max"), (F.min("count") == F.max("count")).alias("count_uniform"),
+        whole(F.octet_length("word")).alias("word_max_bytes"), whole(n).alias("word_max_len"), distance.alias("max_distance"), F.coalesce(F.sum("count").cast("long"), F.lit(0).cast("long")).alias("count_sum"),
+        whole(of(binomial)).alias("edits_layer_num_max"), whole(of(max_deletes)).alias("edits_num_max"), F.coalesce(F.min("count") == F.max("count"), F.lit(True)).alias("count_uniform"),
     )
 
 

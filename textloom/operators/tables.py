@@ -120,6 +120,32 @@ def read_table(spark: SparkSession, path: str, expected: T.StructType, format: s
     return df
 
 
+def share(df: DataFrame, column: str, ref: str = "ref") -> tuple[DataFrame, DataFrame]:
+    """Equal values of a column, which rows point to, as objects of their own: (df with `ref` in place of the column, objects with `ref` and the column). A null points to nothing. Both are
+    ordinary tables, and an object is kept once however many rows point to it."""
+    objects = materialised(df.where(F.col(column).isNotNull()).select(column).distinct().withColumn(ref, F.monotonically_increasing_id()), "objects")
+    rows = df.join(objects.withColumnRenamed(column, "_object"), F.col(column) == F.col("_object"), "left").drop(column, "_object")
+    return rows, objects
+
+
+def unshare(rows: DataFrame, objects: DataFrame, ref: str = "ref") -> DataFrame:
+    """The rows with the objects that they point to."""
+    return rows.join(objects, ref, "left").drop(ref)
+
+
+def reachable(nodes: DataFrame, links: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
+    """nodes: id and others; links: id, to: a record's pointers, cycles and shared ones included; roots: id -> the nodes that a walk from the roots meets, each once. Rounds are joins with
+    the nodes met last, each a table; `most` rounds at most, or an error."""
+    met = materialised(roots.select("id").distinct().withColumn("round", F.lit(0)), "met")
+    for k in range(1, most + 1):
+        new = links.join(met.where(F.col("round") == k - 1).select("id"), "id").select(F.col("to").alias("id")).distinct().join(met, "id", "left_anti")
+        grown = materialised(met.unionByName(new.withColumn("round", F.lit(k))), "met")
+        if not grown.where(F.col("round") == k).limit(1).count():
+            return nodes.join(met.select("id"), "id", "left_semi")
+        met = grown
+    raise InvalidFormat(f"pointers lead further than {most} steps")
+
+
 def numbered(df: DataFrame, *order: str, name: str = "ord", start: int = 0) -> DataFrame:
     """df with dense numbers in the given order. Rows are range-partitioned, numbered inside their partitions, and moved by the counts of the partitions before; only these counts
     (a row for each partition) are summed in one place."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions import text as X
+from textloom.functions.register import register
 from textloom.operators import arith, bits, dictionary, filters, hashing, matching, segment, sequences, tables
 from textloom.sources import text as sources
 
@@ -63,6 +64,31 @@ def schema_print(spark, sf_dir):
     return spark.createDataFrame([(tables.schema_print(load(spark, sf_dir, "region").schema).strip(),)], "tree string")
 
 
+@query("SELECT o_orderkey, c_name, c_nationkey, c_mktsegment, (SELECT count(DISTINCT o_custkey) FROM orders) AS objects FROM orders JOIN customer ON o_custkey = c_custkey")
+def pointer_graph(spark, sf_dir):
+    """Orders that point to customers: each customer is written once and pointed to, and comes back with every order."""
+    c = load(spark, sf_dir, "customer")
+    held = load(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.struct(*c.columns).alias("customer"))
+    rows, objects = tables.share(held, "customer")
+    at = [tables.work_path(spark, n) for n in ("rows", "objects")]
+    tables.write_table(rows, at[0])
+    tables.write_table(objects, at[1])
+    rows, objects = spark.read.parquet(at[0]), spark.read.parquet(at[1])
+    return tables.unshare(rows, objects).select("o_orderkey", "customer.c_name", "customer.c_nationkey", "customer.c_mktsegment", F.lit(objects.count()).alias("objects"))
+
+
+REACHED = "WITH RECURSIVE p AS (SELECT p_partkey AS id, (p_partkey * 7 + 3) % n AS next, (p_partkey // 2) AS half, p_size FROM part, (SELECT count(*) AS n FROM part)), m AS (SELECT id FROM p WHERE id = 5 UNION SELECT to_ FROM m JOIN (SELECT id, next AS to_ FROM p WHERE p_size < 20 UNION ALL SELECT id, half FROM p) l USING (id))"
+
+
+@query(REACHED + " SELECT id, p_size FROM p WHERE id IN (SELECT id FROM m)")
+def pointer_walk(spark, sf_dir):
+    """Records with two pointers each, which form cycles: what a walk from one of them meets."""
+    part = load(spark, sf_dir, "part")
+    nodes = part.select(F.col("p_partkey").alias("id"), "p_size", ((F.col("p_partkey") * 7 + 3) % part.count()).alias("next"), F.floor(F.col("p_partkey") / 2).alias("half"))
+    links = nodes.where("p_size < 20").select("id", F.col("next").alias("to")).union(nodes.select("id", "half"))
+    return tables.reachable(nodes.select("id", "p_size"), links, spark.createDataFrame([(5,)], "id long"))
+
+
 # edits
 @query(f"WITH {FULL_DICT} SELECT DISTINCT w AS word, edit FROM {variants_sql('dict', 'word', 2, True)}")
 def edits_explode(spark, sf_dir):
@@ -354,6 +380,14 @@ def log2ceil(spark, sf_dir):
     return load(spark, sf_dir, "orders").select("o_orderkey", arith.log2_ceil(F.col("o_orderkey")).cast("int").alias("log2"))
 
 
+@query("SELECT p_partkey, printf('%s', CASE WHEN p_size < 1024 THEN p_size::VARCHAR || ' b' END) AS size, CASE WHEN p_size <= 1 THEN 0 ELSE length(bin(p_size - 1)) END::INT AS log2, p_partkey % 37 AS rest, p_name LIKE 'a%' OR p_name LIKE '%a%' AS has_a FROM part")
+def sql_functions(spark, sf_dir):
+    """The functions by their SQL names."""
+    register(spark)
+    load(spark, sf_dir, "part").createOrReplaceTempView("textloom_part")
+    return spark.sql("SELECT p_partkey, tl_human_bytes(p_size) AS size, tl_log2_ceil(p_size) AS log2, tl_fast_mod(p_partkey, 37) AS rest, tl_is_subsequence(p_name, 'a') AS has_a FROM textloom_part")
+
+
 @query("SELECT count(*) AS n, true AS alphabet, 30 AS length, true AS varied FROM part")
 def random_strings(spark, sf_dir):
     t = load(spark, sf_dir, "part").select(X.random_text("p_partkey", 30).alias("t"))
