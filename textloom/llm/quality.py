@@ -16,6 +16,8 @@ Very long texts are measured whole.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -107,18 +109,40 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 6000, dims: int = 3
         for batch in batches:
             for rows, data, offsets in chunks(batch, "text"):
                 x = terms(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column("place")[rows], batch.column("doc_id")[rows].cast(pa.int64()), batch.column("y")[rows].cast(pa.int32()), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["place", "doc_id", "y", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column("place")[rows], batch.column("doc_id")[rows].cast(pa.int64()), batch.column("y")[rows].cast(pa.int32()), pa.array([zlib.compress(r.astype(np.float16).tobytes(), 1) for r in x], pa.binary())], ["place", "doc_id", "y", "x"])
 
     seen = train.mapInArrow(measure, "place long, doc_id long, y int, x binary").toPandas().sort_values(["place", "doc_id"])
     if not len(seen):
         return Model(np.ones(DIMS, np.float32), np.zeros((DIMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), k, sharp)
-    x = np.frombuffer(b"".join(seen["x"]), np.float16).reshape(len(seen), DIMS).astype(np.float32)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 0.3
-    x *= idf
-    gram = (x.T @ x).astype(np.float64)
-    _, axes = np.linalg.eigh(gram)
-    axes = axes[:, ::-1][:, : min(dims, len(x))].astype(np.float32)
-    return Model(idf, axes, unit(x @ axes).astype(np.float32), (seen["y"].to_numpy() > 0).astype(np.float64), k, sharp)
+    x = np.empty((len(seen), DIMS), np.float16)
+    for i, row in enumerate(seen.pop("x")):
+        x[i] = np.frombuffer(zlib.decompress(row), np.float16)
+    idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + 0.3
+    axes = leading(x, idf, min(dims, len(x)))
+    vectors = np.concatenate([unit((part * idf) @ axes) for part in blocks(x)]).astype(np.float32)
+    return Model(idf, axes, vectors, (seen["y"].to_numpy() > 0).astype(np.float64), k, sharp)
+
+
+def blocks(x: np.ndarray, rows: int = 500) -> Iterator[np.ndarray]:
+    for at in range(0, len(x), rows):
+        yield x[at : at + rows].astype(np.float32)
+
+
+def leading(x: np.ndarray, idf: np.ndarray, dims: int, more: int = 16, rounds: int = 12) -> np.ndarray:
+    """The leading right singular vectors of x * idf, by subspace iteration from a fixed start: neither the weighted matrix nor its square is held."""
+    width = min(dims + more, DIMS)
+    q = np.linalg.qr(np.random.default_rng(5).standard_normal((DIMS, width)))[0].astype(np.float32)
+    for _ in range(rounds):
+        y = np.zeros((DIMS, width), np.float64)
+        for part in blocks(x):
+            part *= idf
+            y += part.T @ (part @ q)
+        q = np.linalg.qr(y)[0].astype(np.float32)
+    small = np.zeros((width, width))
+    for part in blocks(x):
+        z = ((part * idf) @ q).astype(np.float64)
+        small += z.T @ z
+    return (q @ np.linalg.eigh(small)[1][:, ::-1][:, :dims]).astype(np.float32)
 
 
 def nearest(cos: np.ndarray, k: int) -> np.ndarray:
