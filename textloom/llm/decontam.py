@@ -4,7 +4,8 @@ Index. One pass over the training documents stores a posting (document, position
 and position, so that a term's list is a run of rows which the files' statistics find. The list of the term END holds the lengths of the documents.
 
 Phrases. A window is `n` consecutive words of an item (an item of fewer words is one window). The windows' terms are ranked by the lengths of their lists. The list of a window's rarest
-term, moved by its offset, gives the places where the window may lie; these are intersected with the list of the second rarest term, and what is left with the lists of all others. Every
+term, moved by its offset, gives the places where the window may lie; these are intersected with the list of the second rarest term, and what is left with the lists of all others, of
+which only the postings of documents in question are moved: a sieve of a fixed number of bits tells them. Every
 intersection is an equi-join on (document, term, position), by which no pair within a list is formed, and Spark shuffles or broadcasts by the sizes it knows: no row carries words.
 Places of one item that follow each other on one diagonal (position less place) are a run; runs as long as a window are hits.
 
@@ -29,6 +30,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands before and behind a text's words; no word is empty. Its number among the terms is 0.
 END = ""
 KEY = ["doc_id", "h"]
+#: 2 to this power are the bits of the sieve of documents: 8 MB in 2^18 rows at most.
+FILTER_BITS = 24
 
 
 def lowered(text: Column) -> Column:
@@ -86,6 +89,16 @@ def intersect(wanted: DataFrame, index: DataFrame) -> DataFrame:
     return w.join(p, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & (F.col("id") == F.col("t")) & (F.col("pos") == F.col("q")), "left_semi")
 
 
+def of_documents(index: DataFrame, docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The postings of docs (doc_id, h) and, as a sieve of 2^bits bits lets some through, a few others. The sieve has 2^(bits - 6) rows of 64 bits at most, however many documents there
+    are, so it is broadcast; if nearly all documents are wanted it merely keeps all."""
+    place = F.xxhash64(*KEY).bitwiseAND((1 << bits) - 1)
+    row, bit = F.shiftright(place, 6), place.bitwiseAND(63).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    sieve = docs.select(row.alias("row"), one.alias("one")).groupBy("row").agg(F.bit_or("one").alias("mask"))
+    return index.withColumn("row", row).withColumn("one", one).join(F.broadcast(sieve), "row").where(F.col("mask").bitwiseAND(F.col("one")) != 0).select(*KEY, "id", "pos")
+
+
 def phrases(index: DataFrame, items: DataFrame, terms: DataFrame, n: int = 10) -> DataFrame:
     """(doc_id, h, item_id, from, to): every longest run of words, of a window's length at least, that an item and a document share."""
     places = places_of(items, terms, index)
@@ -99,7 +112,7 @@ def phrases(index: DataFrame, items: DataFrame, terms: DataFrame, n: int = 10) -
     spread = kept.join(windows, (kept["k"] == windows["k"]) & (kept["i1"] == windows["i1"]) & kept["i2"].eqNullSafe(windows["i2"])).select(*KEY, kept["k"], "diagonal", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("need") - 1)).alias("i")).distinct()
     wanted = spread.join(places.select("k", "i", "id"), ["k", "i"]).withColumn("pos", F.col("diagonal") + F.col("i"))
     order = W.Window.partitionBy(*KEY, "k", "diagonal").orderBy("i")
-    runs = intersect(wanted, index.where("id > 0")).select(*KEY, "k", "diagonal", "i").withColumn("run", F.col("i") - F.row_number().over(order))
+    runs = intersect(wanted, of_documents(index.where("id > 0"), kept)).select(*KEY, "k", "diagonal", "i").withColumn("run", F.col("i") - F.row_number().over(order))
     runs = runs.groupBy(*KEY, "k", "diagonal", "run").agg(F.min("i").alias("a"), F.max("i").alias("b"))
     named = runs.join(items.select("k", "item_id", F.least(F.lit(n), F.size("words")).alias("need")), "k").where(F.col("b") - F.col("a") + 1 >= F.col("need"))
     return named.select(*KEY, "item_id", (F.col("diagonal") + F.col("a")).alias("from"), (F.col("diagonal") + F.col("b")).alias("to"))
