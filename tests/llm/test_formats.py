@@ -27,6 +27,30 @@ def test_any_tokenizer(spark, name):
     assert token_files.Encoder(path).pieces == name.startswith("word")
 
 
+PIECES = ["'", "''s", "\"'s", "'re", "'r", "'ve", "'v", "I'LL", "l'l", "x'", "1's", "'sam", "'s's", "'d'", "(it's)", "don't...", "a\x1cb", "\x7f", "a\0b", "\0", "ÀÉŽ", "àéž", "a×b", "÷", "ŉ", "e\u0301", "x\u00a0y", "<|", "|>", "</w>", "3.14", "é" * 12, "é" * 13, "k" * 24, "k" * 25, "-" * 60]
+
+
+def test_pieces_by_table(monkeypatch):
+    """Ids are the library's whatever stands in the table: with next to no slots, a table that is emptied again and again, and texts cut in parts. New pieces of many texts are learned together."""
+    from tokenizers import Tokenizer
+
+    path = token_files.tokenizer_path()
+    tok = Tokenizer.from_file(path)
+    rng = np.random.default_rng(3)
+    texts = [*PIECES, *("".join(rng.choice([*PIECES, " ", "\n", "\t", "the", "House", "ing"], 40)) for _ in range(400)), "", " ", "no space " * 9, "unbroken" * 40]
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert token_files.Encoder(path)(texts) == want
+    small = token_files.Encoder(path, bits=3, most=20)
+    assert [x for k in range(0, len(texts), 7) for x in small(texts[k : k + 7])] == want and small.table.nbytes == 8 * 32
+    monkeypatch.setattr(token_files, "AT_ONCE", 50)
+    assert token_files.Encoder(path)(texts) == want
+    monkeypatch.undo()
+    calls, learn = [], token_files.Encoder.learn
+    monkeypatch.setattr(token_files.Encoder, "learn", lambda self, new: calls.append(len(new)) or learn(self, new))
+    token_files.Encoder(path)([f"a {'x' * k}y" for k in range(20)] * 10)
+    assert calls == [21]
+
+
 def test_single_frames(tmp_path):
     """Reading one document touches its frame alone: the others are broken here."""
     docs = [(k, np.arange(k, k + 50, dtype="<u2").tobytes()) for k in range(40)]

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, open_fs, work_path, write_once, written
+from .common import LOWER, load, mix, open_fs, work_path, write_once, written
 
 INDEX_MAGIC, SEEK_MAGIC, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 TAIL = 1 << 16
@@ -47,14 +47,18 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-#: Texts of these characters alone are split here as the tokenizer would: neither NFC nor lower-casing joins or splits any of them.
-PLAIN = re.compile("[\\x00-\\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]*")
-LETTER = "a-z\u00df-\u00f6\u00f8-\u017e"
-#: The tokenizer's own split pattern, for lower-case PLAIN texts.
-PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^ \\t\\n\\v\\f\\r0-9{LETTER}]+")
+#: Texts of these characters alone are split here as the tokenizer would: neither NFC nor lower-casing joins or splits any of them. Those beyond ASCII are letters.
+PLAIN = re.compile("[\\x01-\\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]*")
+WHITE, LETTER, DIGIT, MARK = range(4)
+KIND = np.full(256, MARK, np.uint8)
+KIND[[0, *range(9, 14), 32]], KIND[48:58], KIND[97:123], KIND[128:] = WHITE, DIGIT, LETTER, LETTER
+#: Bytes of the longest piece that the table holds, and bytes of text that are split at once (white space permitting).
+LONGEST, AT_ONCE = 24, 1 << 19
+#: A word's bytes of a piece, by how many of them are the piece's.
+MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-#: What a tokenizer file says if it splits lower-case PLAIN texts into PIECES, each encoded by itself, and drops the white space between them.
+#: What a tokenizer file says if it splits lower-case PLAIN texts as `spans` does, encodes each piece by itself, and drops the white space between them.
 KNOWN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 KNOWN_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 
@@ -67,49 +71,143 @@ def splits_as_known(described: dict) -> bool:
     return described.get("normalizer") == KNOWN_NORMALIZER and split[0] == KNOWN_SPLIT and bytes_only and marked
 
 
+def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the pieces of lower-case PLAIN text, as bytes with white space at the end: runs of letters, single digits, runs of other characters; an apostrophe that is such a run by
+    itself takes the s, t, m, d, re, ve or ll behind it."""
+    kind = KIND[data]
+    change = kind[1:] != kind[:-1]
+    first, last = np.empty(len(kind), bool), np.zeros(len(kind), bool)
+    first[0], first[1:] = kind[0] != WHITE, (change | (kind[1:] == DIGIT)) & (kind[1:] != WHITE)
+    last[:-1] = (change | (kind[:-1] == DIGIT)) & (kind[:-1] != WHITE)
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    alone = np.flatnonzero((data[starts] == ord("'")) & (ends - starts == 1))
+    alone = alone[kind[ends[alone]] == LETTER]
+    if len(alone):
+        x, y = data[ends[alone]], data[ends[alone] + 1]
+        two = (y == ord("e")) & ((x == ord("r")) | (x == ord("v"))) | (x == ord("l")) & (y == ord("l"))
+        more = np.where(two, 2, np.isin(x, list(b"stmd")))
+        ends[alone] += more
+        starts[alone + 1] += more
+        some = starts < ends
+        starts, ends = starts[some], ends[some]
+    return starts, ends
+
+
 class Encoder:
     """Ids of texts. If the tokenizer's file says that it splits as known, by way of a table of pieces: it then encodes each piece of its split pattern by itself and drops white space, so that
-    a text's ids are those of its pieces, one after another; new pieces go to the tokenizer together. Texts with other characters than PLAIN, or that may hold the string of a special
-    token, are encoded whole, and so is every text by any other tokenizer. The table is emptied when it holds `most` pieces."""
+    a text's ids are those of its pieces, one after another. A slot of the table holds a piece, all its bytes (up to LONGEST), and the place of its ids; a new one takes the place of what was
+    in its slot. New pieces go together to the tokenizer's model, past its normalizer and split pattern, which would leave them as they are. Texts with other characters than PLAIN, or that
+    may hold the string of a special token, are encoded whole, and so is every text by any other tokenizer."""
 
-    def __init__(self, path: str, most: int = 500_000, longest: int = 64):
+    def __init__(self, path: str, bits: int = 19, most: int = 1 << 22):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tok, self.most, self.longest = Tokenizer.from_file(path), most, longest
+        self.tok, self.bits, self.most = Tokenizer.from_file(path), bits, most
         self.dtype = np.dtype("<u4" if self.tok.get_vocab_size() > 1 << 16 else "<u2")
-        self.pieces = splits_as_known(json.loads(self.tok.to_str()))
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, new: list[str]) -> dict[str, bytes]:
-        e = self.tok.encode(" ".join(new), add_special_tokens=False)
-        of = np.array(e.word_ids, np.int64)
-        if not len(of) or of[-1] != len(new) - 1:
-            raise ValueError("the pieces aren't those of the tokenizer")
-        cuts, ids = np.searchsorted(of, np.arange(len(new) + 1)).tolist(), np.array(e.ids, self.dtype)
-        raw, w = ids.tobytes(), self.dtype.itemsize
-        return {p: raw[w * cuts[k] : w * cuts[k + 1]] for k, p in enumerate(new)}
+        described = json.loads(self.tok.to_str())
+        self.pieces = splits_as_known(described)
+        if self.pieces:
+            letters = [pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False) for _ in described["pre_tokenizer"]["pretokenizers"][1:]]
+            self.bare, self.lettered = Tokenizer(self.tok.model), Tokenizer(self.tok.model)
+            self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.lettered.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), *letters])
+            self.empty()
+
+    def empty(self) -> None:
+        """A table without pieces. A slot: three words of the piece's bytes, then the place of its ids among `ids` times 256, and their number."""
+        self.table = np.zeros((1 << self.bits, 4), np.uint64)
+        self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
+
+    def learn(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Places and numbers of the ids of pieces, which are added to `ids`. The bytes of visible ASCII are their own letters."""
+        texts = [p.decode().lower() for p in new]
+        visible = np.array([p.isascii() and p.isprintable() for p in texts], bool)
+        at, n = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        for tok, which in ((self.bare, np.flatnonzero(visible)), (self.lettered, np.flatnonzero(~visible))):
+            for k in range(0, len(which), 256):
+                part = which[k : k + 256]
+                e = tok.encode(" ".join([texts[i] for i in part.tolist()]), add_special_tokens=False)
+                found = np.array(e.ids, self.dtype)
+                count = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
+                if len(count) != len(part) or not count.all():
+                    raise ValueError("the pieces aren't those of the tokenizer")
+                if self.used + len(found) > len(self.ids):
+                    self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(found)), self.dtype)])
+                self.ids[self.used : self.used + len(found)] = found
+                at[part], n[part] = self.used + np.cumsum(count) - count, count
+                self.used += len(found)
+        return at, n
+
+    def encoded(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of PLAIN texts."""
+        if self.used > self.most:
+            self.empty()
+        data = LOWER[np.frombuffer(b"\n".join([*texts, bytes(LONGEST)]), np.uint8)]
+        starts, ends = spans(data)
+        size = ends - starts
+        word = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+        key = np.zeros((3, len(starts)), np.uint64)
+        key[0] = word[starts] & MASK[np.minimum(size, 8)]
+        for j in (1, 2):
+            more = np.flatnonzero(size > 8 * j)
+            key[j, more] = word[starts[more] + 8 * j] & MASK[np.minimum(size[more] - 8 * j, 8)]
+        slot = (mix(key[0] ^ mix(key[1] ^ mix(key[2]))) >> np.uint64(64 - self.bits)).astype(np.int64)
+        held = self.table.take(slot, axis=0)
+        at, n = (held[:, 3] >> np.uint64(8)).astype(np.int64), (held[:, 3] & np.uint64(255)).astype(np.int64)
+        missing = np.flatnonzero((held[:, 0] != key[0]) | (held[:, 1] != key[1]) | (held[:, 2] != key[2]) | (size > LONGEST))
+        if len(missing):
+            raw = data.tobytes()
+            pieces = [raw[a:b] for a, b in zip(starts[missing].tolist(), ends[missing].tolist(), strict=True)]
+            number = {p: k for k, p in enumerate(dict.fromkeys(pieces))}
+            which = np.array([number[p] for p in pieces], np.int64)
+            places, counts = self.learn(list(number))
+            at[missing], n[missing] = places[which], counts[which]
+            short = missing[size[missing] <= LONGEST]
+            self.table[slot[short]] = np.stack([*key[:, short], (at[short] << 8 | n[short]).astype(np.uint64)], axis=1)
+        upto = np.cumsum(n)
+        ids = self.ids[np.repeat(at - (upto - n), n) + np.arange(int(upto[-1]) if len(upto) else 0)].tobytes()
+        cuts = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        cuts = (self.dtype.itemsize * np.concatenate([[0], upto])[cuts]).tolist()
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for text in texts:
+        out: list[list[bytes]] = [[] for _ in texts]
+        parts: list[tuple[int, bytes]] = []
+        held = 0
+
+        def flush():
+            for (k, _), ids in zip(parts, self.encoded([part for _, part in parts]), strict=True):
+                out[k].append(ids)
+            parts.clear()
+
+        for k, text in enumerate(texts):
             if not self.pieces or "<|" in text or not PLAIN.fullmatch(text):
-                out.append(np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes())
+                out[k].append(np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes())
                 continue
-            pieces = PIECES.findall(text.lower())
-            try:
-                out.append(b"".join(map(self.known.__getitem__, pieces)))
-            except KeyError:
-                new = self.learn(list({p for p in pieces if p not in self.known}))
-                if len(self.known) + len(new) > self.most:
-                    self.known = {}
-                    new = self.learn(list(set(pieces)))
-                long = [p for p in new if len(p) > self.longest]
-                self.known |= new
-                out.append(b"".join(map(self.known.__getitem__, pieces)))
-                for p in long:
-                    del self.known[p]
-        return out
+            for part in blocks(text.encode()):
+                if held + len(part) > AT_ONCE and parts:
+                    flush()
+                    held = 0
+                parts.append((k, part))
+                held += len(part)
+        if parts:
+            flush()
+        return [b"".join(x) for x in out]
+
+
+def blocks(text: bytes) -> Iterator[bytes]:
+    """A text in parts of up to AT_ONCE bytes, cut at spaces alone."""
+    at = 0
+    while len(text) - at > AT_ONCE:
+        cut = text.rfind(b" ", at + 1, at + AT_ONCE)
+        if cut < 0:
+            cut = text.find(b" ", at + AT_ONCE)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
 
 
 @cache
