@@ -88,6 +88,15 @@ def test_decontam(spark):
     assert decontam.proximity(docs(spark, [(1, "y q x")]), items.where("item_id = 2"), 5).count() == 1
 
 
+def test_terms_start_no_python(spark, monkeypatch):
+    """The table of terms is made by the executors' JVMs alone: rows of Python's would start processes there that stay and take memory."""
+    monkeypatch.setattr(decontam, "written", lambda df, *_: df)
+    items = spark.range(2).selectExpr("id as item_id", "array('a', 'b') as words")
+    terms = decontam.term_table(items)
+    assert "RDD" not in terms._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.term for r in terms.collect()) == ["", "a", "b"] and {r.id for r in terms.where("term = ''").collect()} == {0} and terms.dtypes == [("term", "string"), ("id", "bigint")]
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (i % 7 + 1), "en", s, 0) for i in range(200) for s in ("a", None)] + [(900, None, "en", "b", 0)]
     got = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()

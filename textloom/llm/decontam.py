@@ -55,9 +55,10 @@ def item_table(items: DataFrame) -> DataFrame:
 
 
 def term_table(items: DataFrame) -> DataFrame:
-    """(term, id) of the items' words, and END with 0."""
+    """(term, id) of the items' words, and END with 0, which no row of Python's gives: that would start Python processes beside the executors, and they stay."""
     terms = items.select(F.explode("words").alias("term")).distinct().withColumn("id", F.monotonically_increasing_id() + 1)
-    return written(terms.union(items.sparkSession.createDataFrame([(END, 0)], "term string, id long")), "bench-terms")
+    end = items.sparkSession.range(1).select(F.lit(END).alias("term"), "id")
+    return written(terms.union(end), "bench-terms")
 
 
 def store_postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
