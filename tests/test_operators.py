@@ -231,6 +231,17 @@ def test_join_names(spark):
     assert sorted(tuple(r) for r in own.collect()) == [("", "a", 2), ("abc", "abd", 2)]
 
 
+def planned(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_join_without_broadcast(spark):
+    """Postings aren't sent to all by way of the driver, however small the words that they come from."""
+    w = tables.materialised(spark.createDataFrame([("abc", 1), ("abd", 1)], "word string, count long"))
+    plan = planned(matching.fuzzy_join(w, w, "word", "word", 2))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_osa_expression(spark):
     rng = random.Random(7)
     rows = [("".join(rng.choice("abc") for _ in range(rng.randrange(7))), "".join(rng.choice("abc") for _ in range(rng.randrange(7)))) for _ in range(400)] + [("bobby", "obbby"), ("ca", "abc"), ("unexpectable", "lovely"), ("", ""), (None, "a")]

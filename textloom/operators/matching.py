@@ -7,7 +7,7 @@ subsequence of the word, so that their distance is len(word) - len(edit), withou
 - layer: deletes, distance, count, code, word.
 - full: distance; among exact hits the earliest variant, else the highest count; then deletes, code, word.
 
-Words are compared by code points and never folded. A hot edit is split by adaptive execution; a small index is broadcast by Spark's own size check.
+Words are compared by code points and never folded. Joins on edits are merge joins (`on_edit`), in which a hot edit is split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -58,11 +58,16 @@ def load_index(spark: SparkSession, table: str) -> DataFrame:
     return index
 
 
+def on_edit(variants: DataFrame, index: DataFrame) -> DataFrame:
+    """Their join on edit. What explode gives has the size of the words it was made from in Spark's eyes, so that its size check would broadcast postings of any number by way of the driver."""
+    return variants.hint("merge").join(index, "edit")
+
+
 def met(queries: DataFrame, index: DataFrame, k: int = 2, complete: bool = False) -> DataFrame:
     """queries: query (distinct) -> query, word, count, edit_distance, delete_distance, code: a row for each variant that meets a word within the limits."""
     variants = queries.select("query", F.explode(delete_variants("query", k, complete)).alias("v")).select("query", F.col("v.edit").alias("edit"), F.col("v.d").alias("delete_distance"), F.col("v.code").alias("code"))
     distance = F.char_length("word") - F.char_length("edit")
-    found = variants.join(index, "edit").where((F.abs(F.char_length("word") - F.char_length("query")) <= k) & (distance <= k))
+    found = on_edit(variants, index).where((F.abs(F.char_length("word") - F.char_length("query")) <= k) & (distance <= k))
     return found.select("query", "word", "count", distance.alias("edit_distance"), "delete_distance", "code")
 
 
@@ -110,7 +115,7 @@ def lookup_miss(queries: DataFrame, index: DataFrame, k: int = 2) -> DataFrame:
 
 def probe(queries: DataFrame, index: DataFrame, k: int = 2) -> DataFrame:
     """queries: query (distinct) -> query, edit, word: every posting that a query's own deletions meet, before any rank or filter."""
-    return queries.select("query", F.explode(delete_edits("query", k)).alias("edit")).join(index, "edit").select("query", "edit", "word")
+    return on_edit(queries.select("query", F.explode(delete_edits("query", k)).alias("edit")), index).select("query", "edit", "word")
 
 
 def too_long(queries: DataFrame, longest: int, k: int = 2) -> DataFrame:
@@ -126,10 +131,10 @@ def fuzzy_join(left: DataFrame, right: DataFrame, on_left: str, on_right: str, k
     def side(df: DataFrame, c: str, name: str) -> DataFrame:
         texts = df.select(F.col(f"`{c}`").alias(name)).distinct()
         edits = F.concat(delete_edits(name, k, True), F.when(F.char_length(name) <= k, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
-        return texts.select(name, F.explode(F.array_distinct(edits)).alias("_edit"))
+        return texts.select(name, F.explode(F.array_distinct(edits)).alias("edit"))
 
     x, y = F.col("_left"), F.col("_right")
-    pairs = side(left, on_left, "_left").join(side(right, on_right, "_right"), "_edit").where(F.abs(F.char_length(x) - F.char_length(y)) <= k).select(x, y).distinct()
+    pairs = on_edit(side(left, on_left, "_left"), side(right, on_right, "_right")).where(F.abs(F.char_length(x) - F.char_length(y)) <= k).select(x, y).distinct()
     distance = F.levenshtein(x, y, k) if metric == "levenshtein" else osa_within(x, y, k) if metric == "osa" else metric(x, y)
     out = pairs.withColumn("_distance", distance.cast("int")).where(F.col("_distance").between(0, k))
     return out.select(x.alias(on_left), y.alias(on_right if on_right != on_left else on_right + "_r"), F.col("_distance").alias("distance"))

@@ -24,9 +24,11 @@ def lookup_batch(index: DataFrame, sink, k: int = 2):
 
 def candidates_stream(queries: DataFrame, index: DataFrame, k: int = 2) -> DataFrame:
     """A stream of (query, word, distances) by stream-static join; no state."""
+    from textloom.operators.matching import on_edit
+
     v = queries.select("query", F.explode(delete_variants("query", k)).alias("v")).select("query", "v.edit", "v.d", "v.code")
     distance = F.char_length("word") - F.char_length("edit")
-    return v.join(index, "edit").where((F.abs(F.char_length("word") - F.char_length("query")) <= k) & (distance <= k)).select("query", "word", "count", distance.alias("edit_distance"), F.col("d").alias("delete_distance"), "code")
+    return on_edit(v, index).where((F.abs(F.char_length("word") - F.char_length("query")) <= k) & (distance <= k)).select("query", "word", "count", distance.alias("edit_distance"), F.col("d").alias("delete_distance"), "code")
 
 
 def lru_stream(events: DataFrame, by: str, key: str, order: str, capacity: int) -> DataFrame:
