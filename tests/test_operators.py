@@ -242,6 +242,15 @@ def test_join_without_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+@pytest.mark.parametrize("find", [matching.lookup_top, matching.lookup_topk, matching.lookup_all, matching.lookup_miss, matching.probe])
+def test_lookup_without_broadcast(spark, find):
+    w = tables.materialised(spark.createDataFrame([("abc", 1), ("abd", 1)], "word string, count long"))
+    q = tables.materialised(w.select(F.col("word").alias("query")))
+    plan = planned(find(q, matching.build_index(w, 2), 2))
+    at = plan.index("Generate")
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan[plan.index("SortMergeJoin") : at]
+
+
 def test_osa_expression(spark):
     rng = random.Random(7)
     rows = [("".join(rng.choice("abc") for _ in range(rng.randrange(7))), "".join(rng.choice("abc") for _ in range(rng.randrange(7)))) for _ in range(400)] + [("bobby", "obbby"), ("ca", "abc"), ("unexpectable", "lovely"), ("", ""), (None, "a")]
