@@ -285,6 +285,13 @@ def test_pointers(spark):
         tables.reachable(nodes, links, root, 1)
 
 
+def test_long_walk(spark):
+    """As many steps as the pointers need; null ones lead nowhere."""
+    nodes = tables.materialised(spark.range(80))
+    links = nodes.where("id < 70").select("id", (F.col("id") + 1).alias("to")).union(nodes.selectExpr("id", "cast(null as long)"))
+    assert sorted(r.id for r in tables.reachable(nodes, links, nodes.where("id = 1")).collect()) == list(range(1, 71))
+
+
 def test_stats_of_empty(spark):
     from textloom.operators import dictionary
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import tempfile
 import uuid
@@ -133,17 +134,23 @@ def unshare(rows: DataFrame, objects: DataFrame, ref: str = "ref") -> DataFrame:
     return rows.join(objects, ref, "left").drop(ref)
 
 
-def reachable(nodes: DataFrame, links: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
-    """nodes: id and others; links: id, to: a record's pointers, cycles and shared ones included; roots: id -> the nodes that a walk from the roots meets, each once. Rounds are joins with
-    the nodes met last, each a table; `most` rounds at most, or an error."""
-    met = materialised(roots.select("id").distinct().withColumn("round", F.lit(0)), "met")
-    for k in range(1, most + 1):
-        new = links.join(met.where(F.col("round") == k - 1).select("id"), "id").select(F.col("to").alias("id")).distinct().join(met, "id", "left_anti")
-        grown = materialised(met.unionByName(new.withColumn("round", F.lit(k))), "met")
-        if not grown.where(F.col("round") == k).limit(1).count():
-            return nodes.join(met.select("id"), "id", "left_semi")
-        met = grown
-    raise InvalidFormat(f"pointers lead further than {most} steps")
+def reachable(nodes: DataFrame, links: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """nodes: id and others; links: id, to: a record's pointers, cycles and shared ones included, and null ones, which point to nothing; roots: id -> the nodes that a walk from the roots meets, each
+    once. Rounds are joins with the nodes met last, as many as the longest of the shortest ways has steps; what a round meets is written once, beside the rounds before. More than `most` rounds, if
+    given, are an error."""
+    spark, path = nodes.sparkSession, work_path(nodes.sparkSession, "met")
+    kind = roots.schema["id"].dataType.simpleString()
+    links = materialised(links.where(F.col("to").isNotNull()).select("id", F.col("to").cast(kind).alias("to")), "links")
+    new = roots.where(F.col("id").isNotNull()).select("id").distinct()
+    for k in itertools.count():
+        new.write.parquet(f"{path}/round={k}")
+        last = spark.read.schema(f"id {kind}").parquet(f"{path}/round={k}")
+        met = spark.read.schema(f"id {kind}, round int").parquet(path).select("id")
+        if last.isEmpty():
+            return nodes.join(met, "id", "left_semi")
+        if most is not None and k >= most:
+            raise InvalidFormat(f"pointers lead further than {most} steps")
+        new = links.join(last, "id").select(F.col("to").alias("id")).distinct().join(met, "id", "left_anti")
 
 
 def numbered(df: DataFrame, *order: str, name: str = "ord", start: int = 0) -> DataFrame:
