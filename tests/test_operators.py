@@ -130,6 +130,24 @@ def test_formats(spark):
     assert [r.b for r in rows] == ["0 ns", "999 ns", "1.00 us", "-1.50 us", "60.00 sec", "3.20 min", "2.00 hr", "-7 ns"]
 
 
+def test_times_as_printf(spark):
+    """Quotients whose shortest decimal ends in 5 are rounded by their exact value, exact halves to the even digit; also by the SQL name."""
+    from textloom.functions.register import register
+
+    register(spark)
+    rng = random.Random(9)
+    units = [(3_600_000_000_000, "hr"), (60_000_000_000, "min"), (1_000_000_000, "sec"), (1_000_000, "ms"), (1000, "us")]
+    times = [1125, -1375, 1005, 2_675_000, -999_995, 999_999, 3_599_999_999_999, (1 << 63) - 1, 7_289_961_000_270_000_000 - 1]
+    times += [m * f // 200 + d for f, _ in units for m in (rng.randrange(200, 12_000) for _ in range(40)) for d in (-1, 0, 1)] + [rng.choice((1, -1)) * (rng.randrange(2_000_000) * 200 + 1) * 18_000_000_000 // 200 + 1 for _ in range(100)]
+
+    def want(t):
+        factor, unit = next(((f, u) for f, u in units if abs(t) >= f), (1, ""))
+        return f"{float(t) / factor:.2f} {unit}" if unit else f"{t} ns"
+
+    rows = spark.createDataFrame([(t,) for t in times], "t long").select("t", arith.human_time(F.col("t")).alias("a"), F.expr("tl_human_time(t)").alias("b")).collect()
+    assert all(r.a == r.b == want(r.t) for r in rows)
+
+
 def test_wide_numbers(spark):
     rng = random.Random(4)
     rows = [(rng.randrange(1 << 63), rng.randrange(2, 1 << 62)) for _ in range(50)] + [((1 << 63) - 1, 2), (0, 3), (1, 1 << 62)]
