@@ -380,3 +380,13 @@ def test_pipeline(spark):
     d = "/root/testdata/sf0.001"
     out = corpus_pipeline.run(spark, d).collect()
     assert out and json.dumps(sorted(out[0].asDict())) == '["doc_id", "ids_crc32", "n_tokens", "start"]'
+
+
+def test_ranks_without_broadcast(spark, monkeypatch):
+    """Edges go to no one by way of the driver, however small they are as a file."""
+    plans, written = [], linkgraph.written
+    edges = written(spark.createDataFrame([("a", "b", 1.0), ("b", "c", 2.0), ("b", "a", 1.0)], "src string, dst string, weight double"), "edges")
+    seeds = written(spark.createDataFrame([("a", 1.0)], "host string, seed double"), "seeds")
+    monkeypatch.setattr(linkgraph, "written", lambda df, name: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or written(df, name))
+    assert linkgraph.personalised_rank(edges, seeds, rounds=2).count() == 3
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
