@@ -130,6 +130,16 @@ def test_formats(spark):
     assert [r.b for r in rows] == ["0 ns", "999 ns", "1.00 us", "-1.50 us", "60.00 sec", "3.20 min", "2.00 hr", "-7 ns"]
 
 
+def test_code_points(spark):
+    """Every code point, as a built-in gives it: nothing is encoded and printed for each character."""
+    points = [c for c in range(1, 0x110000, 7) if not 0xD800 <= c < 0xE000]
+    rows = [("".join(map(chr, p)), p) for p in (points[i : i + 5000] for i in range(0, len(points), 5000))] + [("", []), (None, None), ("\0a\0", [0, 97, 0]), ("e\u0301\n", [101, 0x301, 10])]
+    df = spark.createDataFrame(rows, "t string, p array<int>").select("p", X.code_points("t").alias("c"))
+    assert df.where(~F.col("c").eqNullSafe(F.col("p"))).count() == 0
+    assert "encode" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert spark.sql("select unhex('ff61') x").select(X.code_points(F.col("x").cast("string")).alias("c")).first().c is None
+
+
 def test_times_as_printf(spark):
     """Quotients whose shortest decimal ends in 5 are rounded by their exact value, exact halves to the even digit; also by the SQL name."""
     from textloom.functions.register import register

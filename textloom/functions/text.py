@@ -168,7 +168,9 @@ def is_subsequence(text: Column | str, part: Column | str) -> Column:
 
 def code_points(text: Column | str) -> Column:
     """array<int> of a text's code points; null where it isn't UTF-8."""
-    return F.transform(F.filter(F.split(F.try_validate_utf8(col(text)), ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("int"))
+    t = F.try_validate_utf8(col(text))
+    each = F.transform(F.split(t, ""), F.ascii)  # a text's first code point, of any size
+    return F.when(F.char_length(t) == 0, F.array().cast("array<int>")).otherwise(each)
 
 
 def levenshtein(a: Column | str, b: Column | str) -> Column:
