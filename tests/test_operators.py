@@ -287,6 +287,16 @@ def test_osa_expression(spark):
         assert r.d == d and r.w == (d if d is None or d <= 2 else -1)
 
 
+def test_swap_within_one(spark):
+    """Within one edit a swap is told without a table of distances."""
+    rows = [("abcd", "abdc"), ("ab", "ba"), ("abcd", "badc"), ("abc", "cba"), ("abc", "bca"), ("abc", "abcde"), ("aab", "aba"), ("マダオ", "ダマオ"), ("ab", "ab"), ("ab", "a"), ("", "ab"), (None, "a")]
+    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", X.osa_within("a", "b", 1).alias("w"))
+    assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    for r in df.collect():
+        d = None if r.a is None else X.osa_distance(r.a, r.b)
+        assert r.w == (d if d is None or d <= 1 else -1)
+
+
 def test_sql_names(spark):
     from textloom.functions.register import register
 

@@ -216,10 +216,22 @@ def osa(a: Column | str, b: Column | str) -> Column:
     return F.when(col(a).isNotNull() & col(b).isNotNull(), F.aggregate(characters(col(a)), start, next_row, lambda s: F.element_at(s["above"], -1)))
 
 
+def is_swap(a: Column, b: Column) -> Column:
+    """Whether two texts of one length are the same but for a swap of neighbours, the first of which is where they begin to differ."""
+    p = F.array_position(F.zip_with(characters(a), characters(b), lambda x, y: x != y), True).cast("int")
+    piece = lambda at, n: F.substr(a, at, n)
+    # the place is kept by the transform of a single number
+    swapped = F.transform(F.array(p), lambda p: F.concat(piece(F.lit(1), p - 1), piece(p + 1, F.lit(1)), piece(p, F.lit(1)), F.substr(a, p + 2)))
+    return F.get(swapped, F.lit(0)) == b
+
+
 def osa_within(a: Column | str, b: Column | str, k: int) -> Column:
-    """osa up to k, else -1. It is at most the Levenshtein distance and at least half of it, so only pairs between need the table."""
-    lev = F.levenshtein(col(a), col(b), 2 * k)
-    exact = F.when(lev < 2, lev).when(lev >= 2, osa(a, b))
+    """osa up to k, else -1. It is at most the Levenshtein distance and at least half of it; where that is 2 it is 1 for a swap and else 2, so only pairs of 3 and more need the table."""
+    a, b = col(a), col(b)
+    lev = F.levenshtein(a, b, 2 * k)
+    exact = F.when(lev < 2, lev).when(lev == 2, F.when((F.char_length(a) == F.char_length(b)) & is_swap(a, b), 1).otherwise(2))
+    if k > 1:
+        exact = exact.when(lev > 2, osa(a, b))
     return F.when(exact <= k, exact).when(exact.isNotNull(), F.lit(-1))
 
 
