@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import pytest
@@ -130,6 +131,29 @@ def test_formats(spark):
     assert [r.b for r in rows] == ["0 ns", "999 ns", "1.00 us", "-1.50 us", "60.00 sec", "3.20 min", "2.00 hr", "-7 ns"]
 
 
+def test_bloom_of_variants(spark):
+    """A word's filter lets through what meets a bit first, as one that goes from variant to variant does; but there is no such fold."""
+    words = ["banana", "aaaaaaaaaaaa", "mississippi", "abcdefghijkl", "ab", "a"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    for p in (0.01, 0.3):
+        out = df.select("w", X.layered_edits("w", 2, "bloom", p=p).alias("got"), X.layered_edits("w", 2, "none").alias("all"))
+        assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString()
+        rows = out.collect()
+        hashes = min(6, max(1, math.floor(-math.log(p) / math.log(2))))
+        texts = spark.createDataFrame([(e,) for e in {e.edit for r in rows for e in r.all}], "e string")
+        known = {r.e: r.h for r in texts.select("e", F.array(*[F.xxhash64(F.lit(h), "e") for h in range(hashes)]).alias("h")).collect()}
+        for r in rows:
+            want = []
+            for d in range(3):
+                items, bits = [e.edit for e in r.all if e.d == d], set()
+                width = max(math.floor(-max(len(items), 1) * math.log(p) / math.log(2) ** 2), 256)
+                for e in items:
+                    new = {h % width for h in known[e]} - bits
+                    bits |= new
+                    want += [(d, e)] if new else []
+            assert [tuple(e) for e in r.got] == want
+
+
 def test_code_points(spark):
     """Every code point, as a built-in gives it: nothing is encoded and printed for each character."""
     points = [c for c in range(1, 0x110000, 7) if not 0xD800 <= c < 0xE000]

@@ -79,36 +79,35 @@ def without_recent(items: Column, capacity: int) -> Column:
 
 def without_bloom(items: Column, p: float, least_bits: int = 256, most_hashes: int = 6) -> Column:
     """An array of strings without those that a Bloom filter of the ones before takes for known: all repetitions, and others at a rate of about p."""
-    n = F.greatest(F.size(items), F.lit(1)).cast("double")
-    bits = F.greatest(F.floor(-n * math.log(p) / math.log(2) ** 2), F.lit(least_bits)).cast("long")
     hashes = min(most_hashes, max(1, math.floor(-math.log(p) / math.log(2))))
-    # what a step needs is carried along, as everything else in a step would be computed anew for each item
-    start = F.struct(bits.alias("bits"), F.array().cast("array<bigint>").alias("set"), F.array().cast("array<bigint>").alias("new"), F.array().cast("array<string>").alias("out"))
+    top = 1 << 31
 
-    def step(s: Column, x: Column) -> Column:
-        known = F.concat(s["set"], s["new"])  # with those of the item before
-        new = F.array_except(F.array(*[F.pmod(F.xxhash64(F.lit(h), x), s["bits"]) for h in range(hashes)]), known)
-        return F.struct(s["bits"].alias("bits"), known.alias("set"), new.alias("new"), F.concat(s["out"], F.array(x)).alias("out"))
-
-    def let(s: Column, x: Column) -> Column:
-        t = step(s, x)
-        return F.when(F.size(t["new"]) == 0, F.struct(t["bits"].alias("bits"), t["set"].alias("set"), t["new"].alias("new"), s["out"].alias("out"))).otherwise(t)
+    def width(x: Column) -> Column:
+        n = F.greatest(F.size(x), F.lit(1)).cast("double")
+        return F.greatest(F.floor(-n * math.log(p) / math.log(2) ** 2), F.lit(least_bits)).cast("long")
 
-    return F.aggregate(items, start, let, lambda s: s["out"])
+    # an item that the filter takes for known sets no new bit, so that the filter has the bits of all items before, and lets through those that meet a bit first; each transform of
+    # a single struct keeps what the next one needs, as it would be computed anew for each item
+    a = F.transform(F.array(items), lambda x: F.struct(x.alias("x"), width(x).alias("bits")))
+    a = F.transform(a, lambda s: F.struct(s["x"].alias("x"), F.array_sort(F.flatten(F.transform(s["x"], lambda x, i: F.array(*[F.pmod(F.xxhash64(F.lit(h), x), s["bits"]) * top + i for h in range(hashes)])))).alias("met")))
+    first = lambda met: F.filter(met, lambda v, i: (i == 0) | (F.shiftright(v, 31) != F.shiftright(F.get(met, i - 1), 31)))
+    a = F.transform(a, lambda s: F.struct(s["x"].alias("x"), F.array_sort(F.array_distinct(F.transform(first(s["met"]), lambda v: v.bitwiseAND(top - 1).cast("int")))).alias("let")))
+    return F.get(F.transform(a, lambda s: F.transform(s["let"], lambda i: F.get(s["x"], i))), F.lit(0))
 
 
 def layered_edits(word: Column | str, k: int, dedup: str = "hash", capacity: int = 32, p: float = 0.01) -> Column:
     """array<struct<d, edit>>: the strings of delete_variants by number of deletions, in the order of generation; repetitions within a number go as `dedup` says (capacity for lru, p for bloom)."""
     if dedup not in DEDUPS:
         raise ValueError(f"{dedup}: not one of {DEDUPS}")
-    variants = delete_variants(word, k)
     clean = {"none": lambda a: a, "hash": F.array_distinct, "bloom": lambda a: without_bloom(a, p), "lru": lambda a: without_recent(a, capacity)}[dedup]
 
-    def layer(d: int) -> Column:
-        own = F.array_sort(F.filter(variants, lambda e: e["d"] == d), lambda a, b: F.when(a["code"] < b["code"], -1).when(a["code"] > b["code"], 1).otherwise(0))
-        return F.transform(clean(F.transform(own, lambda e: e["edit"])), lambda e: F.struct(F.lit(d).alias("d"), e.alias("edit")))
+    def layer(every: Column, d: int) -> Column:
+        own = F.transform(F.filter(every, lambda e: e["d"] == d), lambda e: e["edit"])
+        return F.transform(clean(own), lambda e: F.struct(F.lit(d).alias("d"), e.alias("edit")))
 
-    return F.concat(*[layer(d) for d in range(k + 1)])
+    # sorted once for all layers: the transform of a single array keeps what each of them would compute anew
+    every = F.array_sort(F.transform(delete_variants(word, k), lambda e: F.struct(e["d"].alias("d"), e["code"].alias("code"), e["edit"].alias("edit"))))
+    return F.get(F.transform(F.array(every), lambda every: F.concat(*[layer(every, d) for d in range(k + 1)])), F.lit(0))
 
 
 def next_permutation(items: Column | str) -> Column:
